@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, islice, pairwise
 from urllib.parse import urlparse
 
 import numpy as np
@@ -48,6 +49,10 @@ def _map(folder: str, name: str, kind: str) -> np.ndarray:
         return np.frombuffer(f.read(), kind)
 
 
+#: How byte-level vocabularies write the space.
+SPACE = "\u0120"
+
+
 class PieceEncoder:
     """Encodes texts through a tokenizer of the tokenizers library, remembering
     the ids of space-delimited pieces.
@@ -57,37 +62,73 @@ class PieceEncoder:
     white space are never cut apart. The memory is bounded by ``max_pieces``.
     """
 
-    def __init__(self, path: str, kind: str, max_pieces: int = 400_000):
+    def __init__(self, path: str, kind: str, max_pieces: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind, self.max_pieces = kind, max_pieces
         self.known: dict[str, bytes] = {}
+        # ids whose token begins with the space's byte symbol
+        vocab = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocab.values()) + 1, bool)
+        self.opens[[i for t, i in vocab.items() if t.startswith(SPACE)]] = True
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in got]
+        flat = np.fromiter((i for e in got for i in e.ids), self.kind).tobytes()
+        width = np.dtype(self.kind).itemsize
+        ends = [0, *accumulate(len(e.ids) * width for e in got)]
+        return [flat[a:b] for a, b in pairwise(ends)]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with a space before it, from one joined text: a token
+        that begins with a space begins a word."""
+        ids = np.array(self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False).ids, np.int64)
+        starts = np.flatnonzero(self.opens[ids])
+        if len(starts) != len(words) or starts[0]:
+            return self._encode([f" {w}" for w in words])
+        flat, width = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
+        ends = [*(starts * width).tolist(), len(flat)]
+        return [flat[a:b] for a, b in pairwise(ends)]
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.known) + len(words) > self.max_pieces:
+            # frequent pieces come early: the older half stays
+            self.known = dict(islice(self.known.items(), self.max_pieces // 2))
+        todo = list(words)
+        for at in range(0, len(todo), 2000):
+            part = todo[at : at + 2000]
+            self.known.update(zip(part, self._encode_words(part), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.max_pieces:
-            self.known.clear()
-        known, plain = self.known, {}
-        for d, text in enumerate(texts):
-            head, *words = text.split(" ")
-            # joining across runs of white space: such texts are encoded whole
-            if head[-1:].isspace() or not all(words) or any(w[-1].isspace() for w in words if w not in known):
-                continue
-            plain[d] = (head, words)
-        new = list({w for _, words in plain.values() for w in words if w not in known})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            known.update(zip(part, self._encode([f" {w}" for w in part]), strict=True))
-        whole = [d for d in range(len(texts)) if d not in plain]
-        heads = iter(self._encode([plain[d][0] for d in plain]))
-        rest = dict(zip(whole, self._encode([texts[d] for d in whole]), strict=True))
-        get = known.__getitem__
-        return [b"".join([next(heads), *map(get, plain[d][1])]) if d in plain else rest[d] for d in range(len(texts))]
+        out: list[bytes | None] = [None] * len(texts)
+        split = [t.split(" ") for t in texts]
+        heads = self._encode([w[0] for w in split])
+        get, open_, new = self.known.get, [], set()
+        for d, words in enumerate(split):
+            got = list(map(get, words))
+            got[0] = heads[d]
+            if None in got:
+                fresh = {w for w, g in zip(words, got, strict=True) if g is None}
+                if not all(fresh) or any(w[-1].isspace() for w in fresh):
+                    continue
+                open_.append(d)
+                new |= fresh
+            elif not words[0][-1:].isspace():
+                out[d] = b"".join(got)
+        self._learn(new)
+        get = self.known.get
+        for d in open_:
+            got = list(map(get, split[d]))
+            got[0] = heads[d]
+            if None not in got and not split[d][0][-1:].isspace():
+                out[d] = b"".join(got)
+        # joined across runs of white space, or forgotten meanwhile: encoded whole
+        rest = [d for d, x in enumerate(out) if x is None]
+        for d, x in zip(rest, self._encode([texts[d] for d in rest]), strict=True):
+            out[d] = x
+        return out
 
 
 _encoders: dict[tuple, PieceEncoder] = {}
@@ -152,7 +193,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, vocab:
 
     smallest = F.lit(-(1 << 63))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), smallest).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     # the shards' counts: one row for each shard, so the prefix sums need one small window
     map_arrow(ordered, encode, "shard int, n_docs long, n_tokens long").write.parquet(f"{folder}/counts")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -187,7 +228,8 @@ def read(spark: SparkSession, folder: str, part: int = 4096) -> DataFrame:
                     cols = [pa.array(key, mask=key == -(1 << 63)), pa.array(offsets[a:b] + row["token_base"]), pa.array(np.diff(offsets[a : b + 1])), pa.array(crc, pa.int64())]
                     yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    manifest = spark.read.parquet(f"{folder}/manifest").repartition("shard")
+    manifest = spark.read.parquet(f"{folder}/manifest")
+    manifest = manifest.repartition(max(1, manifest.count()), "shard")  # one task for each shard or so
     return map_arrow(manifest, load, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
