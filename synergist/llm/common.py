@@ -83,6 +83,25 @@ def stable_split(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+#: Bits of the candidate filter: a table of at most FILTER / 64 rows.
+FILTER = 1 << 23
+
+
+def maybe_in(df: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may be among the wanted ones: those whose bit
+    is set in a bitmap of the wanted values.
+
+    Texts of other rows are then not shuffled. The bitmap has a fixed size, so it is
+    broadcast whatever the number of values; with very many it lets all rows pass,
+    and the exact join that follows decides.
+    """
+    spot = f"pmod(xxhash64(`{column}`, 23), {FILTER})"
+    word, mask = F.expr(f"cast({spot} div 64 as int)"), F.expr(f"shiftleft(1L, cast({spot} % 64 as int))")
+    bitmap = wanted.select(word.alias("_word"), mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
+    marked = df.withColumn("_word", word).join(F.broadcast(bitmap), "_word")  # at most FILTER / 64 rows
+    return marked.where(F.col("_bits").bitwiseAND(mask) != 0).drop("_word", "_bits")
+
+
 # ---------------------------------------------------------------- Arrow text
 
 CHUNK = 1 << 20

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, materialise, maybe_in
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -77,15 +77,15 @@ def deduplicate(spark: SparkSession, path: str, checkpoint: str | None = None, f
     each text is a group of its own.
     """
     checkpoint = checkpoint or fresh_path(spark, "dedup")
-    state = state_of(spark, path, checkpoint, files_per_batch, normalise)
+    state = materialise(state_of(spark, path, checkpoint, files_per_batch, normalise), "state")
     docs = _located(spark.read.parquet(path), normalise)
     groups = state.select("digest", "keep", "copies")
-    joined = docs.join(groups, "digest")
-    single = joined.where(F.col("copies") == 1)
-    # hits: the kept copy's full bytes come through its locator
-    hits = joined.where(F.col("copies") > 1)
-    kept_at = groups.where(F.col("copies") > 1).select(F.col("keep.file").alias("file"), F.col("keep.row").alias("row"))
-    original = docs.join(kept_at, ["file", "row"], "left_semi").select(F.col("digest"), F.col("body").alias("_original"))
+    repeated = groups.where(F.col("copies") > 1)
+    # texts move for hits only; rows without a hit need their digest alone
+    single = docs.drop("body").join(groups.where(F.col("copies") == 1), "digest")
+    hits = maybe_in(docs, repeated, "digest").join(repeated, "digest")
+    # the kept copy's full bytes, through its locator
+    original = hits.where((F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))).select("digest", F.col("body").alias("_original"))
     checked = hits.join(original, "digest").withColumn("_same", F.col("body") == F.col("_original"))
 
     columns = [F.col("doc_id"), F.col("keep.doc_id").alias("keep_id"), F.col("copies").alias("group_size"), ((F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))).alias("kept"), F.col("digest").alias("text_sha256")]
@@ -97,11 +97,3 @@ def deduplicate(spark: SparkSession, path: str, checkpoint: str | None = None, f
     same = slim.where(F.col("_same")).join(wrong, "digest", "left").withColumn("copies", F.col("copies") - F.coalesce("_wrong", F.lit(0)))
     odd = other.select("doc_id", "file", "row", "digest", "_other").join(per_text, ["digest", "_other"])
     return single.select(*columns).unionByName(same.select(*columns)).unionByName(odd.select(*columns))
-
-
-def duplicates_by_window(docs: DataFrame) -> DataFrame:
-    """The same result for a table without files behind it, without the state:
-    kept as a cross-check of the stream in tests."""
-    text = F.coalesce("text", F.lit(""))
-    group = Window.partitionBy(text)
-    return docs.select("doc_id", F.max("doc_id").over(group).alias("keep_id"), F.count("*").over(group).alias("group_size"))
