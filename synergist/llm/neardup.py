@@ -21,14 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, NONSPACE, Words, chunks, map_arrow, map_text, materialise, mix64, text_bytes
+from .common import FOLD, NONSPACE, Words, chunks, map_arrow, map_text, materialise, maybe_in, mix64, text_bytes
 
 TREES, BRANCH, LEVELS = 4, 2, 3
 #: Tokens used by each level: every node of every tree has its own hash function.
 PER_LEVEL = [TREES * BRANCH**level for level in range(1, LEVELS + 1)]
 FIRST = np.concatenate(([0], np.cumsum(PER_LEVEL))).tolist()
 SKETCH = 64
-LEAF = 200
+#: Nodes of up to LEAF documents are compared exhaustively on sketches; full sets
+#: are confirmed in groups of about GROUP documents.
+LEAF = 1000
+GROUP = 200
 LEADERS = 16
 
 _MULTIPLIERS = mix64(np.arange(101, 101 + SKETCH, dtype=np.uint64)) | np.uint64(1)
@@ -184,7 +187,7 @@ def _confirm(groups: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
                     b_out.append(least[_find(parent, i)])
         yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
-    texts = docs.select("doc_id", text_bytes().alias("_raw"))
+    texts = maybe_in(docs.select("doc_id", text_bytes().alias("_raw")), groups, "doc_id")
     rows = groups.join(texts, "doc_id").select("cid", "doc_id", "label", "_raw")
     return map_arrow(rows.repartition("cid").sortWithinPartitions("cid", "doc_id"), run, "a long, b long")
 
@@ -257,14 +260,14 @@ def link(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFr
     sizes = coarse.groupBy("label").agg(F.count("*").alias("_n"))
     none = F.lit(None).cast("long").alias("label")
     sized = coarse.join(sizes, "label")
-    whole = sized.where(F.col("_n") <= LEAF).select(F.col("label").alias("cid"), "doc_id", none)
-    large = sized.where(F.col("_n") > LEAF).select("doc_id", F.col("label").alias("home"), "_n")
+    whole = sized.where(F.col("_n") <= GROUP).select(F.col("label").alias("cid"), "doc_id", none)
+    large = sized.where(F.col("_n") > GROUP).select("doc_id", F.col("label").alias("home"), "_n")
     # large components, first pass: blocks of documents, each with the component's leaders
     rank = F.xxhash64("doc_id", F.lit(7))
-    spot = F.pmod(rank, F.ceil(F.col("_n") / LEAF))
+    spot = F.pmod(rank, F.ceil(F.col("_n") / GROUP))
     blocks = large.select("doc_id", "home", "_n", spot.alias("spot"))
     leaders = large.groupBy("home").agg(F.min_by("_n", "doc_id").alias("_n"), F.expr(f"slice(array_sort(collect_set(case when pmod(xxhash64(doc_id, 11), greatest(1, _n div {4 * LEADERS})) = 0 then doc_id end)), 1, {LEADERS})").alias("ids"))
-    spread = leaders.select("home", F.explode("ids").alias("doc_id"), F.ceil(F.col("_n") / LEAF).alias("m")).select("home", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("spot"))
+    spread = leaders.select("home", F.explode("ids").alias("doc_id"), F.ceil(F.col("_n") / GROUP).alias("m")).select("home", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("spot"))
     first = blocks.select("home", "doc_id", "spot").unionByName(spread.select("home", "doc_id", "spot")).distinct()
     first = first.select(F.xxhash64("home", "spot", F.lit("block")).alias("cid"), "doc_id", none)
     links = materialise(_confirm(whole.unionByName(first), docs, k, num, den), "links")
@@ -283,7 +286,7 @@ def link(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFr
         at = big.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
         main = at.groupBy("key", "label").agg(F.count("*").alias("_c")).groupBy("key").agg(F.max_by("label", "_c").alias("main"), F.sum("_c").alias("_n"), F.count("*").alias("_kinds")).where("_kinds > 1")
         at = at.join(main, "key")
-        half = LEAF // 2
+        half = GROUP // 2
         rest = at.where("label <> main").withColumn("r", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.greatest(F.lit(1), F.ceil(F.col("_n") / half))))
         used = rest.select("key", "r").distinct()
         every = at.withColumn("s", F.pmod(F.xxhash64("doc_id", F.lit(19)), F.ceil(F.col("_n") / half)))
