@@ -27,13 +27,14 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     path = f"{d}/events.parquet"
     schema = spark.read.parquet(path).schema
     # as a pattern, so that a single file is a source too
-    return ingest.ingest_stream(spark, f"{path[:-1]}[{path[-1]}]", schema, "parquet")
+    rows = ingest.ingest_stream(spark, f"{path[:-1]}[{path[-1]}]", schema, "parquet")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))  # event time needs an instant
 
 
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Events delivered twice arrive once; those stored before don't come again."""
     work = _work(spark, "ingest")
-    spark.read.parquet(f"{d}/events.parquet").where("event_id % 10 = 0").write.parquet(f"{work}/table")
+    spark.read.parquet(f"{d}/events.parquet").where("event_id % 10 = 0").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{work}/table")
     rows = _events(spark, d)
     twice = ingest.dedup_stream(rows.unionByName(_events(spark, d)), ["event_id"], "ts", "60 days")
     ingest.run_available(twice, ingest.appending(f"{work}/table", ["event_id"]), f"{work}/state")
