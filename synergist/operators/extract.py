@@ -77,11 +77,12 @@ def exclusion_reason(period: str | None = None, info: str = "info") -> Column:
 def structure_reason(info: str = "info") -> Column:
     """Why a document's structure is unusable, or null: exactly ten participants in
     five slots of two sides, and exactly one winner."""
-    p = F.coalesce(F.col(f"{info}.participants"), F.array().cast("array<struct<teamId:int,teamPosition:string>>"))
-    seats = F.transform(p, lambda x: F.concat_ws(":", x["teamId"], x["teamPosition"]))
+    none = F.array().cast("array<string>")
+    seats = F.coalesce(F.transform(f"{info}.participants", lambda x: F.concat_ws(":", x["teamId"], x["teamPosition"])), none)
     expected = F.array(*[F.lit(f"{t}:{s}") for t in SIDES for s in SLOTS])
-    winners = F.filter(F.coalesce(F.col(f"{info}.teams"), F.array().cast("array<struct<teamId:int,win:boolean>>")), lambda t: t["win"])
-    return F.when((F.size(p) != 10) | (F.size(F.array_intersect(seats, expected)) != 10), "structure").when((F.size(winners) != 1) | ~F.get(winners, F.lit(0))["teamId"].isin(*SIDES), "winner")
+    winners = F.coalesce(F.transform(F.filter(f"{info}.teams", lambda t: t["win"]), lambda t: t["teamId"].cast("string")), none)
+    known = F.coalesce(F.get(winners, F.lit(0)).isin(*map(str, SIDES)), F.lit(False))
+    return F.when((F.size(seats) != 10) | (F.size(F.array_intersect(seats, expected)) != 10), "structure").when((F.size(winners) != 1) | ~known, "winner")
 
 
 def winner(info: str = "info") -> Column:

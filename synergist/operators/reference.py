@@ -28,7 +28,7 @@ def markup_entries(pages: DataFrame, key: str, text: str, header: str, entry: st
 
 def template_field(text: Column, name: str) -> Column:
     """Value of ``|name = value`` in a template, trimmed; null if absent."""
-    got = F.trim(F.regexp_extract(text, rf"(?m)^\s*\|\s*{name}\s*=\s*(.*?)\s*$", 1))
+    got = F.trim(F.regexp_extract(text, rf"(?m)^[ \t]*\|[ \t]*{name}[ \t]*=[ \t]*(.*?)[ \t]*$", 1))
     return F.when(got != "", got)
 
 

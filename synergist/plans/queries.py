@@ -427,7 +427,7 @@ def comp_matchups(spark: SparkSession, d: str) -> DataFrame:
     """Weak head-to-heads of the line-ups that hold entity e in every slot."""
     rows = checkpointed(_matchup_scores(spark, d).where("segment = 'all'")).withColumn("games_eff", F.col("games_eff") * 10)
     rows = rows.withColumn("delta", F.col("delta") * 10)
-    comps = rows.select(F.lit("all").alias("segment"), F.lit("x").alias("archetype"), F.col("a").cast("string").alias("seed"), F.create_map(*[x for s in A.SLOTS for x in (F.lit(s), F.col("a"))]).alias("placed")).distinct()
+    comps = rows.select(F.lit("all").alias("segment"), F.lit("x").alias("archetype"), F.col("a").cast("string").alias("seed"), "a").distinct().select("segment", "archetype", "seed", F.create_map(*[x for s in A.SLOTS for x in (F.lit(s), F.col("a"))]).alias("placed"))
     return rounded(compose.rank_matchups(comps, rows, "weak"), 4)
 
 
