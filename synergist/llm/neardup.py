@@ -274,26 +274,19 @@ def link(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFr
     if not large.take(1):
         return table, components(links)
 
-    # second pass: what trees put together and the first pass left apart
+    # second pass, exact: in each large component every document outside the main
+    # label meets all documents of the component, block by block
     labels = materialise(components(links), "labels")
-    home = large.select("doc_id")
-    members = found.select("cid", F.explode("members").alias("doc_id")).join(home, "doc_id", "left_semi")
-    members = members.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    apart = members.groupBy("cid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("cid")
-    second = members.join(apart, "cid", "left_semi").select("cid", "doc_id", "label")
-    if big is not None:
-        # nodes still large: every document outside the node's main label, against all of the node, in blocks
-        at = big.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        main = at.groupBy("key", "label").agg(F.count("*").alias("_c")).groupBy("key").agg(F.max_by("label", "_c").alias("main"), F.sum("_c").alias("_n"), F.count("*").alias("_kinds")).where("_kinds > 1")
-        at = at.join(main, "key")
-        half = GROUP // 2
-        rest = at.where("label <> main").withColumn("r", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.greatest(F.lit(1), F.ceil(F.col("_n") / half))))
-        used = rest.select("key", "r").distinct()
-        every = at.withColumn("s", F.pmod(F.xxhash64("doc_id", F.lit(19)), F.ceil(F.col("_n") / half)))
-        slots = every.select("key", "s").distinct()
-        left = rest.join(slots, "key").select(F.xxhash64("key", "r", "s").alias("cid"), "doc_id", "label")
-        right = every.join(used, "key").select(F.xxhash64("key", "r", "s").alias("cid"), "doc_id", "label")
-        second = second.unionByName(left.unionByName(right).distinct())
+    at = large.select("doc_id", "home").join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    at = materialise(at, "apart")
+    main = at.groupBy("home", "label").agg(F.count("*").alias("_c")).groupBy("home").agg(F.max_by("label", F.struct("_c", "label")).alias("main"), F.sum("_c").alias("_n"), F.max("_c").alias("_m")).where("_m < _n")
+    half = GROUP // 2
+    blocks_of = lambda n: F.ceil(n / half)
+    at = at.join(main, "home").withColumns({"_rows": blocks_of(F.col("_n") - F.col("_m")), "_cols": blocks_of(F.col("_n"))})
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = at.where("label <> main").select("home", "doc_id", "label", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.col("_rows")).alias("r"), each("_cols").alias("s"))
+    right = at.select("home", "doc_id", "label", each("_rows").alias("r"), F.pmod(F.xxhash64("doc_id", F.lit(19)), F.col("_cols")).alias("s"))
+    second = left.unionByName(right).select(F.xxhash64("home", "r", "s", F.lit("cross")).alias("cid"), "doc_id", "label").distinct()
     more = materialise(_confirm(second, docs, k, num, den), "links")
     return table, components(links.unionByName(more))
 
