@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -220,6 +222,7 @@ def map_text(
     """Run ``work(bytes, bounds)`` over the texts in chunks of about 1 MB and
     put its columns beside the ``keep`` columns. ``df`` must have ``_raw``."""
     out_schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), schema])
+    types = {f.name: to_arrow_type(f.dataType) for f in StructType.fromDDL(schema)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,6 +231,6 @@ def map_text(
                 got = work(data, bounds)
                 cols = [batch.column(c).slice(i, j - i) for c in keep]
                 names = [*keep, *got]
-                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(v) for v in got.values())], names=names)
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(v, types[k]) for k, v in got.items())], names=names)
 
     return map_arrow(df.select(*keep, "_raw"), run, out_schema)

@@ -68,7 +68,7 @@ def fit(docs: DataFrame, max_docs: int = 2000, max_entries: int = 150_000, min_c
             langs = batch.column("lang").to_pylist()
             for i, j, data, bounds in chunks(batch.column("_raw")):
                 for name, n, keys, many in _counts(data, bounds, langs[i:j]):
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys)), pa.array([n] * len(keys), pa.int32()), pa.array(keys.view(np.int64)), pa.array(many.astype(np.int64))], names=["lang", "n", "key", "c"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array([n] * len(keys), pa.int32()), pa.array(keys.view(np.int64)), pa.array(many.astype(np.int64))], names=["lang", "n", "key", "c"])
 
     totals = map_arrow(texts, count, "lang string, n int, key long, c long").groupBy("lang", "n", "key").agg(F.sum("c").alias("c"))
     # the bounded sample bounds this table; the most frequent entries stay
