@@ -322,6 +322,23 @@ from z order by synergy desc, games desc, slot_a, slot_b, a, b limit 50
       coalesce(any_value(baron_side) = side, false) as nashor_first, case when any_value(baron_side) = side then any_value(baron_s) end as nashor_first_s, coalesce(any_value(tower_side) = side, false) as first_tower
       from s join ft using (event_id) group by event_id, side""",
     "gaps": "select p as gap_start, ts as gap_end, floor(epoch(ts))::bigint - floor(epoch(p))::bigint as gap_s from (select ts, lag(ts) over (order by ts) as p from events) where floor(epoch(ts)) - floor(epoch(p)) > 600",
+    "gaps_by_type": """
+select event_type, p as gap_start, ts as gap_end, floor(epoch(ts))::bigint - floor(epoch(p))::bigint as gap_s
+from (select event_type, ts, lag(ts) over (partition by event_type order by ts) as p from events where ts > (select max(ts) from events) - interval 7 day)
+where floor(epoch(ts)) - floor(epoch(p)) > 3600
+""",
+    "ingest_status": """
+with e as (select ts, event_type, '1.' || (user_id % 7) as period from events)
+select 'day' as metric, strftime(ts, '%Y-%m-%d') as key, event_type as key2, count(*)::bigint as n, null::timestamp as at from e where ts > (select max(ts) from e) - interval 7 day group by all
+union all select 'period', period, null, count(*)::bigint, max(ts) from e group by period
+union all select 'status', o_orderstatus, null, count(*)::bigint, null from orders group by o_orderstatus
+""",
+    "pair_detail": _facts(
+        "select 'bot_sup' as roles, ra.entity as a, count(*)::bigint as games, round(sum(w * ra.win::int) / sum(w), 4) as rate, round(sum(w * ra.cc_time_s / (ra.duration_s / 60.0e0)) / sum(w), 4) as a_cc_time_s, round(sum(w * rb.cc_time_s / (ra.duration_s / 60.0e0)) / sum(w), 4) as b_cc_time_s, "
+        "round(sum(w * ra.duration_s) filter (where ra.win) / sum(w) filter (where ra.win), 4) as avg_duration_win_s, round(sum(w * ra.duration_s) filter (where not ra.win) / sum(w) filter (where not ra.win), 4) as avg_duration_loss_s "
+        "from p ra join p rb on rb.event_id = ra.event_id and rb.side = ra.side and rb.slot = 'UTILITY' join win on win.period = ra.period where ra.slot = 'BOTTOM' and ra.entity = 3 group by ra.entity",
+        _WINDOW,
+    ),
     "daily_pivot": "select strftime(ts, '%Y-%m-%d') as day, " + ", ".join(f"{_F.format(f'event_type = {k!r}')} as {k}" for k in ("click", "error", "purchase", "signup", "view")) + " from events group by 1",
     "dedup": "select distinct l_orderkey, l_linenumber from lineitem where l_orderkey % 3 <> 0",
     "not_done": "select distinct c_custkey as key from customer where c_acctbal >= 0 and c_custkey not in (select o_custkey from orders where o_orderstatus = 'F')",

@@ -90,6 +90,14 @@ with o as (
 g as (
   select event_id, min(rank) as best, (count(*) filter (where rank = 2))::bigint as attempts from o where rank is not null group by 1)
 select event_id, case when best = 1 then 'excluded' when attempts >= 3 then 'error_permanent' else 'error_retryable' end as status, attempts from g where best > 0
+""",
+    "stream_silence": """
+with s as (
+  select event_type, ts, coalesce(ts - lag(ts) over g >= interval 2 hour, true)::int as fresh from events window g as (partition by event_type order by ts)),
+k as (
+  select event_type, ts, sum(fresh) over (partition by event_type order by ts rows unbounded preceding) as session from s)
+select event_type, min(ts) as start, max(ts) as last_seen, count(*)::bigint as n from k group by event_type, session
+having max(ts) + interval 2 hour <= (select max(ts) from events) - interval 1 hour
 """,
     "stream_rate": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*)::bigint as n from events group by all",
 }
