@@ -38,6 +38,8 @@ def state_of(spark: SparkSession, path: str, checkpoint: str, files_per_batch: i
     keys = {
         "spark.sql.streaming.stateStore.providerClass": ROCKS,
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        # many small stores: files take the space of their content only
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     }
     old = {k: spark.conf.get(k, None) for k in keys}
     for k, v in keys.items():
