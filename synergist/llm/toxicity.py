@@ -85,8 +85,10 @@ def train(bags: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 250, rid
     slots, sent, doc, at = [], [], [], 0
     for d, (s, k, _) in enumerate(bags):
         n = int(k[-1]) + 1 if len(k) else 0
-        slots.append(np.where((s >= 0) & useful[s], s, -1))
-        sent.append(k + at)
+        s = np.where((s >= 0) & useful[s], s, -1)
+        some = (s >= 0).any(1)  # words without a screened slot add nothing
+        slots.append(s[some].astype(np.int64))
+        sent.append(k[some].astype(np.int64) + at)
         doc.append(np.full(n, d))
         at += n
     slots, sent, doc = np.concatenate(slots), np.concatenate(sent), np.concatenate(doc)
@@ -135,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1000, max_clean: in
 
     got = map_text(texts, ["doc_id", "_y"], "s binary, k binary", work).toArrow().sort_by([("doc_id", "ascending")])
     bags = [
-        (np.frombuffer(s, np.int32).reshape(-1, 1 + len(PREFIXES)).astype(np.int64), np.frombuffer(k, np.int32).astype(np.int64), y)
+        (np.frombuffer(s, np.int32).reshape(-1, 1 + len(PREFIXES)), np.frombuffer(k, np.int32), y)
         for s, k, y in zip(got["s"].to_pylist(), got["k"].to_pylist(), got["_y"].to_pylist(), strict=True)
     ]
     return train(bags)
