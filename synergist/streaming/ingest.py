@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -103,11 +103,29 @@ def ingest_rate(df: DataFrame, ts: str = "ts", by: list[str] | None = None, dela
 
 def silence(df: DataFrame, ts: str = "ts", by: list[str] | None = None, gap: str = "3 minutes", delay: str = "1 hour") -> DataFrame:
     """Sessions of activity split by silences of ``gap``: each session's end starts
-    a silence."""
+    a silence. For a stream without end: in append mode a session comes out when the
+    watermark closes it, so those still open aren't there (see ``activity``)."""
     rows = df.withWatermark(ts, delay).groupBy(F.session_window(ts, gap), *(by or [])).agg(F.count("*").alias("n"), F.max(ts).alias("last_seen"))
     return rows.select(F.col("session_window.start").alias("start"), "last_seen", *(by or []), "n")
 
 
+def activity(df: DataFrame, ts: str = "ts", by: list[str] | None = None, gap: str = "3 minutes") -> DataFrame:
+    """Rows, first and last time of each stretch of ``gap`` (update mode). Two rows of a
+    stretch are less than ``gap`` apart, so ``sessions`` finds all sessions from these."""
+    rows = df.groupBy(F.window(ts, gap), *(by or [])).agg(F.count("*").alias("n"), F.min(ts).alias("start"), F.max(ts).alias("last_seen"))
+    return rows.select(F.col("window.start").alias("stretch"), "start", "last_seen", *(by or []), "n")
+
+
+def sessions(stretches: DataFrame, by: list[str], gap: str = "3 minutes") -> DataFrame:
+    """All sessions of ``activity``'s stretches, the open ones too. The windows see a
+    row for each stretch only."""
+    order = Window.partitionBy(*by).orderBy("start")
+    fresh = F.col("start") >= F.lag("last_seen").over(order) + F.expr(f"interval {gap}")
+    rows = stretches.withColumn("_fresh", F.coalesce(fresh, F.lit(True)).cast("int"))
+    rows = rows.withColumn("_session", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return rows.groupBy(*by, "_session").agg(F.min("start").alias("start"), F.max("last_seen").alias("last_seen"), F.sum("n").alias("n")).select("start", "last_seen", *by, "n")
+
+
 def expire(df: DataFrame, ts: str, hours: int = 24) -> DataFrame:
     """Event-time retention of a stream: later rows than the watermark allows drop
     out of its aggregates."""

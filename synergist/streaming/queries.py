@@ -67,17 +67,20 @@ def stream_rate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_silence(spark: SparkSession, d: str) -> DataFrame:
-    """Sessions of each event type split by two hours of silence."""
+    """Sessions of each event type split by two hours of silence; those that no
+    silence has closed yet are among them."""
     work = _work(spark, "silence")
-    sessions = ingest.silence(_events(spark, d), "ts", ["event_type"], "2 hours")
-    schema = sessions.schema
+    stretches = ingest.activity(_events(spark, d), "ts", ["event_type"], "2 hours")
+    schema = stretches.schema
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{work}/table/batch={batch_id}")
 
-    ingest.run_available(sessions, write, f"{work}/state", "append")
+    ingest.run_available(stretches, write, f"{work}/state", "update")
     got = spark.read.schema(schema.add("batch", "long")).parquet(f"{work}/table")
-    return got.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "n")
+    last = got.groupBy("stretch", "event_type").agg(*(F.max_by(c, "batch").alias(c) for c in ("start", "last_seen", "n")))
+    rows = ingest.sessions(last, ["event_type"], "2 hours")
+    return rows.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "n")
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (stream_ingest, stream_quarantine, stream_rate, stream_silence)}
