@@ -72,12 +72,12 @@ def basket_synergy(spark: SparkSession, d: str) -> DataFrame:
     orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
     place = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", F.col("r_name").alias("segment"))
     events = orders.join(place, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("event_id"), "segment", F.concat(F.year("o_orderdate"), F.lit(".1")).alias("period"), (F.col("o_orderstatus") == "F").alias("win"))
-    slots = R.top_k(lines.where("l_linenumber <= 5"), ["l_orderkey", "l_linenumber"], [F.col("l_partkey"), F.col("l_suppkey")], 1)
+    slots = R.top_k(lines, ["l_orderkey", "l_linenumber"], [F.col("l_partkey"), F.col("l_suppkey")], 1)
     picks = slots.join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("event_id"), F.col("l_linenumber").alias("slot"), F.col("p_brand").alias("entity"))
     picks = picks.join(events, "event_id")
     window = P.make_window(events)
     lone = P.weighted_rate(P.cut_weights(A.individual(picks), ["entity"], window), ["slot", "entity"])
-    basket = picks.groupBy("event_id", "period", "win").agg(F.array_sort(F.collect_list(F.struct("slot", "entity"))).alias("s"))  # at most five
+    basket = picks.groupBy("event_id", "period", "win").agg(F.array_sort(F.collect_list(F.struct("slot", "entity"))).alias("s"))  # at most seven
     both = basket.select("period", "win", F.explode("s").alias("x"), "s").select("period", "win", "x", F.explode(F.filter("s", lambda y: y["slot"] > F.col("x.slot"))).alias("y"))
     keys = ["slot_a", "slot_b", "a", "b"]
     pairs = both.select("period", "win", F.col("x.slot").alias("slot_a"), F.col("y.slot").alias("slot_b"), F.col("x.entity").alias("a"), F.col("y.entity").alias("b"))
