@@ -20,7 +20,8 @@ def ingest_stream(spark: SparkSession, path: str, schema, fmt: str = "json", fil
 
 def dedup_stream(df: DataFrame, keys: list[str], ts: str, delay: str = "24 hours") -> DataFrame:
     """Each key once across overlapping deliveries within ``delay``; state older
-    than the watermark is dropped. Stored keys are ruled out by the sink's anti-join."""
+    than the watermark is dropped, and so are rows later than it. Stored keys are ruled
+    out by the sink's anti-join, which is enough for a bounded replay."""
     return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
@@ -45,7 +46,8 @@ def merge_quarantine(journal: DataFrame | None, outcome: DataFrame, max_attempts
     status in 'ok', 'excluded', 'error_retryable').
 
     'excluded' is terminal; errors count attempts and turn 'error_permanent' at
-    ``max_attempts``; success removes the entry. Terminal entries never change.
+    ``max_attempts``; success removes the entry. Terminal entries never change, so
+    the result depends on the order of the batches (``quarantining``'s doesn't).
     """
     rank = F.when(F.col("status") == "ok", 0).when(F.col("status") == "excluded", 1).otherwise(2)
     now = outcome.groupBy("event_id").agg(F.min_by("status", rank).alias("now"), F.count_if(F.col("status") == "error_retryable").alias("errors"))
@@ -65,22 +67,35 @@ def merge_quarantine(journal: DataFrame | None, outcome: DataFrame, max_attempts
     return rows.select("event_id", status.alias("status"), attempts.alias("attempts")).where("status is not null")
 
 
+def tally(outcome: DataFrame) -> DataFrame:
+    """Outcomes (event_id, status) counted by event: oks, exclusions, attempts."""
+    count = lambda s: F.count_if(F.col("status") == s)
+    return outcome.groupBy("event_id").agg(count("ok").alias("oks"), count("excluded").alias("exclusions"), count("error_retryable").alias("attempts"))
+
+
 def quarantining(path: str, max_attempts: int = 3) -> Callable[[DataFrame, int], None]:
-    """Batch function: merge outcomes into the journal. Each batch writes its own
-    version beside the last, so a replay of a batch starts from the same state."""
+    """Batch function: add outcomes to the journal's tallies. An event that succeeded at
+    any time has no status, 'excluded' comes before errors; sums don't depend on how the
+    outcomes are split in batches or ordered. Each batch writes its own version beside
+    the last, so a replay of a batch starts from the same state."""
+    status = F.when(F.col("exclusions") > 0, "excluded").when(F.col("attempts") >= max_attempts, "error_permanent").otherwise("error_retryable")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         before = read_or_none(batch.sparkSession, f"{path}/version={batch_id - 1}") if batch_id else None
-        checkpointed(merge_quarantine(before, batch, max_attempts)).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        now = tally(batch)
+        if before is not None:
+            now = before.drop("status").unionByName(now).groupBy("event_id").agg(*(F.sum(c).alias(c) for c in ("oks", "exclusions", "attempts")))
+        checkpointed(now.withColumn("status", F.when(F.col("oks") == 0, status))).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
     return write
 
 
 def latest_journal(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of a journal."""
+    """The newest version of a journal: (event_id, status, attempts)."""
     rows = spark.read.parquet(path)
     top = rows.agg(F.max("version").alias("_top"))
-    return rows.join(F.broadcast(top), F.col("version") == F.col("_top")).drop("version", "_top")  # one row
+    last = rows.join(F.broadcast(top), F.col("version") == F.col("_top"))  # one row
+    return last.where("status is not null").select("event_id", "status", "attempts")
 
 
 def refreshing(rebuild: Callable[[list[str]], None], period: str = "period") -> Callable[[DataFrame, int], None]:
@@ -95,9 +110,10 @@ def refreshing(rebuild: Callable[[list[str]], None], period: str = "period") ->
     return write
 
 
-def ingest_rate(df: DataFrame, ts: str = "ts", by: list[str] | None = None, delay: str = "24 hours", width: str = "1 day") -> DataFrame:
-    """Tumbling counts."""
-    rows = df.withWatermark(ts, delay).groupBy(F.window(ts, width), *(by or [])).agg(F.count("*").alias("n"))
+def ingest_rate(df: DataFrame, ts: str = "ts", by: list[str] | None = None, delay: str | None = "24 hours", width: str = "1 day") -> DataFrame:
+    """Tumbling counts. Rows later than ``delay`` aren't counted; without a delay (a
+    bounded replay) every row is."""
+    rows = (df.withWatermark(ts, delay) if delay else df).groupBy(F.window(ts, width), *(by or [])).agg(F.count("*").alias("n"))
     return rows.select(F.col("window.start").alias("start"), *(by or []), "n")
 
 
