@@ -108,11 +108,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
 
     A word is hit if it lies in any occurrence of a window of ``span`` item words
     (of the whole item, if it is shorter). Null or empty text has no words and
-    isn't contaminated; null item_ids are left out; repeated rows each get a row.
+    isn't contaminated; null item_ids are searched too, but aren't among the items;
+    repeated rows each get a row.
     """
     key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("_k")
     keyed = docs.select("doc_id", "text", F.struct(F.col("doc_id"), key).alias("_key"))
-    bench = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text")
+    bench = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
     found = hits(keyed, bench, span, k)
     ends = F.struct("start", (F.col("start") + F.col("length")).alias("end"))
     per_doc = found.groupBy("_key").agg(F.array_sort(F.collect_set(ends)).alias("_spans"), F.array_sort(F.collect_set("item")).alias("items"))
@@ -138,6 +139,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
 def remove(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
     """The documents without any hit, with their own columns."""
     key = F.struct(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_k"))
-    bench = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text")
+    bench = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
     found = hits(docs.select("text", key.alias("_key")), bench, span, k).select(F.col("_key").alias("_hit")).distinct()
     return docs.join(found, key.eqNullSafe(F.col("_hit")), "left_anti")
