@@ -48,8 +48,9 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float
     return s.select("source", "source_size", "weight", free.alias("target"))
 
 
-def sample(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS, total: float = 1.5, stop: float = 2.0) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken of every document.
+def sample(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS, total: float = 1.5, stop: float = 2.0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken of every document,
+    and the columns ``carry``.
 
     Order within a source: size from large to small, then md5 of doc_id, then
     doc_id. Positions come from counts: sizes within a source, then 256 blocks of
@@ -60,7 +61,7 @@ def sample(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS,
     """
     name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    slim = materialise(docs.select("doc_id", "source", name.alias("_s"), word_count().alias("size"), digest.alias("_h")), "mix")
+    slim = materialise(docs.select("doc_id", "source", *carry, name.alias("_s"), word_count().alias("size"), digest.alias("_h")), "mix")
     slim = slim.withColumn("_b", F.substring("_h", 1, BLOCK_DIGITS))
     per_size = slim.groupBy("_s", "size").agg(F.count("*").alias("_n"), F.first("source", ignorenulls=True).alias("source"))
     blocks = slim.groupBy("_s", "size", "_b").agg(F.count("*").alias("_n"))
@@ -75,21 +76,26 @@ def sample(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS,
     sizes = per_size.select("_s", "size", size_base.alias("_size_base")).join(totals, "_s")
     block_base = F.coalesce(F.sum("_n").over(up_to(Window.partitionBy("_s", "size").orderBy("_b"))), F.lit(0))
     bases = blocks.select("_s", "size", "_b", block_base.alias("_block_base")).join(sizes, ["_s", "size"])
-    rank = F.row_number().over(Window.partitionBy("_s", "size", "_b").orderBy("_h", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("_s", "size", "_b").orderBy("_h", "doc_id", *carry))
     placed = slim.withColumn("_rank", rank).join(bases, ["_s", "size", "_b"])
     at = F.col("_size_base") + F.col("_block_base") + F.col("_rank")
     crossed = lambda k: F.floor(F.col("_u") + F.col("_rate") * k)
     copies = crossed(at) - crossed(at - 1)
-    return placed.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return placed.select("doc_id", "source", *carry, "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it."""
     name = "_copies"
-    while name in docs.columns:
+    while any(c.startswith(name) for c in docs.columns):
         name += "_"
-    spread = sample(docs, **options).where(F.col("copies") > 0).select("doc_id", F.col("copies").alias(name))
-    # rows that share a doc_id take the copies of all of them between them: the first takes them
-    spread = spread.groupBy("doc_id").agg(F.max(name).alias(name))
-    joined = docs.join(spread, docs["doc_id"].eqNullSafe(spread["doc_id"])).select(*(docs[c] for c in docs.columns), name)
+    key, id_key, nth = f"{name}k", f"{name}d", f"{name}n"
+    # rows are told apart by a hash of all columns, nulls marked, besides their doc_id
+    row = F.xxhash64(*(F.col(c) for c in docs.columns), *(F.col(c).isNull() for c in docs.columns))
+    keyed = docs.withColumn(key, row).withColumn(id_key, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    spread = sample(keyed, carry=(key, id_key), **options).where(F.col("copies") > 0)
+    spread = spread.groupBy(id_key, key).agg(F.sum("copies").alias(name))
+    # rows equal in all columns take their copies together: the first is repeated for all
+    first = F.row_number().over(Window.partitionBy(id_key, key).orderBy(id_key))
+    joined = keyed.withColumn(nth, first).where(F.col(nth) == 1).join(spread, [id_key, key])
     return joined.withColumn(name, F.explode(F.array_repeat(F.lit(1), F.col(name).cast("int")))).select(*docs.columns)
