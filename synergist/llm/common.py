@@ -3,6 +3,7 @@ vectorised work on Arrow text batches."""
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -89,19 +90,31 @@ def stable_split(doc_id: str, modulus: int) -> Column:
 FILTER = 1 << 23
 
 
-def maybe_in(df: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
-    """Rows of ``df`` whose ``column`` may be among the wanted ones: those whose bit
-    is set in a bitmap of the wanted values.
-
-    Texts of other rows are then not shuffled. The bitmap has a fixed size, so it is
-    broadcast whatever the number of values; with very many it lets all rows pass,
-    and the exact join that follows decides.
-    """
+def _marked(df: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """``df`` and ``_in``: whether the bit of ``column`` is set in a bitmap of the
+    wanted values. The bitmap has a fixed size, so it is broadcast whatever their
+    number."""
     spot = f"pmod(xxhash64(`{column}`, 23), {FILTER})"
     word, mask = F.expr(f"cast({spot} div 64 as int)"), F.expr(f"shiftleft(1L, cast({spot} % 64 as int))")
     bitmap = wanted.select(word.alias("_word"), mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
-    marked = df.withColumn("_word", word).join(F.broadcast(bitmap), "_word")  # at most FILTER / 64 rows
-    return marked.where(F.col("_bits").bitwiseAND(mask) != 0).drop("_word", "_bits")
+    rows = df.withColumn("_word", word).join(F.broadcast(bitmap), "_word", "left")  # at most FILTER / 64 rows
+    return rows.withColumn("_in", F.coalesce(F.col("_bits").bitwiseAND(mask) != 0, F.lit(False))).drop("_word", "_bits")
+
+
+def maybe_in(df: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may be among the wanted ones.
+
+    Texts of other rows are then not shuffled. With very many wanted values all rows
+    may pass; the exact join that follows decides.
+    """
+    return _marked(df, wanted, column).where("_in").drop("_in")
+
+
+def not_in(df: DataFrame, gone: DataFrame, column: str) -> DataFrame:
+    """Rows of ``df`` whose ``column`` isn't among the gone ones (each once). Only rows
+    that the bitmap can't tell from them are shuffled."""
+    rows = _marked(df, gone, column)
+    return rows.where("not _in").drop("_in").unionByName(rows.where("_in").drop("_in").join(gone, column, "left_anti"))
 
 
 # ---------------------------------------------------------------- Arrow text
@@ -158,19 +171,34 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BASE = 0x9E3779B97F4A7C15
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_powers: list[np.ndarray] = []
+#: Bytes up to which a span is hashed in lanes of eight; longer ones go one by one.
+LANES = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n + 1:
-        n = max(n, CHUNK) + 1
-        up = np.full(n, _BASE, np.uint64)
-        down = np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _powers[:] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers[0], _powers[1]
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each byte span: equal bytes give equal hashes anywhere.
+
+    A span is read in lanes of eight bytes, each mixed into the state by a
+    bijection, so spans of one length up to eight bytes never collide. Memory goes
+    with the number of spans, not with the bytes.
+    """
+    length = ends - starts
+    h = mix64(length.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64)))
+    if not len(starts):
+        return h
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each position
+    todo = np.flatnonzero(length <= LANES)
+    at, left = starts[todo], length[todo]
+    while len(todo):
+        h[todo] = mix64(h[todo] ^ (lanes[at] & _MASKS[np.minimum(left, 8)]))
+        more = left > 8
+        todo, at, left = todo[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(length > LANES):
+        digest = hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+        h[i] = np.frombuffer(digest, "<u8")[0]
+    return h
 
 
 class Words:
@@ -193,17 +221,12 @@ class Words:
         self.doc = np.searchsorted(bounds, self.starts, "right") - 1
         self.per_doc = np.bincount(self.doc, minlength=len(bounds) - 1)
         self.first = np.concatenate(([0], np.cumsum(self.per_doc)))
-        up, self._down = _power_tables(n)
-        self._sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[data] * up[:n], out=self._sums[1:])
 
-    def span_hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hash of each byte span; equal bytes give equal hashes anywhere."""
-        raw = (self._sums[ends] - self._sums[starts]) * self._down[starts]
-        return mix64(raw + (ends - starts).astype(np.uint64))
+    def span_hash(self, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+        return hash_spans(self.data, starts, ends, seed)
 
-    def hashes(self) -> np.ndarray:
-        return self.span_hash(self.starts, self.ends)
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        return self.span_hash(self.starts, self.ends, seed)
 
 
 def hash_words(words: list[str]) -> np.ndarray:
@@ -213,24 +236,51 @@ def hash_words(words: list[str]) -> np.ndarray:
     return w.hashes()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: A key is hot if it has one row in so many; there are at most so many hot keys.
+HOT = 1000
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has each ``key`` once. ``sizes`` has
+    (key, _rows) of all keys of ``left``.
+
+    Rows of hot keys, a thousandth of all rows or more each, meet their row of
+    ``right`` without a shuffle; at most HOT rows are broadcast for that. Every
+    other key goes to a task with less than a thousandth of the rows.
+    """
+    total = sizes.agg(F.sum("_rows").alias("_all"))
+    hot = sizes.join(F.broadcast(total)).where(F.col("_rows") * HOT >= F.col("_all")).select(key)  # one row; then at most HOT
+    known = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))  # at most HOT rows
+    fast = left.join(F.broadcast(hot), key, "left_semi").join(known, key, how)  # at most HOT rows
+    return fast.unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key, how))  # at most HOT rows
+
+
 def map_text(
     df: DataFrame,
     keep: list[str],
     schema: str,
     work: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray | list]],
+    raw: str = "_raw",
 ) -> DataFrame:
     """Run ``work(bytes, bounds)`` over the texts in chunks of about 1 MB and
-    put its columns beside the ``keep`` columns. ``df`` must have ``_raw``."""
+    put its columns beside the ``keep`` columns. ``raw`` names the column of bytes."""
     out_schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), schema])
     types = {f.name: to_arrow_type(f.dataType) for f in StructType.fromDDL(schema)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column("_raw")
-            for i, j, data, bounds in chunks(raw):
+            for i, j, data, bounds in chunks(batch.column(raw)):
                 got = work(data, bounds)
                 cols = [batch.column(c).slice(i, j - i) for c in keep]
                 names = [*keep, *got]
                 yield pa.RecordBatch.from_arrays([*cols, *(pa.array(v, types[k]) for k, v in got.items())], names=names)
 
-    return map_arrow(df.select(*keep, "_raw"), run, out_schema)
+    return map_arrow(df.select(*keep, raw), run, out_schema)

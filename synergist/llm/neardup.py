@@ -6,7 +6,8 @@ that stay large branch again on further tokens, small nodes are compared
 exhaustively on minwise sketches. What looks similar is then confirmed on the
 full sets, in groups of bounded size, and links are joined into components.
 
-Identical sets are one class from the start, so copies never multiply. A pair at
+Identical sets are one class from the start, so copies never multiply; a class is
+told by 128 bits, 64 from each of two independent hashes of the words' bytes. A pair at
 similarity s shares a child with probability s for each selected token: with 8
 first-level branches (4 trees of 2) and 2 below, a pair at 0.85 is missed in a
 share of about 1e-6 even three levels deep.
@@ -15,13 +16,14 @@ share of about 1e-6 even three levels deep.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, NONSPACE, Words, chunks, map_arrow, map_text, materialise, maybe_in, mix64, text_bytes
+from .common import FOLD, NONSPACE, Words, chunks, join_unique, map_arrow, map_text, materialise, maybe_in, mix64, not_in, text_bytes
 
 TREES, BRANCH, LEVELS = 4, 2, 3
 #: Tokens used by each level: every node of every tree has its own hash function.
@@ -33,15 +35,20 @@ SKETCH = 64
 LEAF = 1000
 GROUP = 200
 LEADERS = 16
+#: Share of the pairs at the threshold that the sketch filter may miss.
+MISS = 1e-6
 
 _MULTIPLIERS = mix64(np.arange(101, 101 + SKETCH, dtype=np.uint64)) | np.uint64(1)
 
 
-def shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int) -> list[np.ndarray]:
+def shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int, seed: int = 0) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text of a chunk. A text of
     fewer than ``k`` words is one shingle; without words the set is empty."""
-    w = Words(data, bounds, NONSPACE, FOLD)
-    h = w.hashes()
+    return _sets(Words(data, bounds, NONSPACE, FOLD), k, seed)
+
+
+def _sets(w: Words, k: int, seed: int) -> list[np.ndarray]:
+    h = w.hashes(seed)
     rolled = np.zeros(max(0, len(h) - k + 1), np.uint64)
     for j in range(k):
         rolled = mix64(rolled * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - k + 1 + j])
@@ -59,31 +66,48 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int) -> list[np.ndarra
     return out
 
 
+def _sums(sets: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit digest of each of several sets that aren't empty."""
+    at = np.concatenate(([0], np.cumsum([len(x) for x in sets])[:-1]))
+    return np.add.reduceat(mix64(np.concatenate(sets)), at)
+
+
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), d1 and d2 (digest of the set), mins (32-bit minwise
-    tokens for branching) and sig (16-bit ones for estimates)."""
+    """doc_id, _id, n (set size), d (128-bit digest of the set), mins (32-bit
+    minwise tokens for branching) and sig (16-bit ones for estimates)."""
 
     def work(data: np.ndarray, bounds: np.ndarray) -> dict:
-        sets = shingle_sets(data, bounds, k)
+        words = Words(data, bounds, NONSPACE, FOLD)
+        sets, other = _sets(words, k, 0), _sets(words, k, 1)
         n = np.array([len(s) for s in sets], np.int64)
         full = np.flatnonzero(n)
-        out = {"n": n, "d1": np.zeros(len(n), np.int64), "d2": np.zeros(len(n), np.int64), "mins": [b""] * len(n), "sig": [b""] * len(n)}
+        out = {"n": n, "d": [b""] * len(n), "mins": [b""] * len(n), "sig": [b""] * len(n)}
         if len(full):
             flat = np.concatenate([sets[i] for i in full])
             at = np.concatenate(([0], np.cumsum(n[full])[:-1]))
-            out["d1"][full] = np.add.reduceat(mix64(flat), at).view(np.int64)
-            out["d2"][full] = np.bitwise_xor.reduceat(mix64(flat + np.uint64(0xA24BAED4963EE407)), at).view(np.int64)
+            digest = np.stack([_sums([x[i] for i in full]) for x in (sets, other)], 1)
             tokens = np.empty((len(full), SKETCH), np.uint32)
             for j, m in enumerate(_MULTIPLIERS):
                 tokens[:, j] = np.minimum.reduceat((flat * m) >> np.uint64(32), at)
             low = (tokens ^ (tokens >> np.uint32(16))).astype(np.uint16)
             for row, i in enumerate(full.tolist()):
+                out["d"][i] = digest[row].tobytes()
                 out["mins"][i] = tokens[row].astype(">u4").tobytes()
                 out["sig"][i] = low[row].tobytes()
         return out
 
-    rows = docs.select("doc_id", text_bytes().alias("_raw"))
-    return map_text(rows, ["doc_id"], "n long, d1 long, d2 long, mins binary, sig binary", work)
+    rows = docs.select("doc_id", "_id", text_bytes().alias("_raw"))
+    return map_text(rows, ["doc_id", "_id"], "n long, d binary, mins binary, sig binary", work)
+
+
+def least_equal(num: int, den: int, miss: float = MISS) -> int:
+    """Equal tokens of SKETCH that a pair needs to count as similar: all but a share
+    ``miss`` of the pairs at num/den have as many (exact binomial)."""
+    s, below, t = num / den, 0.0, 0
+    while below <= miss and t <= SKETCH:
+        below += comb(SKETCH, t) * s**t * (1 - s) ** (SKETCH - t)
+        t += 1
+    return t - 1
 
 
 def _find(parent: list[int], i: int) -> int:
@@ -113,9 +137,11 @@ def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
 
 
 def _candidates(node_rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(cid, members): groups within small nodes whose sketches look similar."""
-    s = num / den
-    floor = s - 4.75 * (s * (1 - s) / SKETCH) ** 0.5
+    """(cid, members): groups within small nodes (key, doc_id, n, sig) whose sketches
+    look similar. Where the rows have a label, only documents of different labels
+    are compared."""
+    floor = least_equal(num, den)
+    labelled = "label" in node_rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cids, groups = [], []
@@ -124,10 +150,13 @@ def _candidates(node_rows: DataFrame, num: int, den: int) -> DataFrame:
                 continue
             ids, n = node["doc_id"].to_numpy(), node["n"].to_numpy()
             sig = np.frombuffer(b"".join(node["sig"].to_pylist()), np.uint16).reshape(-1, SKETCH)
+            label = node["label"].to_numpy() if labelled else None
             parent = list(range(len(ids)))
             for i in range(len(ids) - 1):
-                like = (sig[i + 1 :] == sig[i]).mean(1) >= floor
+                like = (sig[i + 1 :] == sig[i]).sum(1) >= floor
                 like &= den * np.minimum(n[i + 1 :], n[i]) >= num * np.maximum(n[i + 1 :], n[i])
+                if labelled:
+                    like &= label[i + 1 :] != label[i]
                 for j in np.flatnonzero(like) + i + 1:
                     parent[_find(parent, int(j))] = _find(parent, i)
             by: dict[int, list[int]] = {}
@@ -187,7 +216,7 @@ def _confirm(groups: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
                     b_out.append(least[_find(parent, i)])
         yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
-    texts = maybe_in(docs.select("doc_id", text_bytes().alias("_raw")), groups, "doc_id")
+    texts = maybe_in(docs.select(F.col("_id").alias("doc_id"), text_bytes().alias("_raw")), groups, "doc_id")
     rows = groups.join(texts, "doc_id").select("cid", "doc_id", "label", "_raw")
     return map_arrow(rows.repartition("cid").sortWithinPartitions("cid", "doc_id"), run, "a long, b long")
 
@@ -242,10 +271,11 @@ def _nodes(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return leaves, big
 
 
-def link(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(documents with n and class digest, labels of linked class heads)."""
+def link(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents with n and class digest, classes with their head and rows, labels
+    of linked class heads)."""
     table = materialise(sketches(docs, k), "sketch")
-    reps = table.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("mins").alias("mins"), F.first("sig").alias("sig"))
+    reps = table.where("n > 0 and _id is not null").groupBy("d").agg(F.min("_id").alias("doc_id"), F.first("n").alias("n"), F.first("mins").alias("mins"), F.first("sig").alias("sig"), F.count("*").alias("_rows"))
     reps = materialise(reps, "classes")
     leaves, big = _nodes(reps)
     node_rows = leaves.join(reps.select("doc_id", "n", "sig"), "doc_id")
@@ -272,10 +302,11 @@ def link(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFr
     first = first.select(F.xxhash64("home", "spot", F.lit("block")).alias("cid"), "doc_id", none)
     links = materialise(_confirm(whole.unionByName(first), docs, k, num, den), "links")
     if not large.take(1):
-        return table, components(links)
+        return table, reps, components(links)
 
     # second pass, exact: in each large component every document outside the main
-    # label meets all documents of the component, block by block
+    # label meets all documents of the component, block by block; sketches meet
+    # first, and texts only where they look similar under different labels
     labels = materialise(components(links), "labels")
     at = large.select("doc_id", "home").join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     at = materialise(at, "apart")
@@ -286,28 +317,83 @@ def link(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFr
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = at.where("label <> main").select("home", "doc_id", "label", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.col("_rows")).alias("r"), each("_cols").alias("s"))
     right = at.select("home", "doc_id", "label", each("_rows").alias("r"), F.pmod(F.xxhash64("doc_id", F.lit(19)), F.col("_cols")).alias("s"))
-    second = left.unionByName(right).select(F.xxhash64("home", "r", "s", F.lit("cross")).alias("cid"), "doc_id", "label").distinct()
-    more = materialise(_confirm(second, docs, k, num, den), "links")
-    return table, components(links.unionByName(more))
+    second = left.unionByName(right).select(F.xxhash64("home", "r", "s", F.lit("cross")).alias("key"), "doc_id", "label").distinct()
+    alike = _candidates(second.join(reps.select("doc_id", "n", "sig"), "doc_id"), num, den).groupBy("cid").agg(F.first("members").alias("members"))
+    alike = materialise(alike, "alike").select("cid", F.explode("members").alias("doc_id")).join(at.select("doc_id", "label"), "doc_id")
+    more = materialise(_confirm(alike.select("cid", "doc_id", "label"), docs, k, num, den), "links")
+    return table, reps, components(links.unionByName(more))
+
+
+def _identified(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``docs`` with ``_id``, a number for each different (doc_id, text), and whether
+    it differs from doc_id anywhere.
+
+    It is the doc_id where that has one text only, null ids included. Ids of several
+    texts take numbers that no doc_id has.
+    """
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    per_id = docs.select("doc_id", text.alias("_t")).groupBy("doc_id").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
+    odd = materialise(per_id.where("doc_id is not null and _lo <> _hi").select("doc_id"), "odd")
+    if not odd.take(1):
+        return docs.withColumn("_id", F.col("doc_id").cast("long")), False
+    ends = docs.agg(F.max("doc_id").cast("long").alias("hi"), F.min("doc_id").cast("long").alias("lo")).first()
+    hi, lo, room = ends.hi or 0, ends.lo or 0, 1 << 62
+    keyed = docs.withColumn("_t", text)
+    found = keyed.select("doc_id", "_t").join(odd, "doc_id", "left_semi").distinct()
+    serial = F.monotonically_increasing_id()
+    number = serial + (hi + 1) if hi < room else -serial + (lo - 1) if lo > -room else F.xxhash64("doc_id", "_t", F.lit("odd"))
+    found = materialise(found.select("doc_id", "_t", number.alias("_own")), "numbers")
+    joined = keyed.join(found, ["doc_id", "_t"], "left")
+    return joined.select(*docs.columns, F.coalesce("_own", F.col("doc_id").cast("long")).alias("_id")), True
+
+
+def _labelled(docs: DataFrame, odd: bool, shingle: int, num: int, den: int) -> DataFrame:
+    """doc_id, _id, n, label (same for all of a component) and best (its first _id) of
+    every row of identified ``docs``."""
+    table, classes, labels = link(docs, shingle, num, den)
+    heads = classes.select("d", F.col("doc_id").alias("_head")).join(labels.select(F.col("doc_id").alias("_head"), "label"), "_head", "left")
+    heads = heads.select("d", F.coalesce("label", "_head").alias("label"))
+    linked = F.col("_id").isNotNull() & (F.col("n") > 0)
+    full = join_unique(table.where(linked).select("doc_id", "_id", "n", "d"), heads, "d", classes.select("d", "_rows")).drop("d")
+    rows = full.unionByName(table.where(~linked).select("doc_id", "_id", "n", F.col("_id").alias("label")))
+    if not odd:
+        return rows.withColumn("best", F.col("label")).withColumn("component_id", F.col("label"))
+    # numbers stand for some ids: the least doc_id of a component isn't its label
+    rows = materialise(rows, "labelled")
+    first = F.min(F.struct(F.col("doc_id").alias("id"), F.col("_id").alias("own"))).alias("m")
+    alone = rows.where("label is null").withColumns({"best": F.col("label"), "component_id": F.col("label")})
+    rows = rows.where("label is not null")
+    per = rows.groupBy("label").agg(first, F.count("*").alias("_rows"))
+    best = per.select("label", F.col("m.own").alias("best"), F.col("m.id").alias("component_id"))
+    return join_unique(rows, best, "label", per.select("label", "_rows")).unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document.
+    """doc_id, n_shingles, component_id and kept of every row.
 
     Documents are linked when the Jaccard similarity of their shingle sets is at
-    least ``num``/``den``; component_id is the smallest doc_id reachable. Texts
-    without words have empty sets and link with nothing. Rows that repeat a doc_id
-    are one document; a null doc_id links with nothing and is kept.
+    least ``num``/``den``; component_id is the smallest doc_id reachable. Null or
+    empty texts and those without words have empty sets and link with nothing. A
+    document is a doc_id with its text: rows that repeat both are one document, rows
+    that share the doc_id alone aren't. A null doc_id links with nothing and is kept.
     """
-    table, labels = link(docs, shingle, num, den)
-    heads = table.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("_head"))
-    joined = table.select("doc_id", "n", "d1", "d2").join(heads, ["d1", "d2"], "left")
-    joined = joined.join(labels.select(F.col("doc_id").alias("_head"), F.col("label").alias("_label")), "_head", "left")
-    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("_label", "_head")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    named, odd = _identified(docs.select("doc_id", "text"))
+    rows = _labelled(named, odd, shingle, num, den)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("_id") == F.col("best"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One document of each component, with its own columns."""
-    gone = near_duplicates(docs, shingle, num, den).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """One row of each component, with its own columns: of the kept document's rows,
+    the first in the order of their columns as JSON. Rows without a doc_id all stay."""
+    plain = docs.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)), "doc_id", "text")
+    named, odd = _identified(plain)
+    gone = materialise(_labelled(named.select("doc_id", "text", "_id"), odd, shingle, num, den).where("_id <> best").select("_id").distinct(), "gone")
+    kept = not_in(named, gone, "_id")
+    own = [f"_{i}" for i in range(len(docs.columns))]
+    again = named.groupBy("_id").agg(F.count("*").alias("_c")).where("_id is not null and _c > 1").select("_id")
+    again = materialise(again, "again")
+    if again.take(1):
+        row = F.struct(*own)
+        twice = kept.join(again, "_id", "left_semi").groupBy("_id").agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")
+        kept = kept.join(again, "_id", "left_anti").select(*own).unionByName(twice)
+    return kept.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)))
