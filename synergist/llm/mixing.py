@@ -11,11 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import free_name, materialise
 
 #: Weights given to the sources by code point order, repeating (fixed values).
 WEIGHTS = (5, 2, 1)
-BLOCK_DIGITS = 2
 
 
 def word_count(col: str = "text") -> Column:
@@ -29,7 +28,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float
     The targets share ``total`` times all sizes by weight; a target stops at
     ``stop`` times its source's size and the excess is reshared by weight until
     none is above. In order of stop/weight the stopped sources come first, so
-    the level of the others follows from running sums.
+    the level of the others follows from running sums. The sums run over one row for
+    each source.
     """
     everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     place = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary")))
@@ -53,49 +53,53 @@ def sample(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS,
     and the columns ``carry``.
 
     Order within a source: size from large to small, then md5 of doc_id, then
-    doc_id. Positions come from counts: sizes within a source, then 256 blocks of
-    md5 within a size, then the rows of a block, so no task sees a whole source's
-    rows. The offset of a source comes from md5 of the seed and its name.
-    Null text has size 0; null sources are one source, last in order; an empty
-    source has target 0 and no copies. Repeated rows are separate documents.
+    doc_id, then a hash of the text and ``carry``; rows equal in all of these are
+    interchangeable and follow a number of their own. Positions are prefix sums over ranges of that
+    order, so no task sees a whole source, size or id. The offset of a source comes
+    from md5 of the seed and its name. Null text has size 0; null sources are one
+    source, last in order; an empty source has target 0 and no copies. Repeated rows
+    are separate documents.
     """
     name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    slim = materialise(docs.select("doc_id", "source", *carry, name.alias("_s"), word_count().alias("size"), digest.alias("_h")), "mix")
-    slim = slim.withColumn("_b", F.substring("_h", 1, BLOCK_DIGITS))
-    per_size = slim.groupBy("_s", "size").agg(F.count("*").alias("_n"), F.first("source", ignorenulls=True).alias("source"))
-    blocks = slim.groupBy("_s", "size", "_b").agg(F.count("*").alias("_n"))
-
-    totals = targets(per_size.groupBy("_s").agg(F.first("source", ignorenulls=True).alias("source"), F.sum(F.col("size") * F.col("_n")).alias("source_size")).select("source", "source_size"), weights, total, stop)
+    slim = docs.select("doc_id", "source", *carry, name.alias("_s"), word_count().alias("size"), digest.alias("_h"), F.xxhash64("text").alias("_t"), F.monotonically_increasing_id().alias("_i"))
+    slim = materialise(slim, "mix")
+    order = [F.col("size").desc(), F.col("_h"), F.col("doc_id"), F.col("_t"), *map(F.col, carry), F.col("_i")]
+    # ranges of the order, fixed by writing them out; their number follows the cluster's
+    ranged = materialise(slim.repartitionByRange("_s", *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    parts = ranged.groupBy("_s", "_p").agg(F.count("*").alias("_n"), F.first("source", ignorenulls=True).alias("source"), F.sum("size").alias("_size"))
+    parts = materialise(parts, "parts")  # a row for each range of a source
+
+    sizes = parts.groupBy("_s").agg(F.first("source", ignorenulls=True).alias("source"), F.sum("_size").alias("source_size"))
+    totals = targets(sizes.select("source", "source_size"), weights, total, stop)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("_s")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     totals = totals.withColumn("_s", name).select("_s", "source_size", "target", rate.alias("_rate"), offset.alias("_u"))
 
-    up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    size_base = F.coalesce(F.sum("_n").over(up_to(Window.partitionBy("_s").orderBy(F.col("size").desc()))), F.lit(0))
-    sizes = per_size.select("_s", "size", size_base.alias("_size_base")).join(totals, "_s")
-    block_base = F.coalesce(F.sum("_n").over(up_to(Window.partitionBy("_s", "size").orderBy("_b"))), F.lit(0))
-    bases = blocks.select("_s", "size", "_b", block_base.alias("_block_base")).join(sizes, ["_s", "size"])
-    rank = F.row_number().over(Window.partitionBy("_s", "size", "_b").orderBy("_h", "doc_id", *carry))
-    placed = slim.withColumn("_rank", rank).join(bases, ["_s", "size", "_b"])
-    at = F.col("_size_base") + F.col("_block_base") + F.col("_rank")
+    before = Window.partitionBy("_s").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.select("_s", "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")).join(totals, "_s")
+    rank = F.row_number().over(Window.partitionBy("_p", "_s").orderBy(*order))
+    placed = ranged.withColumn("_rank", rank).join(bases, ["_p", "_s"])
+    at = F.col("_base") + F.col("_rank")
     crossed = lambda k: F.floor(F.col("_u") + F.col("_rate") * k)
     copies = crossed(at) - crossed(at - 1)
     return placed.select("doc_id", "source", *carry, "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each row repeated as often as the mix takes it."""
-    name = "_copies"
-    while any(c.startswith(name) for c in docs.columns):
-        name += "_"
-    key, id_key, nth = f"{name}k", f"{name}d", f"{name}n"
+    """``docs`` with each row repeated as often as the mix takes it.
+
+    Rows equal in all columns take their copies together: one is repeated for all.
+    """
+    key, id_key, name = (free_name(docs, f"_mix_{x}") for x in ("key", "id", "copies"))
     # rows are told apart by a hash of all columns, nulls marked, besides their doc_id
-    row = F.xxhash64(*(F.col(c) for c in docs.columns), *(F.col(c).isNull() for c in docs.columns))
+    row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns), *(F.col(f"`{c}`").isNull() for c in docs.columns))
     keyed = docs.withColumn(key, row).withColumn(id_key, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    spread = sample(keyed, carry=(key, id_key), **options).where(F.col("copies") > 0)
-    spread = spread.groupBy(id_key, key).agg(F.sum("copies").alias(name))
-    # rows equal in all columns take their copies together: the first is repeated for all
-    first = F.row_number().over(Window.partitionBy(id_key, key).orderBy(id_key))
-    joined = keyed.withColumn(nth, first).where(F.col(nth) == 1).join(spread, [id_key, key])
-    return joined.withColumn(name, F.explode(F.array_repeat(F.lit(1), F.col(name).cast("int")))).select(*docs.columns)
+    spread = sample(keyed, carry=(key, id_key), **options).groupBy(id_key, key).agg(F.sum("copies").alias(name), F.count("*").alias("_rows"))
+    spread = materialise(spread, "copies")
+    again = spread.where("_rows > 1").select(id_key, key)
+    if again.take(1):
+        once = keyed.join(again, [id_key, key], "left_anti")
+        keyed = once.unionByName(keyed.join(again, [id_key, key], "left_semi").dropDuplicates([id_key, key]))
+    joined = keyed.join(spread.where(F.col(name) > 0).select(id_key, key, name), [id_key, key])
+    return joined.withColumn(name, F.explode(F.array_repeat(F.lit(1), F.col(name).cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
