@@ -2,20 +2,24 @@
 
 Documents arrive as a stream of files. Keyed state on disk (RocksDB), without
 expiry, retains for every digest a stable identifier and the locator (file and
-row) of the copy to keep. Hits are then checked against the full bytes found
-through the locator. Everything is DataFrame operations.
+row) of the copy to keep. Hits are then checked on their full bytes. Everything is
+DataFrame operations.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialise, maybe_in
+from .common import fresh_path, join_unique, materialise, maybe_in
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def digest_of(body: Column) -> Column:
+    return F.sha2(body.cast("binary"), 256)
+
+
 def _located(df: DataFrame, normalise) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     body: Column = normalise(text) if normalise else text
@@ -24,7 +28,7 @@ def _located(df: DataFrame, normalise) -> DataFrame:
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.row_index").alias("row"),
         body.alias("body"),
-        F.sha2(body.cast("binary"), 256).alias("digest"),
+        digest_of(body).alias("digest"),
     )
 
 
@@ -46,7 +50,8 @@ def state_of(spark: SparkSession, path: str, checkpoint: str, files_per_batch: i
         spark.conf.set(k, v)
     try:
         source = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
-        docs = source.parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern, so that a single file is a source too
+        # as a pattern, so that a single file is a source too
+        docs = source.parquet(path if set(path) & set("*?[{\\") else f"{path[:-1]}[{path[-1]}]")
         state = (
             _located(docs, normalise)
             .withColumn("n_bytes", F.octet_length("body"))
@@ -76,26 +81,39 @@ def deduplicate(spark: SparkSession, path: str, checkpoint: str | None = None, f
     unchanged); null counts as empty. The row with the largest doc_id stays (null
     is smallest; of rows that repeat it, the last file and row), so exactly one
     row of a group is kept. Where texts of one digest differ in their bytes,
-    each text is a group of its own.
+    each text is a group of its own. ``path`` is a table or a file pattern.
     """
     checkpoint = checkpoint or fresh_path(spark, "dedup")
     state = materialise(state_of(spark, path, checkpoint, files_per_batch, normalise), "state")
     docs = _located(spark.read.parquet(path), normalise)
     groups = state.select("digest", "keep", "copies")
-    repeated = groups.where(F.col("copies") > 1)
-    # texts move for hits only; rows without a hit need their digest alone
-    single = docs.drop("body").join(groups.where(F.col("copies") == 1), "digest")
-    hits = maybe_in(docs, repeated, "digest").join(repeated, "digest")
-    # the kept copy's full bytes, through its locator
-    original = hits.where((F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))).select("digest", F.col("body").alias("_original"))
-    checked = hits.join(original, "digest").withColumn("_same", F.col("body") == F.col("_original"))
-
-    columns = [F.col("doc_id"), F.col("keep.doc_id").alias("keep_id"), F.col("copies").alias("group_size"), ((F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))).alias("kept"), F.col("digest").alias("text_sha256")]
-    slim = checked.select("doc_id", "file", "row", "keep", "copies", "digest", "_same", F.when(~F.col("_same"), F.col("body")).alias("_other"))
-    # a digest's texts that differ from its kept copy form groups by their own bytes
-    other = slim.where(~F.col("_same"))
-    per_text = other.groupBy("digest", "_other").agg(F.max(F.struct("doc_id", "file", "row")).alias("keep"), F.count("*").alias("copies"))
-    wrong = other.groupBy("digest").agg(F.count("*").alias("_wrong"))
-    same = slim.where(F.col("_same")).join(wrong, "digest", "left").withColumn("copies", F.col("copies") - F.coalesce("_wrong", F.lit(0)))
-    odd = other.select("doc_id", "file", "row", "digest", "_other").join(per_text, ["digest", "_other"])
-    return single.select(*columns).unionByName(same.select(*columns)).unionByName(odd.select(*columns))
+    sizes = state.select("digest", F.col("copies").alias("_rows"))
+    clash = materialise(clashes(docs, state.where("copies > 1").select("digest")), "clashes")
+    slim = docs.drop("body")
+    if clash.take(1):
+        plain = join_unique(slim.join(clash, "digest", "left_anti"), groups, "digest", sizes)
+        return _rows(plain).unionByName(_rows(_by_text(docs, clash)))
+    return _rows(join_unique(slim, groups, "digest", sizes))
+
+
+def clashes(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Digests of ``repeated`` whose documents aren't all the same bytes.
+
+    The full bytes of every hit, the located copy's among them, are compared: the
+    least and the largest text of a digest are equal or it's a clash. Both are found
+    before the shuffle, so a hot digest sends two texts for each task.
+    """
+    ends = maybe_in(docs.select("digest", "body"), repeated, "digest").groupBy("digest").agg(F.min("body").alias("lo"), F.max("body").alias("hi"))
+    return ends.where("lo <> hi").select("digest").join(repeated, "digest", "left_semi")
+
+
+def _by_text(docs: DataFrame, clash: DataFrame) -> DataFrame:
+    """The documents of clashing digests with the kept copy of their own text."""
+    rows = docs.join(clash, "digest", "left_semi")
+    per_text = rows.groupBy("digest", "body").agg(F.max(F.struct("doc_id", "file", "row")).alias("keep"), F.count("*").alias("copies"))
+    return rows.join(per_text, ["digest", "body"])
+
+
+def _rows(joined: DataFrame) -> DataFrame:
+    kept = (F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))
+    return joined.select("doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("copies").alias("group_size"), kept.alias("kept"), F.col("digest").alias("text_sha256"))
