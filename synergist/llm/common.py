@@ -90,15 +90,26 @@ def stable_split(doc_id: str, modulus: int) -> Column:
 FILTER = 1 << 23
 
 
-def _marked(df: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
-    """``df`` and ``_in``: whether the bit of ``column`` is set in a bitmap of the
-    wanted values. The bitmap has a fixed size, so it is broadcast whatever their
-    number."""
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _split(df: DataFrame, wanted: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose ``column`` may be among the wanted values, rows whose column isn't
+    for sure), by a bitmap of the wanted values. It has a fixed size, so it is broadcast
+    whatever their number."""
+    word, bits = free_name(df, "_word"), free_name(df, "_bits")
     spot = f"pmod(xxhash64(`{column}`, 23), {FILTER})"
-    word, mask = F.expr(f"cast({spot} div 64 as int)"), F.expr(f"shiftleft(1L, cast({spot} % 64 as int))")
-    bitmap = wanted.select(word.alias("_word"), mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
-    rows = df.withColumn("_word", word).join(F.broadcast(bitmap), "_word", "left")  # at most FILTER / 64 rows
-    return rows.withColumn("_in", F.coalesce(F.col("_bits").bitwiseAND(mask) != 0, F.lit(False))).drop("_word", "_bits")
+    at, mask = F.expr(f"cast({spot} div 64 as int)"), F.expr(f"shiftleft(1L, cast({spot} % 64 as int))")
+    bitmap = wanted.select(at.alias(word), mask.alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits))
+    rows = df.withColumn(word, at).join(F.broadcast(bitmap), word, "left")  # at most FILTER / 64 rows
+    own = [F.col(f"`{c}`") for c in df.columns]
+    hit = F.coalesce(F.col(bits).bitwiseAND(mask) != 0, F.lit(False))
+    return rows.where(hit).select(*own), rows.where(~hit).select(*own)
 
 
 def maybe_in(df: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
@@ -107,14 +118,38 @@ def maybe_in(df: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
     Texts of other rows are then not shuffled. With very many wanted values all rows
     may pass; the exact join that follows decides.
     """
-    return _marked(df, wanted, column).where("_in").drop("_in")
+    return _split(df, wanted, column)[0]
+
+
+def unlike(df: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """The rows that ``maybe_in`` leaves out."""
+    return _split(df, wanted, column)[1]
 
 
 def not_in(df: DataFrame, gone: DataFrame, column: str) -> DataFrame:
-    """Rows of ``df`` whose ``column`` isn't among the gone ones (each once). Only rows
-    that the bitmap can't tell from them are shuffled."""
-    rows = _marked(df, gone, column)
-    return rows.where("not _in").drop("_in").unionByName(rows.where("_in").drop("_in").join(gone, column, "left_anti"))
+    """Rows of ``df`` whose ``column`` isn't among the gone ones. Only rows that the
+    bitmap can't tell from them are shuffled."""
+    likely, rest = _split(df, gone, column)
+    return rest.unionByName(likely.join(gone, column, "left_anti"))
+
+
+#: A key is hot if it has one row in so many; there are at most so many hot keys.
+HOT = 1000
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has each ``key`` once. ``sizes`` has
+    (key, _rows) of all keys of ``left``.
+
+    Rows of hot keys, a thousandth of all rows or more each, meet their row of
+    ``right`` without a shuffle; at most HOT rows are broadcast for that. Every
+    other key goes to a task with less than a thousandth of the rows.
+    """
+    total = sizes.agg(F.sum("_rows").alias("_all"))
+    hot = sizes.join(F.broadcast(total)).where(F.col("_rows") * HOT >= F.col("_all")).select(key)  # one row; then at most HOT
+    known = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))  # at most HOT rows
+    fast = left.join(F.broadcast(hot), key, "left_semi").join(known, key, how)  # at most HOT rows
+    return fast.unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key, how))  # at most HOT rows
 
 
 # ---------------------------------------------------------------- Arrow text
@@ -236,33 +271,6 @@ def hash_words(words: list[str]) -> np.ndarray:
     return w.hashes()
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` doesn't have, in whatever case."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
-#: A key is hot if it has one row in so many; there are at most so many hot keys.
-HOT = 1000
-
-
-def join_unique(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, how: str = "inner") -> DataFrame:
-    """``left`` joined with ``right``, which has each ``key`` once. ``sizes`` has
-    (key, _rows) of all keys of ``left``.
-
-    Rows of hot keys, a thousandth of all rows or more each, meet their row of
-    ``right`` without a shuffle; at most HOT rows are broadcast for that. Every
-    other key goes to a task with less than a thousandth of the rows.
-    """
-    total = sizes.agg(F.sum("_rows").alias("_all"))
-    hot = sizes.join(F.broadcast(total)).where(F.col("_rows") * HOT >= F.col("_all")).select(key)  # one row; then at most HOT
-    known = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))  # at most HOT rows
-    fast = left.join(F.broadcast(hot), key, "left_semi").join(known, key, how)  # at most HOT rows
-    return fast.unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key, how))  # at most HOT rows
-
-
 def map_text(
     df: DataFrame,
     keep: list[str],

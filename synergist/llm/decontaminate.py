@@ -3,7 +3,8 @@
 Hashes of k consecutive words are thinned to the minimum of each window of w
 hashes; with k + w - 1 = 10 every shared run of 10 words shares a fingerprint.
 Training and benchmark fingerprints are joined, and hits are extended to exact
-10-word windows in the documents that have one.
+10-word windows in the documents that have one. One pass over the documents finds
+the candidates for benchmark items of every length.
 """
 
 from __future__ import annotations
@@ -11,17 +12,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import free_name, join_unique, materialise, maybe_in, not_in, unlike
 
 SPAN = 10
 K = 5
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before lower-casing A-Z: folding moves no word boundary.
+RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def fold(word: Column) -> Column:
+    """A-Z lower-cased. Words of ASCII alone take the plain function, which is faster."""
+    return F.when(F.octet_length(word) == F.char_length(word), F.lower(word)).otherwise(F.translate(word, UPPER, UPPER.lower()))
+
+
 def words(col: str = "text") -> Column:
     """Words after lower-casing A-Z; null has none."""
-    return F.regexp_extract_all(F.translate(F.coalesce(F.col(col), F.lit("")), UPPER, UPPER.lower()), F.lit(WORD), F.lit(0))
+    return F.transform(F.regexp_extract_all(F.coalesce(F.col(col), F.lit("")), F.lit(RAW_WORD), F.lit(0)), fold)
 
 
 def gram_hashes(hashes: Column, k: int) -> Column:
@@ -39,16 +47,14 @@ def winnow(grams: Column, w: int) -> Column:
     return F.when(n >= w, F.array_distinct(least)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _word_hashes(col: str) -> Column:
-    return F.transform(words(col), lambda x: F.xxhash64(x))
-
-
-def fingerprints(df: DataFrame, keys: list[str], span: int, k: int) -> DataFrame:
-    """``keys`` and one row for each distinct fingerprint ``fp`` of a text."""
+def fingerprints(df: DataFrame, keys: list[str], span: int, k: int, short: tuple[int, ...] = ()) -> DataFrame:
+    """``keys`` and one row for each distinct fingerprint ``fp`` of a text: the
+    winnowed ones, and all runs of the ``short`` lengths."""
     # each step a column of its own, so that no lambda computes it again
-    df = df.select(*keys, _word_hashes("text").alias("_w"))
-    df = df.select(*keys, gram_hashes(F.col("_w"), k).alias("_g"))
-    return df.select(*keys, F.explode(winnow(F.col("_g"), span - k + 1)).alias("fp"))
+    df = df.select(*keys, F.transform(words(), lambda x: F.xxhash64(x)).alias("_w"))
+    df = df.select(*keys, "_w", gram_hashes(F.col("_w"), k).alias("_g"))
+    all_ = [winnow(F.col("_g"), span - k + 1), *(gram_hashes(F.col("_w"), n) for n in short)]
+    return df.select(*keys, F.explode(F.array_distinct(F.concat(*all_)) if short else all_[0]).alias("fp"))
 
 
 def windows(df: DataFrame, keys: list[str], length: int) -> DataFrame:
@@ -60,36 +66,42 @@ def windows(df: DataFrame, keys: list[str], length: int) -> DataFrame:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
-    """(_key, item, start, length) of every occurrence of an item's window.
+    """(_key, items, start, length) of every occurrence of a benchmark window, with
+    the sorted items that have it.
 
-    ``docs`` has _key and text, ``benchmark`` item and text. Items of fewer than
-    ``span`` words are looked up as one window through the hashes of all runs of
-    their length.
+    ``docs`` has _key (equal only for equal texts) and text, ``benchmark`` item and
+    text. Items of fewer than ``span`` words are looked up as one window through the
+    hashes of all runs of their length. Windows are joined, not items: a passage of
+    many items makes one row for each place.
     """
     items = benchmark.select("item", words().alias("_words")).where(F.size("_words") > 0)
-    short = sorted(r[0] for r in items.select(F.size("_words").alias("n")).where(F.col("n") < span).distinct().collect())  # at most span - 1 values
-    bench_fp = fingerprints(benchmark, [], span, k).distinct()
-    found = [fingerprints(docs, ["_key"], span, k).join(bench_fp, "fp", "left_semi").select("_key")]
-    bench_windows = [windows(items, ["item"], span).select("item", "window", F.lit(span).alias("length"))]
-    for n in short:
-        own = items.where(F.size("_words") == n)
-        bench_windows.append(windows(own, ["item"], n).select("item", "window", F.lit(n).alias("length")))
-        whole = F.transform("_words", lambda x: F.xxhash64(x))
-        probe = own.select(F.explode(gram_hashes(whole, n)).alias("fp")).distinct()
-        grams = docs.select("_key", _word_hashes("text").alias("_w"))
-        found.append(grams.select("_key", F.explode(F.array_distinct(gram_hashes(F.col("_w"), n))).alias("fp")).join(probe, "fp", "left_semi").select("_key"))
-    candidates = found[0]
-    for more in found[1:]:
-        candidates = candidates.unionByName(more)
-    candidates = materialise(candidates.distinct(), "leaks")
-    texts = docs.join(candidates, "_key", "left_semi").select("_key", words().alias("_words")).dropDuplicates(["_key"])
-    probes = bench_windows[0]
-    for more in bench_windows[1:]:
-        probes = probes.unionByName(more)
-    runs = windows(texts, ["_key"], span)
-    for n in short:
-        runs = runs.unionByName(windows(texts, ["_key"], n))
-    return runs.join(probes.distinct(), "window").select("_key", "item", F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"))
+    n = F.least(F.size("_words"), F.lit(span))
+    items = materialise(items.withColumn("length", n), "items")
+    short = tuple(sorted(r[0] for r in items.where(F.col("length") < span).select("length").distinct().collect()))  # at most span - 1 values
+    probe = fingerprints(benchmark, [], span, k)
+    bench_windows = windows(items, ["item", "length"], span)
+    for m in short:
+        own = items.where(F.col("length") == m)
+        probe = probe.unionByName(own.select(F.explode(gram_hashes(F.transform("_words", lambda x: F.xxhash64(x)), m)).alias("fp")))
+        bench_windows = bench_windows.unionByName(windows(own, ["item", "length"], m))
+    probe = materialise(probe.distinct(), "probe")
+    classes = bench_windows.groupBy("window", "length").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    classes = materialise(classes.select("*", F.xxhash64("window", "length").alias("_wid")), "windows")
+
+    likely = maybe_in(fingerprints(docs, ["_key"], span, k, short), probe, "fp")
+    candidates = materialise(likely.join(probe, "fp", "left_semi").select("_key").distinct(), "leaks")
+    texts = maybe_in(docs.select("_key", "text"), candidates, "_key").join(candidates, "_key", "left_semi")
+    texts = texts.dropDuplicates(["_key"]).select("_key", words().alias("_words"))
+    runs = windows(texts, ["_key"], span).withColumn("length", F.lit(span))
+    for m in short:
+        runs = runs.unionByName(windows(texts, ["_key"], m).withColumn("length", F.lit(m)))
+    runs = runs.withColumn("_wid", F.xxhash64("window", "length"))
+    runs = materialise(maybe_in(runs, classes.select("_wid"), "_wid"), "runs")
+    # a window is told by its words and length; the number only names it
+    name = F.struct("window", "length").alias("_window")
+    sizes = runs.groupBy(name).agg(F.count("*").alias("_rows"))
+    found = join_unique(runs.select("_key", "start", name), classes.select(name, "items"), "_window", sizes)
+    return found.select("_key", "items", F.col("start").cast("long").alias("start"), F.col("_window.length").cast("long").alias("length"))
 
 
 def _covered(spans: Column) -> Column:
@@ -102,6 +114,11 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, step)["n"]
 
 
+def _key_of(text: str) -> Column:
+    """Names a text: equal only for equal texts, short, and never null."""
+    return F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and items of
     every document.
@@ -109,20 +126,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
     A word is hit if it lies in any occurrence of a window of ``span`` item words
     (of the whole item, if it is shorter). Null or empty text has no words and
     isn't contaminated; null item_ids are searched too, but aren't among the items;
-    repeated rows each get a row.
+    repeated rows each get a row, and equal texts are searched once.
     """
-    key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("_k")
-    keyed = docs.select("doc_id", "text", F.struct(F.col("doc_id"), key).alias("_key"))
+    keyed = docs.select("doc_id", "text", _key_of("text").alias("_key"))
     bench = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
     found = hits(keyed, bench, span, k)
     ends = F.struct("start", (F.col("start") + F.col("length")).alias("end"))
-    per_doc = found.groupBy("_key").agg(F.array_sort(F.collect_set(ends)).alias("_spans"), F.array_sort(F.collect_set("item")).alias("items"))
-    per_doc = per_doc.select("_key", _covered(F.col("_spans")).alias("n_hit"), "items")
-    n_words = F.coalesce(F.regexp_count(F.translate("text", UPPER, UPPER.lower()), F.lit(WORD)), F.lit(0)).cast("long")
-    slim = keyed.select("doc_id", "_key", n_words.alias("n_words"))
-    # struct keys compare null-safely field by field only through the hash: spell it out
-    left, right = slim["_key"], per_doc["_key"]
-    joined = slim.join(per_doc, left.eqNullSafe(right), "left")
+    per_doc = found.groupBy("_key").agg(F.array_sort(F.collect_set(ends)).alias("_spans"), F.collect_set("items").alias("_lists"))
+    per_doc = per_doc.select("_key", _covered(F.col("_spans")).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("_lists"))).alias("items"))
+    per_doc = materialise(per_doc, "hits")
+    n_words = F.coalesce(F.regexp_count("text", F.lit(RAW_WORD)), F.lit(0)).cast("long")
+    slim = materialise(keyed.select("doc_id", "_key", n_words.alias("n_words")), "counted")
+    # rows without a hit need no join; a text of many rows doesn't go to one task
+    likely = maybe_in(slim, per_doc, "_key")
+    sizes = likely.groupBy("_key").agg(F.count("*").alias("_rows"))
+    joined = join_unique(likely, per_doc, "_key", sizes, "left")
+    rest = unlike(slim, per_doc, "_key").select("*", F.lit(None).cast("long").alias("n_hit"), F.lit(None).cast("array<string>").alias("items"))
+    joined = joined.unionByName(rest)
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     items = F.coalesce("items", F.array().cast("array<string>"))
     return joined.select(
@@ -138,7 +158,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
 
 def remove(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
     """The documents without any hit, with their own columns."""
-    key = F.struct(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_k"))
+    key = free_name(docs, "_hit")
     bench = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
-    found = hits(docs.select("text", key.alias("_key")), bench, span, k).select(F.col("_key").alias("_hit")).distinct()
-    return docs.join(found, key.eqNullSafe(F.col("_hit")), "left_anti")
+    found = materialise(hits(docs.select("text", _key_of("text").alias("_key")), bench, span, k).select(F.col("_key").alias(key)).distinct(), "hits")
+    return not_in(docs.withColumn(key, _key_of("text")), found, key).drop(key)
