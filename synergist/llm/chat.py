@@ -9,6 +9,8 @@ strings inside roles and texts are escaped, so the output can be read back.
 
 A backslash precedes the second character of a control string and every
 backslash of a text is doubled; reading back drops one backslash of each pair.
+Neighbouring text parts are escaped as one text, so that none of them ends a control
+string that another begins.
 """
 
 from __future__ import annotations
@@ -56,6 +58,7 @@ class PartVisitor:
         self.size = sum(map(len, self.out))
         self.learn = learn
         self.loss: list[dict] = []
+        self.texts: list[str] = []  # text parts since the last attachment
         self.attachments: list[dict] = []
 
     def visit(self, part: dict) -> None:
@@ -66,18 +69,24 @@ class PartVisitor:
         self.size += len(s)
 
     def visit_text(self, part: dict) -> None:
+        self.texts.append(part.get("text") or "")
+
+    def _flush(self) -> None:
         start = self.size
-        self._put(escape(part.get("text") or ""))
+        self._put(escape("".join(self.texts)))
+        self.texts = []
         if self.learn and self.size > start:
             self.loss.append({"start": start, "end": self.size})
 
     def _attach(self, part: dict) -> None:
+        self._flush()
         self.attachments.append({"type": part["type"], "ref": part.get("ref"), "position": self.size, "n_tokens": part.get("n_tokens") or 0})
         self._put(PLACEHOLDERS[part["type"]])
 
     visit_image = visit_audio = visit_document = _attach
 
     def done(self) -> str:
+        self._flush()
         self._put(END + "\n")
         return "".join(self.out)
 
@@ -93,7 +102,7 @@ def format_turns(turns: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> D
     """One formatted row for each row of ``turns`` (conv_id, turn, role, parts).
 
     ``loss`` has the spans, in code points of ``formatted``, to learn from: the
-    texts of the roles in ``learn``. ``attachments`` lists the placeholders in
+    texts of the roles in ``learn``, a span for each run of text parts. ``attachments`` lists the placeholders in
     order with their references and positions; ``expanded_tokens`` is the number
     of tokens they stand for. Null roles are '', null or empty parts give an empty
     turn.
