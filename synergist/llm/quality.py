@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NONSPACE, Words, map_text, stable_split, text_bytes
+from .common import CHUNK, NONSPACE, Words, free_name, map_text, stable_split, text_bytes
 
 #: Byte classes of the bigram statistics (fixed values); other bytes fall in class 0.
 CLASSES = [
@@ -22,7 +22,7 @@ CLASSES = [
 N_CLASS = len(CLASSES) + 1
 N_FEATURES = N_CLASS * N_CLASS + 6
 
-_CLASS_OF = np.zeros(256, np.int64)
+_CLASS_OF = np.zeros(256, np.int32)
 for _i, _c in enumerate(CLASSES):
     _CLASS_OF[list(_c)] = _i + 1
 
@@ -32,13 +32,19 @@ def features(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     bigrams and shares of repeated words and lines. An empty text gives zeros."""
     n = len(bounds) - 1
     size = np.diff(bounds)
-    doc = np.repeat(np.arange(n), size)
-    cls = _CLASS_OF[data]
-    same = doc[1:] == doc[:-1]
-    key = (doc[1:] * N_CLASS + cls[1:]) * N_CLASS + cls[:-1]
-    grams = np.bincount(key[same], minlength=n * N_CLASS * N_CLASS).reshape(n, -1)
+    grams = 0
+    # in pieces that overlap by a byte: a very long text takes no more memory than a chunk
+    for a in range(0, len(data), CHUNK):
+        b = min(len(data), a + CHUNK + 1)
+        at = np.searchsorted(bounds, [a, b - 1], "right") - 1
+        inside = np.clip(bounds[at[0] : at[1] + 2], a, b)
+        doc = np.repeat(np.arange(at[0], at[1] + 1, dtype=np.int32), np.diff(inside))
+        cls = _CLASS_OF[data[a:b]]
+        key = ((doc[1:] * N_CLASS + cls[1:]) * N_CLASS + cls[:-1])[doc[1:] == doc[:-1]]
+        grams = np.bincount(key, minlength=n * N_CLASS * N_CLASS) + grams
     out = np.zeros((n, N_FEATURES), np.float32)
-    out[:, : N_CLASS * N_CLASS] = np.sqrt(grams / np.maximum(1, size - 1)[:, None])
+    if len(data):
+        out[:, : N_CLASS * N_CLASS] = np.sqrt(grams.reshape(n, -1) / np.maximum(1, size - 1)[:, None])
     extra = out[:, N_CLASS * N_CLASS :]
 
     w = Words(data, bounds, NONSPACE)
@@ -112,26 +118,31 @@ def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, rounds: int = 300,
     return w
 
 
-def _matrix(docs: DataFrame) -> np.ndarray:
+def _matrix(docs: DataFrame, most: int, seed: int) -> np.ndarray:
+    """Features of at most ``most`` different (doc_id, text) of ``docs``, the first by
+    a hash of the doc_id, in that order whatever the layout of the table."""
+
     def work(data: np.ndarray, bounds: np.ndarray) -> dict:
         return {"x": [r.tobytes() for r in features(data, bounds)]}
 
-    rows = map_text(docs.select(text_bytes().alias("_raw")), [], "x binary", work).toArrow()
-    got = rows.column("x").combine_chunks()
-    x = np.frombuffer(b"".join(v.as_py() for v in got), np.float32).reshape(-1, N_FEATURES)
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("doc_id", F.lit(seed)).alias("_r"), F.xxhash64("text").alias("_t"), text_bytes().alias("_raw"))
+    drawn = rows.select("_r", "doc_id", "_t").distinct().orderBy("_r", "doc_id", "_t").limit(most)
+    picked = rows.join(F.broadcast(drawn), ["_r", "doc_id", "_t"])  # at most ``most`` rows
+    # rows that repeat both fold into one before they leave their task
+    got = map_text(picked, ["_r", "doc_id", "_t"], "x binary", work).groupBy("_r", "doc_id", "_t").agg(F.first("x").alias("x"))
+    got = got.toArrow().sort_by([("_r", "ascending"), ("doc_id", "ascending"), ("_t", "ascending")])
+    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, N_FEATURES)
     return np.hstack([x, np.ones((len(x), 1), np.float32)])
 
 
 def fit(docs: DataFrame, positives: DataFrame, max_positives: int = 3000, max_unlabelled: int = 6000) -> dict:
     """Fit on bounded samples: at most ``max_positives`` trusted positives
     (``positives`` has their doc_id) and ``max_unlabelled`` texts of ``docs``,
-    both the first by a hash of doc_id. Null ids are not drawn."""
-    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
-    rank = F.xxhash64("doc_id", F.lit(17))
-    pos = positives.select("doc_id").distinct().join(ids, "doc_id", "left_semi").orderBy(rank, "doc_id").limit(max_positives)
-    unl = ids.orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id").limit(max_unlabelled)
-    # at most max_positives (max_unlabelled) ids: a bounded broadcast
-    p, u = (_matrix(docs.select("doc_id", "text").join(F.broadcast(x), "doc_id", "left_semi")) for x in (pos, unl))
+    both the first by a hash of doc_id. Null ids are not drawn, rows that repeat a
+    doc_id and its text count once."""
+    texts = docs.select("doc_id", "text")
+    p = _matrix(texts.join(positives.select("doc_id").distinct(), "doc_id", "left_semi"), max_positives, 17)
+    u = _matrix(texts, max_unlabelled, 29)
     if len(p) == 0 or len(u) == 0:
         return {"weights": np.zeros(N_FEATURES + 1), "prior": 0.5}
     prior = estimate_prior(p, u)
@@ -171,14 +182,11 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents whose score reaches ``threshold``, with their own columns."""
     model = fit(docs, trusted_positives(labels))
-    name = "_score"
-    while name in docs.columns:
-        name += "_"
-    kept = [c for c in docs.columns]
-    raw = docs.withColumn("_raw", text_bytes())
+    name, raw = free_name(docs, "_score"), free_name(docs, "_raw")
+    kept = list(docs.columns)
     w = model["weights"]
 
     def work(data: np.ndarray, bounds: np.ndarray) -> dict:
         return {name: sigmoid(features(data, bounds) @ w[:-1] + w[-1])}
 
-    return map_text(raw, kept, f"`{name}` double", work).where(F.col(name) >= threshold).select(*kept)
+    return map_text(docs.withColumn(raw, text_bytes()), kept, f"`{name}` double", work, raw).where(F.col(f"`{name}`") >= threshold).select(*(F.col(f"`{c}`") for c in kept))
