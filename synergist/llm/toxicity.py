@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, map_text, stable_split, text_bytes
+from .common import ALNUM, Words, map_text, materialise, stable_split, text_bytes
 from .quality import _Adam, sigmoid
 
 BITS = 18
@@ -58,41 +58,32 @@ def noisy_or(p_log_miss: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(np.bincount(doc, weights=p_log_miss, minlength=n))
 
 
-def screen(bags: list[tuple[np.ndarray, np.ndarray, int]], least: float = 12.0) -> np.ndarray:
-    """Slots whose presence in a bag goes with the label: those over-represented
-    in toxic bags with a likelihood-ratio statistic of at least ``least``."""
-    size = 1 << BITS
-    seen = np.zeros((2, size))
-    for slots, _, y in bags:
-        u = np.unique(slots)
-        seen[y][u[u >= 0]] += 1
-    n = np.array([sum(y == k for *_, y in bags) for k in (0, 1)], float)
-    share = seen.sum(0) / n.sum()
+def screen(seen: np.ndarray, n: np.ndarray, least: float = 12.0) -> np.ndarray:
+    """Slots whose presence in a bag goes with the label: those over-represented in
+    toxic bags with a likelihood-ratio statistic of at least ``least``. ``seen`` has
+    the bags of each label (0, 1) that hold a slot, ``n`` all bags of each label."""
+    share = seen.sum(0) / max(n.sum(), 1)
     log = lambda a, b: a * np.log(np.maximum(a, 1e-12) / np.maximum(b, 1e-12))
     g = 2 * sum(log(seen[k], n[k] * share) + log(n[k] - seen[k], n[k] * (1 - share)) for k in (0, 1))
     return (g >= least) & (seen[1] / max(n[1], 1) > seen[0] / max(n[0], 1))
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 250, ridge: float = 1e-5) -> np.ndarray:
-    """Weights from bags (slots, sentence of each word, label), by full-batch
-    Adam on the noisy-or log likelihood over the screened slots."""
+def train(bags: list[tuple[np.ndarray, np.ndarray, int, int]], rounds: int = 250, ridge: float = 1e-5) -> np.ndarray:
+    """Weights from bags (screened slots with -1 for none, sentence of each word,
+    number of sentences, label), by full-batch Adam on the noisy-or log likelihood."""
     size = 1 << BITS
     weights = np.zeros(size + 2)
     weights[-1] = -4.0
-    if not bags or len({y for *_, y in bags}) < 2:
+    if len({y for *_, y in bags}) < 2 or not sum(len(b[0]) for b in bags):
         return weights
-    useful = screen(bags)
     slots, sent, doc, at = [], [], [], 0
-    for d, (s, k, _) in enumerate(bags):
-        n = int(k[-1]) + 1 if len(k) else 0
-        s = np.where((s >= 0) & useful[s], s, -1)
-        some = (s >= 0).any(1)  # words without a screened slot add nothing
-        slots.append(s[some].astype(np.int64))
-        sent.append(k[some].astype(np.int64) + at)
+    for d, (s, k, n, _) in enumerate(bags):
+        slots.append(s.astype(np.int64))
+        sent.append(k.astype(np.int64) + at)
         doc.append(np.full(n, d))
         at += n
     slots, sent, doc = np.concatenate(slots), np.concatenate(sent), np.concatenate(doc)
-    y = np.array([b[2] for b in bags], float)
+    y = np.array([b[3] for b in bags], float)
     # compact the slots in use
     used, inverse = np.unique(slots, return_inverse=True)
     inverse = inverse.reshape(slots.shape)
@@ -117,28 +108,50 @@ def train(bags: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 250, rid
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1000, max_clean: int = 2000) -> np.ndarray:
-    """Fit on a bounded sample: the first ``max_toxic`` and ``max_clean``
-    labelled documents by a hash of doc_id, with their whole texts."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("_y"))
-    drawn = [known.where(F.col("_y") == y).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(n) for y, n in ((1, max_toxic), (0, max_clean))]
-    ids = drawn[0].unionByName(drawn[1])  # at most max_toxic + max_clean rows: a bounded broadcast
-    texts = docs.select("doc_id", text_bytes().alias("_raw")).join(F.broadcast(ids), "doc_id")
-
-    def work(data: np.ndarray, bounds: np.ndarray) -> dict:
+    """Fit on a bounded sample: at most ``max_toxic`` and ``max_clean`` different
+    labelled (doc_id, text), the first by a hash of doc_id, with their whole texts.
+    The driver gets at most a count for each slot and label, then the words with a
+    screened slot."""
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("_y"))
+    rows = docs.select("doc_id", F.xxhash64("doc_id", F.lit(5)).alias("_r"), F.xxhash64("text").alias("_t"), text_bytes().alias("_raw"))
+    keyed = rows.select("_r", "doc_id", "_t").distinct().join(known, "doc_id")
+    drawn = [keyed.where(F.col("_y") == y).orderBy("_r", "doc_id", "_t").limit(n) for y, n in ((1, max_toxic), (0, max_clean))]
+    drawn = materialise(drawn[0].unionByName(drawn[1]), "drawn")  # at most max_toxic + max_clean rows: a bounded broadcast
+    keys = ["_r", "doc_id", "_t"]
+    texts = rows.join(F.broadcast(drawn), keys).groupBy(*keys, "_y").agg(F.first("_raw").alias("_raw"))
+    texts = materialise(texts, "bags")
+
+    def bags_of(data: np.ndarray, bounds: np.ndarray):
         slots, sent, doc, *_ = instances(data, bounds)
         owner = doc[sent] if len(sent) else sent
         cut = np.searchsorted(owner, np.arange(len(bounds)))
-        out = {"s": [], "k": []}
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            k = sent[a:b] - (sent[a] if b > a else 0)
-            out["s"].append(slots[a:b].astype(np.int32).tobytes())
-            out["k"].append(k.astype(np.int32).tobytes())
+        return [(slots[a:b], sent[a:b] - (sent[a] if b > a else 0)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+    def present(data: np.ndarray, bounds: np.ndarray) -> dict:
+        found = (np.unique(s) for s, _ in bags_of(data, bounds))
+        return {"slots": [u[u >= 0].tolist() for u in found]}
+
+    counts = map_text(texts, ["_y"], "slots array<int>", present).select("_y", F.explode("slots").alias("slot")).groupBy("_y", "slot").agg(F.count("*").alias("c"))
+    counts = counts.toArrow()  # at most a row for each slot and label
+    seen = np.zeros((2, 1 << BITS))
+    seen[counts["_y"].to_numpy(), counts["slot"].to_numpy()] = counts["c"].to_numpy()
+    per_label = {r[0]: r[1] for r in drawn.groupBy("_y").count().collect()}  # two rows
+    useful = screen(seen, np.array([per_label.get(y, 0) for y in (0, 1)], float))
+
+    def work(data: np.ndarray, bounds: np.ndarray) -> dict:
+        out = {"s": [], "k": [], "n": []}
+        for s, k in bags_of(data, bounds):
+            out["n"].append(int(k[-1]) + 1 if len(k) else 0)
+            s = np.where((s >= 0) & useful[s], s, -1)
+            some = (s >= 0).any(1)  # words without a screened slot add nothing
+            out["s"].append(s[some].astype(np.int32).tobytes())
+            out["k"].append(k[some].astype(np.int32).tobytes())
         return out
 
-    got = map_text(texts, ["doc_id", "_y"], "s binary, k binary", work).toArrow().sort_by([("doc_id", "ascending")])
+    got = map_text(texts, [*keys, "_y"], "s binary, k binary, n long", work).toArrow().sort_by([(c, "ascending") for c in keys])
     bags = [
-        (np.frombuffer(s, np.int32).reshape(-1, 1 + len(PREFIXES)), np.frombuffer(k, np.int32), y)
-        for s, k, y in zip(got["s"].to_pylist(), got["k"].to_pylist(), got["_y"].to_pylist(), strict=True)
+        (np.frombuffer(s, np.int32).reshape(-1, 1 + len(PREFIXES)), np.frombuffer(k, np.int32), n, y)
+        for s, k, n, y in zip(got["s"].to_pylist(), got["k"].to_pylist(), got["n"].to_pylist(), got["_y"].to_pylist(), strict=True)
     ]
     return train(bags)
 
