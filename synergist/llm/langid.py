@@ -7,8 +7,9 @@ backs off to its character n-grams, the longest known length first.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, chunks, map_arrow, map_text, mix64, stable_split, table_of, text_bytes
@@ -42,26 +43,30 @@ def _counts(data: np.ndarray, bounds: np.ndarray, lang: list[str]) -> list[tuple
     return out
 
 
-def fit(docs: DataFrame, max_docs: int = 2000, max_entries: int = 150_000, min_count: int = 2) -> dict:
-    """Learn from labelled ``docs`` (text, lang; null lang is left out).
+#: Parts of a language that are drawn from one by one, and parts of a table that keep
+#: their most frequent entries.
+PARTS, TABLE_PARTS = 64, 16
 
-    The sample is bounded: ``max_docs`` whole documents of each language, the
-    first by a hash of doc_id; the model holds at most ``max_entries`` words and
-    n-grams of each length and language, the most frequent ones.
-    """
-    import pyarrow as pa
 
-    from pyspark.sql import Window
+def fit(docs: DataFrame, max_docs: int = 2000, max_entries: int = 150_000, min_count: int = 2, max_languages: int = 100) -> dict:
+    """Learn from labelled ``docs`` (doc_id, text, lang; null lang is left out).
 
+    The sample is bounded: the ``max_languages`` most frequent languages, and of each
+    about ``max_docs`` whole documents, as many from each of PARTS parts, the first by
+    a hash of doc_id and text. The model holds at most ``max_entries`` words and
+    n-grams of each length and language, the most frequent ones of each of
+    TABLE_PARTS parts of the hashes.
+    """
     known = docs.where(F.col("lang").isNotNull())
-    # salted two-step choice: no task ranks more than one bucket of a language
-    rank = F.xxhash64("doc_id", F.lit(3))
-    ids = known.select("lang", "doc_id", rank.alias("_r"), (F.abs(rank) % 64).alias("_b"))
-    for by in (["lang", "_b"], ["lang"]):
-        ids = ids.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_r", "doc_id"))).where(F.col("_n") <= max_docs)
-    languages = [r[0] for r in known.select("lang").distinct().orderBy("lang").collect()]
-    drawn = F.broadcast(ids.select("doc_id", F.col("lang").alias("_lang")).distinct())  # max_docs rows a language
-    texts = known.join(drawn, (known["doc_id"] == drawn["doc_id"]) & (known["lang"] == drawn["_lang"])).select(text_bytes().alias("_raw"), "lang")
+    top = known.groupBy("lang").agg(F.count("*").alias("_c")).orderBy(F.col("_c").desc(), "lang").limit(max_languages)
+    languages = sorted(r[0] for r in top.collect())  # at most max_languages
+    keyed = known.where(F.col("lang").isin(languages) if languages else F.lit(False)).select("lang", F.xxhash64("doc_id", "text").alias("_r"), text_bytes().alias("_raw"))
+    # no task ranks more than a part of a language, and only the first of each task's
+    ids = keyed.select("lang", "_r", F.pmod("_r", F.lit(PARTS)).alias("_b"))
+    nth = F.row_number().over(Window.partitionBy("lang", "_b").orderBy("_r"))
+    ids = ids.withColumn("_n", nth).where(F.col("_n") <= -(-max_docs // PARTS)).select("lang", "_r").distinct()
+    # at most max_languages * (max_docs + PARTS) rows
+    texts = keyed.join(F.broadcast(ids), ["lang", "_r"]).select("_raw", "lang")
 
     def count(batches):
         for batch in batches:
@@ -71,10 +76,10 @@ def fit(docs: DataFrame, max_docs: int = 2000, max_entries: int = 150_000, min_c
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array([n] * len(keys), pa.int32()), pa.array(keys.view(np.int64)), pa.array(many.astype(np.int64))], names=["lang", "n", "key", "c"])
 
     totals = map_arrow(texts, count, "lang string, n int, key long, c long").groupBy("lang", "n", "key").agg(F.sum("c").alias("c"))
-    # the bounded sample bounds this table; the most frequent entries stay
-    best = totals.where(F.col("c") >= min_count).withColumn("_b", F.abs(F.col("key")) % 16)
+    # the bounded sample bounds this table
+    best = totals.where(F.col("c") >= min_count).withColumn("_b", F.pmod("key", F.lit(TABLE_PARTS)))
     order = [F.col("c").desc(), "key"]
-    best = best.withColumn("_n", F.row_number().over(Window.partitionBy("lang", "n", "_b").orderBy(*order))).where(F.col("_n") <= max_entries // 16)
+    best = best.withColumn("_n", F.row_number().over(Window.partitionBy("lang", "n", "_b").orderBy(*order))).where(F.col("_n") <= max_entries // TABLE_PARTS)
     got = best.select("lang", "n", "key", "c").toArrow()
     lang = np.array([languages.index(x) for x in got["lang"].to_pylist()], np.int64) if len(got) else np.zeros(0, np.int64)
     n_all, keys, c = (got[x].to_numpy() for x in ("n", "key", "c"))
