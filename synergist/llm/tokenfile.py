@@ -39,14 +39,17 @@ def _publish(folder: str, name: str, data: bytes) -> None:
     files.move(mine, f"{path}/{name}")
 
 
-def _map(folder: str, name: str, kind: str) -> np.ndarray:
-    """A shard's file as an array: memory-mapped where the folder is local."""
+def _map(folder: str, name: str, kind: str, first: int = 0, end: int | None = None) -> np.ndarray:
+    """Entries of a shard's file as an array: memory-mapped where the folder is local,
+    elsewhere just these entries are read."""
     files, path = _filesystem(folder)
     if isinstance(files, fs.LocalFileSystem):
         full = f"{path}/{name}"
-        return np.memmap(full, kind, "r") if os.path.getsize(full) else np.zeros(0, kind)
+        return np.memmap(full, kind, "r")[first:end] if os.path.getsize(full) else np.zeros(0, kind)
+    width = np.dtype(kind).itemsize
     with files.open_input_file(f"{path}/{name}") as f:
-        return np.frombuffer(f.read(), kind)
+        f.seek(first * width)
+        return np.frombuffer(f.read() if end is None else f.read((end - first) * width), kind)
 
 
 #: How byte-level vocabularies write the space.
@@ -62,15 +65,17 @@ class PieceEncoder:
     white space are never cut apart. The memory is bounded by ``max_pieces``.
     """
 
-    def __init__(self, path: str, kind: str, max_pieces: int = 1_000_000):
+    def __init__(self, path: str, end_id: int, max_pieces: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind, self.max_pieces = kind, max_pieces
+        vocab = self.tokenizer.get_vocab()
+        # 16 bits where all ids fit
+        self.kind = "<u2" if max(end_id, *vocab.values()) < 1 << 16 else "<u4"
+        self.max_pieces = max_pieces
         self.known: dict[str, bytes] = {}
         # ids whose token begins with the space's byte symbol
-        vocab = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         self.opens[[i for t, i in vocab.items() if t.startswith(SPACE)]] = True
 
@@ -134,32 +139,31 @@ class PieceEncoder:
 _encoders: dict[tuple, PieceEncoder] = {}
 
 
-def _encoder(path: str, kind: str) -> PieceEncoder:
+def _encoder(path: str, end_id: int) -> PieceEncoder:
     """One for each Python worker, so its memory serves several tasks."""
-    key = path, kind
+    key = path, end_id
     if key not in _encoders:
-        _encoders[key] = PieceEncoder(path, kind)
+        _encoders[key] = PieceEncoder(path, end_id)
     return _encoders[key]
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, vocab: int = 65_536, batch_chars: int = 1 << 20) -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, batch_chars: int = 1 << 20) -> DataFrame:
     """Encode doc_id and text of ``docs`` into shards under ``folder`` and return
     the manifest (shard, n_docs, n_tokens, doc_base, token_base, dtype).
 
     Null text is empty, and each document ends in ``end_id``. Rows that share a
     doc_id are ordered by text, null ids come first (as the smallest long).
-    Ids take 16 bits if ``vocab`` fits, else 32.
+    Ids take 16 bits if all of the tokenizer's and ``end_id`` fit, else 32.
     """
     spark = docs.sparkSession
-    kind = "<u2" if vocab <= 65_536 else "<u4"
     files, path = _filesystem(folder)
     files.create_dir(path, recursive=True)
-    end = np.array([end_id], kind).tobytes()
-    width = len(end)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        encoder = _encoder(tokenizer, kind)
+        encoder = _encoder(tokenizer, end_id)
+        end = np.array([end_id], encoder.kind).tobytes()
+        width = len(end)
         sizes, ids, total = [], [], 0
         name = f"shard-{shard:06d}"
         attempt = TaskContext.get().taskAttemptId()
@@ -189,20 +193,22 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, vocab:
         files.move(mine, f"{path}/{name}.bin")
         index = np.concatenate([[len(sizes)], [0], np.cumsum(sizes), *ids]).astype("<i8")
         _publish(folder, f"{name}.idx", index.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(sizes)], pa.int64()), pa.array([total], pa.int64())], names=["shard", "n_docs", "n_tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(sizes)], pa.int64()), pa.array([total], pa.int64()), pa.array([encoder.kind])], names=["shard", "n_docs", "n_tokens", "dtype"])
 
     smallest = F.lit(-(1 << 63))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), smallest).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     # the shards' counts: one row for each shard, so the prefix sums need one small window
-    map_arrow(ordered, encode, "shard int, n_docs long, n_tokens long").write.parquet(f"{folder}/counts")
+    map_arrow(ordered, encode, "shard int, n_docs long, n_tokens long, dtype string").write.parquet(f"{folder}/counts")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = spark.read.parquet(f"{folder}/counts")
     manifest = counts.select(
-        "*",
+        "shard",
+        "n_docs",
+        "n_tokens",
         F.coalesce(F.sum("n_docs").over(before), F.lit(0)).alias("doc_base"),
         F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("token_base"),
-        F.lit(kind).alias("dtype"),
+        "dtype",
     )
     manifest.write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
@@ -220,10 +226,11 @@ def read(spark: SparkSession, folder: str, part: int = 4096) -> DataFrame:
                 index = _map(folder, f"{name}.idx", "<i8")
                 n = int(index[0])
                 offsets, keys = index[1 : n + 2], index[n + 2 :]
-                tokens = _map(folder, f"{name}.bin", row["dtype"])
                 for a in range(0, n, part):
                     b = min(n, a + part)
-                    crc = [zlib.crc32(tokens[offsets[k] : offsets[k + 1]].astype("<u4").tobytes()) for k in range(a, b)]
+                    base = int(offsets[a])
+                    tokens = _map(folder, f"{name}.bin", row["dtype"], base, int(offsets[b]))
+                    crc = [zlib.crc32(tokens[offsets[k] - base : offsets[k + 1] - base].astype("<u4").tobytes()) for k in range(a, b)]
                     key = keys[a:b]
                     cols = [pa.array(key, mask=key == -(1 << 63)), pa.array(offsets[a:b] + row["token_base"]), pa.array(np.diff(offsets[a : b + 1])), pa.array(crc, pa.int64())]
                     yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32"])
