@@ -98,18 +98,23 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def _split(df: DataFrame, wanted: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """(rows whose ``column`` may be among the wanted values, rows whose column isn't
-    for sure), by a bitmap of the wanted values. It has a fixed size, so it is broadcast
-    whatever their number."""
+def mark_in(df: DataFrame, wanted: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` and whether its ``column`` may be among the wanted values (if not, it isn't
+    for sure), by a bitmap of them. It has a fixed size, so it is broadcast whatever
+    their number."""
     word, bits = free_name(df, "_word"), free_name(df, "_bits")
     spot = f"pmod(xxhash64(`{column}`, 23), {FILTER})"
     at, mask = F.expr(f"cast({spot} div 64 as int)"), F.expr(f"shiftleft(1L, cast({spot} % 64 as int))")
     bitmap = wanted.select(at.alias(word), mask.alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits))
     rows = df.withColumn(word, at).join(F.broadcast(bitmap), word, "left")  # at most FILTER / 64 rows
-    own = [F.col(f"`{c}`") for c in df.columns]
     hit = F.coalesce(F.col(bits).bitwiseAND(mask) != 0, F.lit(False))
-    return rows.where(hit).select(*own), rows.where(~hit).select(*own)
+    return rows.select(*(F.col(f"`{c}`") for c in df.columns), hit.alias(name))
+
+
+def _split(df: DataFrame, wanted: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    name = free_name(df, "_in")
+    rows = mark_in(df, wanted, column, name)
+    return rows.where(F.col(name)).drop(name), rows.where(~F.col(name)).drop(name)
 
 
 def maybe_in(df: DataFrame, wanted: DataFrame, column: str) -> DataFrame:

@@ -12,13 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, join_unique, materialise, maybe_in, not_in, unlike
+from .common import free_name, join_unique, mark_in, materialise, maybe_in, not_in, unlike
 
 SPAN = 10
 K = 5
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before lower-casing A-Z: folding moves no word boundary.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same words before lower-casing A-Z (folding moves no word boundary), the most
+#: frequent characters first.
+RAW_WORD = r"[a-z0-9A-Z\x80-\x{10FFFF}]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -27,9 +28,13 @@ def fold(word: Column) -> Column:
     return F.when(F.octet_length(word) == F.char_length(word), F.lower(word)).otherwise(F.translate(word, UPPER, UPPER.lower()))
 
 
+def raw_words(col: str = "text") -> Column:
+    return F.regexp_extract_all(F.coalesce(F.col(col), F.lit("")), F.lit(RAW_WORD), F.lit(0))
+
+
 def words(col: str = "text") -> Column:
     """Words after lower-casing A-Z; null has none."""
-    return F.transform(F.regexp_extract_all(F.coalesce(F.col(col), F.lit("")), F.lit(RAW_WORD), F.lit(0)), fold)
+    return F.transform(raw_words(col), fold)
 
 
 def gram_hashes(hashes: Column, k: int) -> Column:
@@ -48,13 +53,13 @@ def winnow(grams: Column, w: int) -> Column:
 
 
 def fingerprints(df: DataFrame, keys: list[str], span: int, k: int, short: tuple[int, ...] = ()) -> DataFrame:
-    """``keys`` and one row for each distinct fingerprint ``fp`` of a text: the
+    """``keys``, n_words and the distinct fingerprints ``fps`` of each text: the
     winnowed ones, and all runs of the ``short`` lengths."""
     # each step a column of its own, so that no lambda computes it again
-    df = df.select(*keys, F.transform(words(), lambda x: F.xxhash64(x)).alias("_w"))
+    df = df.select(*keys, F.transform(raw_words(), lambda x: F.xxhash64(fold(x))).alias("_w"))
     df = df.select(*keys, "_w", gram_hashes(F.col("_w"), k).alias("_g"))
     all_ = [winnow(F.col("_g"), span - k + 1), *(gram_hashes(F.col("_w"), n) for n in short)]
-    return df.select(*keys, F.explode(F.array_distinct(F.concat(*all_)) if short else all_[0]).alias("fp"))
+    return df.select(*keys, F.size("_w").cast("long").alias("n_words"), (F.array_distinct(F.concat(*all_)) if short else all_[0]).alias("fps"))
 
 
 def windows(df: DataFrame, keys: list[str], length: int) -> DataFrame:
@@ -65,9 +70,10 @@ def windows(df: DataFrame, keys: list[str], length: int) -> DataFrame:
     return df.where(n >= length).select(*keys, F.posexplode(each).alias("start", "window"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
-    """(_key, items, start, length) of every occurrence of a benchmark window, with
-    the sorted items that have it.
+def hits(docs: DataFrame, benchmark: DataFrame, keep: list[str], span: int = SPAN, k: int = K) -> tuple[DataFrame, DataFrame]:
+    """(``keep`` columns, _key and n_words of every document) and (_key, items, start,
+    length) of every occurrence of a benchmark window, with the sorted items that have
+    it.
 
     ``docs`` has _key (equal only for equal texts) and text, ``benchmark`` item and
     text. Items of fewer than ``span`` words are looked up as one window through the
@@ -78,7 +84,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K) ->
     n = F.least(F.size("_words"), F.lit(span))
     items = materialise(items.withColumn("length", n), "items")
     short = tuple(sorted(r[0] for r in items.where(F.col("length") < span).select("length").distinct().collect()))  # at most span - 1 values
-    probe = fingerprints(benchmark, [], span, k)
+    # written out whole: an optimizer that drops n_words would fold the steps into one lambda
+    probe = materialise(fingerprints(benchmark, [], span, k), "fps").select(F.explode("fps").alias("fp"))
     bench_windows = windows(items, ["item", "length"], span)
     for m in short:
         own = items.where(F.col("length") == m)
@@ -88,8 +95,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K) ->
     classes = bench_windows.groupBy("window", "length").agg(F.array_sort(F.collect_set("item")).alias("items"))
     classes = materialise(classes.select("*", F.xxhash64("window", "length").alias("_wid")), "windows")
 
-    likely = maybe_in(fingerprints(docs, ["_key"], span, k, short), probe, "fp")
-    candidates = materialise(likely.join(probe, "fp", "left_semi").select("_key").distinct(), "leaks")
+    # one pass: a row for each fingerprint that may be wanted, and one for each document
+    prints = fingerprints(docs, [*keep, "_key"], span, k, short)
+    each = prints.select(*keep, "_key", "n_words", F.posexplode_outer("fps").alias("_at", "fp"))
+    seen = materialise(mark_in(each, probe, "fp", "_likely").where("_likely or coalesce(_at, 0) = 0"), "prints")
+    candidates = materialise(seen.where("_likely").join(probe, "fp", "left_semi").select("_key").distinct(), "leaks")
     texts = maybe_in(docs.select("_key", "text"), candidates, "_key").join(candidates, "_key", "left_semi")
     texts = texts.dropDuplicates(["_key"]).select("_key", words().alias("_words"))
     runs = windows(texts, ["_key"], span).withColumn("length", F.lit(span))
@@ -101,7 +111,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K) ->
     name = F.struct("window", "length").alias("_window")
     sizes = runs.groupBy(name).agg(F.count("*").alias("_rows"))
     found = join_unique(runs.select("_key", "start", name), classes.select(name, "items"), "_window", sizes)
-    return found.select("_key", "items", F.col("start").cast("long").alias("start"), F.col("_window.length").cast("long").alias("length"))
+    counted = seen.where("coalesce(_at, 0) = 0").select(*keep, "_key", "n_words")
+    return counted, found.select("_key", "items", F.col("start").cast("long").alias("start"), F.col("_window.length").cast("long").alias("length"))
 
 
 def _covered(spans: Column) -> Column:
@@ -130,13 +141,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
     """
     keyed = docs.select("doc_id", "text", _key_of("text").alias("_key"))
     bench = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
-    found = hits(keyed, bench, span, k)
+    slim, found = hits(keyed, bench, ["doc_id"], span, k)
     ends = F.struct("start", (F.col("start") + F.col("length")).alias("end"))
     per_doc = found.groupBy("_key").agg(F.array_sort(F.collect_set(ends)).alias("_spans"), F.collect_set("items").alias("_lists"))
     per_doc = per_doc.select("_key", _covered(F.col("_spans")).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("_lists"))).alias("items"))
     per_doc = materialise(per_doc, "hits")
-    n_words = F.coalesce(F.regexp_count("text", F.lit(RAW_WORD)), F.lit(0)).cast("long")
-    slim = materialise(keyed.select("doc_id", "_key", n_words.alias("n_words")), "counted")
     # rows without a hit need no join; a text of many rows doesn't go to one task
     likely = maybe_in(slim, per_doc, "_key")
     sizes = likely.groupBy("_key").agg(F.count("*").alias("_rows"))
@@ -160,5 +169,6 @@ def remove(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K)
     """The documents without any hit, with their own columns."""
     key = free_name(docs, "_hit")
     bench = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
-    found = materialise(hits(docs.select("text", _key_of("text").alias("_key")), bench, span, k).select(F.col("_key").alias(key)).distinct(), "hits")
+    _, found = hits(docs.select("text", _key_of("text").alias("_key")), bench, [], span, k)
+    found = materialise(found.select(F.col("_key").alias(key)).distinct(), "hits")
     return not_in(docs.withColumn(key, _key_of("text")), found, key).drop(key)
