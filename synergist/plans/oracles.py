@@ -190,7 +190,7 @@ with e as (
   select o_orderkey as event_id, r_name as segment, year(o_orderdate) as y, o_orderstatus = 'F' as win
   from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
 l as (
-  select l_orderkey, l_linenumber, l_partkey, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey) as rn from lineitem where l_linenumber <= 5),
+  select l_orderkey, l_linenumber, l_partkey, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey) as rn from lineitem),
 k as (
   select l_orderkey as event_id, l_linenumber as slot, p_brand as entity, y, win, segment from l join part on l_partkey = p_partkey join e on e.event_id = l_orderkey where rn = 1),
 w as (

@@ -101,7 +101,6 @@ with s as (
 k as (
   select event_type, ts, sum(fresh) over (partition by event_type order by ts rows unbounded preceding) as session from s)
 select event_type, min(ts) as start, max(ts) as last_seen, count(*)::bigint as n from k group by event_type, session
-having max(ts) + interval 2 hour <= (select max(ts) from events) - interval 1 hour
 """,
     "stream_rate": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*)::bigint as n from events group by all",
 }
