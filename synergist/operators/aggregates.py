@@ -35,7 +35,7 @@ EXTENDED = tuple(p for p in PAIRS if p not in INNER)
 TRIO = {"jgl": "JUNGLE", "mid": "MIDDLE", "sup": "UTILITY"}
 
 MINUTES = (5, 10, 15)
-#: score column: (sum column, n column)
+#: Score column: (sum column, n column); the names are the schema (fixed values).
 STAT_PAIRS = {
     "gold_diff_5": ("gold5_sum", "gold5_n"),
     "gold_diff_10": ("gold10_sum", "gold10_n"),
@@ -157,18 +157,18 @@ def fan_out(sides: DataFrame, pairs: tuple[str, ...]) -> DataFrame:
 
 
 def pair_vs_pair(wide: DataFrame, pairs: tuple[str, ...], how: str = "left") -> DataFrame:
-    """Fan a wide side out to slot pairs with the two own rows (ra, rb) and the two
-    opposing ones (ea, eb). 'inner' keeps pairs with all four, 'left' keeps all."""
+    """Fan a wide side out to slot pairs with the two own rows (own_a, own_b) and the
+    two facing ones (foe_a, foe_b). 'inner' keeps pairs with all four, 'left' keeps all."""
     rows = fan_out(wide, pairs)
-    rows = rows.withColumns({n: _slot(m, F.col(s)) for n, m, s in (("ra", "own", "slot_a"), ("rb", "own", "slot_b"), ("ea", "enemy", "slot_a"), ("eb", "enemy", "slot_b"))})
+    rows = rows.withColumns({n: _slot(m, F.col(s)) for n, m, s in (("own_a", "own", "slot_a"), ("own_b", "own", "slot_b"), ("foe_a", "enemy", "slot_a"), ("foe_b", "enemy", "slot_b"))})
     if how == "inner":
-        rows = rows.where("ra is not null and rb is not null and ea is not null and eb is not null")
+        rows = rows.where("own_a is not null and own_b is not null and foe_a is not null and foe_b is not null")
     return rows
 
 
 def _pair_gold(m: int) -> Column:
-    g = f"gold_{m}"
-    return (F.col(f"ra.{g}") + F.col(f"rb.{g}")) - (F.col(f"ea.{g}") + F.col(f"eb.{g}"))
+    total = lambda who: F.col(f"{who}_a.gold_{m}") + F.col(f"{who}_b.gold_{m}")
+    return total("own") - total("foe")
 
 
 def duo_aggregate_inner(rows: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def duo_aggregate_inner(rows: DataFrame) -> DataFrame:
         gold = F.coalesce(_pair_gold(m), F.col(f"gold_diff_{m}"))
         stats += _pair(gold, gold, f"gold_diff_{m}")
     for c in ("vision_score", "cc_time_s"):
-        stats += _pair(per_minute(F.coalesce(F.col(f"ra.{c}") + F.col(f"rb.{c}"), F.col(c)), "duration_s"), F.col(c), c)
+        stats += _pair(per_minute(F.coalesce(F.col(f"own_a.{c}") + F.col(f"own_b.{c}"), F.col(c)), "duration_s"), F.col(c), c)
     for x in ("a", "b"):
         stats += [F.sum(per_minute(F.col(f"_{x}.cc"), "duration_s")).alias(f"{x}_cc_sum"), F.count(F.col(f"_{x}.cc")).alias(f"{x}_cc_n")]
     keys = ["period", "segment", "roles", F.col("_a.e").alias("a"), F.col("_b.e").alias("b")]
@@ -199,10 +199,10 @@ def duo_aggregate_ext(rows: DataFrame) -> DataFrame:
     for m in MINUTES:
         stats += _pair(_pair_gold(m), _pair_gold(m), f"gold_diff_{m}")
     for c in ("vision_score", "cc_time_s"):
-        stats += _pair(per_minute(F.col(f"ra.{c}") + F.col(f"rb.{c}"), "duration_s"), F.lit(1), c)
+        stats += _pair(per_minute(F.col(f"own_a.{c}") + F.col(f"own_b.{c}"), "duration_s"), F.lit(1), c)
     for x in ("a", "b"):
-        stats += [F.sum(per_minute(F.col(f"r{x}.cc_time_s"), "duration_s")).alias(f"{x}_cc_sum"), F.count(F.col(f"r{x}.cc_time_s")).alias(f"{x}_cc_n")]
-    keys = ["period", "segment", "roles", F.col("ra.entity").alias("a"), F.col("rb.entity").alias("b")]
+        stats += [F.sum(per_minute(F.col(f"own_{x}.cc_time_s"), "duration_s")).alias(f"{x}_cc_sum"), F.count(F.col(f"own_{x}.cc_time_s")).alias(f"{x}_cc_n")]
+    keys = ["period", "segment", "roles", F.col("own_a.entity").alias("a"), F.col("own_b.entity").alias("b")]
     return rows.groupBy(*keys).agg(*_outcome(), *stats, *_objectives())
 
 
@@ -213,8 +213,10 @@ def duration_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def combo_vs_entity(sides: DataFrame, picks: DataFrame) -> DataFrame:
     """Each combination against each opposing entity: games and wins."""
-    enemy = picks.select("event_id", F.col("side").alias("_s"), "slot", F.col("entity").alias("enemy"))
-    rows = sides.join(enemy, "event_id").where("side <> _s")
+    # the picks of an event, at most ten, meet its sides as one row
+    seats = picks.groupBy("event_id").agg(F.collect_list(F.struct(F.col("side").alias("_s"), "slot", F.col("entity").alias("enemy"))).alias("_seats"))
+    faced = F.explode(F.filter("_seats", lambda p: p["_s"] != F.col("side"))).alias("_p")
+    rows = sides.join(seats, "event_id").select("period", "segment", *TRIO, "win", faced).select("*", "_p.slot", "_p.enemy")
     return rows.groupBy("period", "segment", *TRIO, "slot", "enemy").agg(*_outcome())
 
 

@@ -30,13 +30,9 @@ inda as (
 _SCORES = """
 duo as (
   select x.period, x.segment, prs.roles, x.entity as a, y.entity as b, count(*)::bigint as games, count(*) filter (where x.win)::bigint as wins,
-    sum(case when x.duration_s >= 900 then ra.gold_15 + rb.gold_15 - ea.gold_15 - eb.gold_15 end) as gold15_sum,
-    count(case when x.duration_s >= 900 then 1 end) as gold15_n
+    sum(case when x.duration_s >= 900 then lead_15 end) as gold15_sum, count(case when x.duration_s >= 900 then 1 end) as gold15_n
   from prs join p x on x.slot = prs.slot_a join p y on y.event_id = x.event_id and y.side = x.side and y.slot = prs.slot_b
-  join p ra on ra.event_id = x.event_id and ra.side = x.side and ra.slot = prs.slot_a
-  join p rb on rb.event_id = x.event_id and rb.side = x.side and rb.slot = prs.slot_b
-  join p ea on ea.event_id = x.event_id and ea.side <> x.side and ea.slot = prs.slot_a
-  join p eb on eb.event_id = x.event_id and eb.side <> x.side and eb.slot = prs.slot_b
+  join faced on faced.event_id = x.event_id and faced.side = x.side and faced.roles = prs.roles where whole
   group by all),
 duoa as (
   select * from duo union all
@@ -118,34 +114,63 @@ def _facts(select: str, *parts: str) -> str:
 
 
 _F = "(count(*) filter (where {0}))::bigint"
-_OBJ = f"""sum(drakes_taken / (duration_s / 60.0e0)) as drakes_sum, count(drakes_taken)::bigint as drakes_n,
-  {_F.format("soul_taken")} as soul_sum, count(soul_taken)::bigint as soul_n, {_F.format("herald_taken")} as herald_sum, count(herald_taken)::bigint as herald_n,
-  {_F.format("first_tower")} as tower1_sum, count(first_tower)::bigint as tower1_n, sum(team_gold_diff_15)::bigint as team_gold15_sum, count(team_gold_diff_15)::bigint as team_gold15_n"""
-
-
-def _duo(pairs: str, roles: str = "p", left: bool = True) -> str:
-    how = "left join" if left else "join"
-    gold = ", ".join(
-        f"sum(coalesce((ra.gold_{m} + rb.gold_{m}) - (ea.gold_{m} + eb.gold_{m}){f', t.gold_diff_{m}' if left else ''}))::bigint as gold{m}_sum, count(coalesce((ra.gold_{m} + rb.gold_{m}) - (ea.gold_{m} + eb.gold_{m}){f', t.gold_diff_{m}' if left else ''}))::bigint as gold{m}_n"
-        for m in (5, 10, 15)
-    )
-    stat = lambda c, s: (
-        f"sum(coalesce(ra.{c} + rb.{c}{f', t.{c}' if left else ''}) / (t.duration_s / 60.0e0)) as {s}_sum, " + (f"count(t.{c})::bigint as {s}_n" if left else f"count(*)::bigint as {s}_n")
-    )
-    if left:
-        pick = lambda s, c: f"case {s} when 'JUNGLE' then t.jgl{c} when 'MIDDLE' then t.mid{c} else t.sup{c} end"
-        a, b, ac, bc = pick("slot_a", ""), pick("slot_b", ""), pick("slot_a", "_cc_time_s"), pick("slot_b", "_cc_time_s")
-    else:
-        a, b, ac, bc = "ra.entity", "rb.entity", "ra.cc_time_s", "rb.cc_time_s"
-    return f"""select t.period, t.segment, roles, {a} as a, {b} as b, count(*)::bigint as games, {_F.format("t.win")} as wins, {gold}, {stat("vision_score", "vision")}, {stat("cc_time_s", "cc")},
-      sum({ac} / (t.duration_s / 60.0e0)) as a_cc_sum, count({ac})::bigint as a_cc_n, sum({bc} / (t.duration_s / 60.0e0)) as b_cc_sum, count({bc})::bigint as b_cc_n,
-      {_OBJ.replace("duration_s", "t.duration_s")}
-    from t join prs on roles in ({pairs})
-    {how} {roles} ra on ra.event_id = t.event_id and ra.side = t.side and ra.slot = slot_a
-    {how} {roles} rb on rb.event_id = t.event_id and rb.side = t.side and rb.slot = slot_b
-    {how} {roles} ea on ea.event_id = t.event_id and ea.side <> t.side and ea.slot = slot_a
-    {how} {roles} eb on eb.event_id = t.event_id and eb.side <> t.side and eb.slot = slot_b
-    left join tg on tg.event_id = t.event_id and tg.side = t.side group by 1, 2, 3, 4, 5"""
+
+
+def _additive(name: str, value: str, counted: str | None = None, kind: str = "") -> str:
+    """A stat as its (sum, n) pair."""
+    return f"sum({value}){kind} as {name}_sum, count({counted or value})::bigint as {name}_n"
+
+
+def _rate(value: str) -> str:
+    return f"({value}) / (duration_s / 60.0e0)"
+
+
+#: Stats of a whole side: flags count the times they are set.
+_SIDE_STATS = ", ".join(
+    [
+        _additive("team_gold15", "team_gold_diff_15", kind="::bigint"),
+        _additive("drakes", _rate("drakes_taken"), "drakes_taken"),
+        *(_additive(name, f"{flag}::int", flag, "::bigint") for name, flag in {"herald": "herald_taken", "soul": "soul_taken", "tower1": "first_tower"}.items()),
+    ]
+)
+
+#: The members of each slot pair of a side as one row, their totals known only where both
+#: members' values are; then that row beside the one that faces it.
+_FACED = """
+halves as (
+  select event_id, side, roles, count(*) as members,
+    max(case when slot = slot_a then entity end) as first_entity, max(case when slot = slot_b then entity end) as second_entity,
+    max(case when slot = slot_a then cc_time_s end) as first_cc, max(case when slot = slot_b then cc_time_s end) as second_cc,
+    case when count(cc_time_s) = 2 then sum(cc_time_s) end as both_cc, case when count(vision_score) = 2 then sum(vision_score) end as both_vision,
+    case when count(gold_5) = 2 then sum(gold_5) end as both_5, case when count(gold_10) = 2 then sum(gold_10) end as both_10, case when count(gold_15) = 2 then sum(gold_15) end as both_15
+  from {roles} join prs on slot in (slot_a, slot_b) group by all),
+faced as (
+  select own.*, own.members = 2 and foe.members = 2 as whole, own.both_5 - foe.both_5 as lead_5, own.both_10 - foe.both_10 as lead_10, own.both_15 - foe.both_15 as lead_15
+  from halves own left join halves foe on foe.event_id = own.event_id and foe.roles = own.roles and foe.side <> own.side)
+"""
+
+
+def _pairs_inside(roles: str) -> str:
+    """Pairs among the three core members: the pair's own values, else the side's."""
+    core = lambda slot, suffix: f"map(['JUNGLE', 'MIDDLE', 'UTILITY'], [jgl{suffix}, mid{suffix}, sup{suffix}])[{slot}]"
+    stats = [
+        *(_additive(f"gold{m}", f"coalesce(lead_{m}, gold_diff_{m})", kind="::bigint") for m in (5, 10, 15)),
+        *(_additive(name, _rate(f"coalesce(both_{name}, {column})"), column) for name, column in {"cc": "cc_time_s", "vision": "vision_score"}.items()),
+        *(_additive(f"{x}_cc", _rate(core(f"slot_{x}", "_cc_time_s")), core(f"slot_{x}", "_cc_time_s")) for x in "ab"),
+    ]
+    return f"""select period, segment, roles, {core("slot_a", "")} as a, {core("slot_b", "")} as b, count(*)::bigint as games, {_F.format("win")} as wins, {", ".join(stats)}, {_SIDE_STATS}
+    from t join prs on roles in ({roles}) left join faced using (event_id, side, roles) left join tg using (event_id, side) group by 1, 2, 3, 4, 5"""
+
+
+def _pairs_across(roles: str) -> str:
+    """The other pairs: their own values alone, where both sides field both slots."""
+    stats = [
+        *(_additive(f"gold{m}", f"lead_{m}", kind="::bigint") for m in (5, 10, 15)),
+        *(_additive(name, _rate(f"both_{name}"), "*") for name in ("cc", "vision")),
+        *(_additive(f"{x}_cc", _rate(f"{nth}_cc")) for x, nth in (("a", "first"), ("b", "second"))),
+    ]
+    return f"""select period, segment, roles, first_entity as a, second_entity as b, count(*)::bigint as games, {_F.format("win")} as wins, {", ".join(stats)}, {_SIDE_STATS}
+    from t join faced using (event_id, side) left join tg using (event_id, side) where whole and roles in ({roles}) group by 1, 2, 3, 4, 5"""
 
 
 def _round(sql: str, columns: list[str], digits: int) -> str:
@@ -159,7 +184,7 @@ _SUMS = ["vision_sum", "cc_sum", "a_cc_sum", "b_cc_sum", "drakes_sum"]
 _TRIO_AGG = f"""select period, segment, jgl, mid, sup, count(*)::bigint as games, {_F.format("win")} as wins,
   {", ".join(f"sum(gold_diff_{m})::bigint as gold{m}_sum, count(gold_diff_{m})::bigint as gold{m}_n" for m in (5, 10, 15))},
   {", ".join(f"sum({c} / (duration_s / 60.0e0)) as {s}_sum, count({c})::bigint as {s}_n" for c, s in (("vision_score", "vision"), ("cc_time_s", "cc"), ("jgl_cc_time_s", "jgl_cc"), ("mid_cc_time_s", "mid_cc"), ("sup_cc_time_s", "sup_cc")))},
-  {_OBJ} from t left join tg using (event_id, side) group by all"""
+  {_SIDE_STATS} from t left join tg using (event_id, side) group by all"""
 
 _BUCKET = "least(40, 5 * (duration_s // 300))::bigint"
 _STATS = {
@@ -172,7 +197,7 @@ _LABEL = "(select string_agg(period, '+' order by depth) from win) as label"
 _DUO_SCORES = f"select {_LABEL}, segment, roles, a, b, games, games_eff, rate, ci_low, ci_high, synergy, {_CI}, tier from ds"
 _TRIO_SCORES = f"select {_LABEL}, segment, jgl, mid, sup, games, games_eff, rate, ci_low, ci_high, synergy, {_CI}, tier, prior from ts"
 _SCORE_DOUBLES = ["games_eff", "rate", "ci_low", "ci_high", "synergy", "synergy_ci_low", "synergy_ci_high"]
-_ALL = (_PAIRS, _WINDOW, _SCORES)
+_ALL = (_PAIRS, _WINDOW, _FACED.format(roles="p"), _SCORES)
 
 _LOG = """with l as (
   select user_id * 100000000 + strftime(ts, '%Y%m%d')::bigint as event_id, event_id as log_id, ((floor(epoch(ts))::bigint % 86400) // 20)::bigint as ts_s,
@@ -212,11 +237,11 @@ from z order by synergy desc, games desc, slot_a, slot_b, a, b limit 50
     "individual_rates": _facts("select period, segment, slot, entity, games, wins from ind", _WINDOW),
     "matchups": _facts("select * from mu", _WINDOW, _MATCHUPS),
     "team_gold": _facts("select * from tg", _PAIRS),
-    "duo_agg": _facts(_round(_duo(_INNER), _SUMS, 4), _PAIRS),
-    "duo_agg_ext": _facts(_round(_duo(_EXT, left=False), _SUMS, 4), _PAIRS),
+    "duo_agg": _facts(_round(_pairs_inside(_INNER), _SUMS, 4), _PAIRS, _FACED.format(roles="p")),
+    "duo_agg_ext": _facts(_round(_pairs_across(_EXT), _SUMS, 4), _PAIRS, _FACED.format(roles="p")),
     "pair_gold_fallback": _facts(
-        _round("select period, segment, roles, a, b, games, gold10_sum, gold10_n, gold15_sum, gold15_n, vision_sum, vision_n, team_gold15_n from (" + _duo(_INNER, "p5") + ")", ["vision_sum"], 4),
-        "p5 as (select * from p where event_id % 5 <> 0)", _PAIRS.replace("from p a join p b", "from p5 a join p5 b"),
+        _round("select period, segment, roles, a, b, games, gold10_sum, gold10_n, gold15_sum, gold15_n, vision_sum, vision_n, team_gold15_n from (" + _pairs_inside(_INNER) + ")", ["vision_sum"], 4),
+        "p5 as (select * from p where event_id % 5 <> 0)", _PAIRS.replace("from p a join p b", "from p5 a join p5 b"), _FACED.format(roles="p5"),
     ),
     "trio_agg": _facts(_round(_TRIO_AGG, ["vision_sum", "cc_sum", "jgl_cc_sum", "mid_cc_sum", "sup_cc_sum", "drakes_sum"], 4), _PAIRS),
     "duration_counts": _facts(
@@ -299,7 +324,7 @@ from z order by synergy desc, games desc, slot_a, slot_b, a, b limit 50
         _WINDOW, _MATCHUPS, "mx as (select slot, a, b, round(delta, 6) + 0.0e0 as delta from ms where segment = 'all' and games_eff >= 10)",
     ),
     "pair_trios": _facts("select jgl, mid, sup, games, round(synergy, 6) + 0.0e0 as synergy from ts where segment = 'all' and jgl = 3 and mid = 5 order by synergy desc, sup limit 8", *_ALL, _TRIO),
-    "inner_pairs": _facts(f"select * from (select period, segment, roles, a, b, games, wins from ({_duo(_INNER)})) where (roles, a, b) in (('jgl_mid', 3, 5), ('jgl_sup', 3, 7), ('mid_sup', 5, 7))", _PAIRS),
+    "inner_pairs": _facts(f"select * from (select period, segment, roles, a, b, games, wins from ({_pairs_inside(_INNER)})) where (roles, a, b) in (('jgl_mid', 3, 5), ('jgl_sup', 3, 7), ('mid_sup', 5, 7))", _PAIRS, _FACED.format(roles="p")),
     "factor_rows": _facts(_round("select * from fr", ["team_cc_per_min", "team_vision_per_min"], 6), _WINDOW, _FACTOR),
     "factor_moments": _facts("select " + ", ".join(f"round(avg({x}), 3) + 0.0e0 as mean_{x}, round(stddev_pop({x}), 3) as std_{x}" for x in ("team_gold_diff_15", "team_cc_per_min", "team_vision_per_min", "jgl_cs_diff_15")) + " from fr", _WINDOW, _FACTOR),
     "factor_gram": _facts(
@@ -334,9 +359,9 @@ union all select 'period', period, null, count(*)::bigint, max(ts) from e group
 union all select 'status', o_orderstatus, null, count(*)::bigint, null from orders group by o_orderstatus
 """,
     "pair_detail": _facts(
-        "select 'bot_sup' as roles, ra.entity as a, count(*)::bigint as games, round(sum(w * ra.win::int) / sum(w), 4) as rate, round(sum(w * ra.cc_time_s / (ra.duration_s / 60.0e0)) / sum(w), 4) as a_cc_time_s, round(sum(w * rb.cc_time_s / (ra.duration_s / 60.0e0)) / sum(w), 4) as b_cc_time_s, "
-        "round(sum(w * ra.duration_s) filter (where ra.win) / sum(w) filter (where ra.win), 4) as avg_duration_win_s, round(sum(w * ra.duration_s) filter (where not ra.win) / sum(w) filter (where not ra.win), 4) as avg_duration_loss_s "
-        "from p ra join p rb on rb.event_id = ra.event_id and rb.side = ra.side and rb.slot = 'UTILITY' join win on win.period = ra.period where ra.slot = 'BOTTOM' and ra.entity = 3 group by ra.entity",
+        "select 'bot_sup' as roles, bot.entity as a, count(*)::bigint as games, round(sum(w * bot.win::int) / sum(w), 4) as rate, round(sum(w * bot.cc_time_s / (bot.duration_s / 60.0e0)) / sum(w), 4) as a_cc_time_s, round(sum(w * partner.cc_time_s / (bot.duration_s / 60.0e0)) / sum(w), 4) as b_cc_time_s, "
+        "round(sum(w * bot.duration_s) filter (where bot.win) / sum(w) filter (where bot.win), 4) as avg_duration_win_s, round(sum(w * bot.duration_s) filter (where not bot.win) / sum(w) filter (where not bot.win), 4) as avg_duration_loss_s "
+        "from p bot join p partner on partner.event_id = bot.event_id and partner.side = bot.side and partner.slot = 'UTILITY' join win on win.period = bot.period where bot.slot = 'BOTTOM' and bot.entity = 3 group by bot.entity",
         _WINDOW,
     ),
     "daily_pivot": "select strftime(ts, '%Y-%m-%d') as day, " + ", ".join(f"{_F.format(f'event_type = {k!r}')} as {k}" for k in ("click", "error", "purchase", "signup", "view")) + " from events group by 1",

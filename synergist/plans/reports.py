@@ -76,6 +76,7 @@ def summary_columns(available: list[str]) -> list[Column]:
     for m in (5, 10, 15, 20, 25, 30, 35):
         if (c := f"gold_diff_{m}") in available:
             out += [mean(F.col(c)).alias(c), F.count(c).alias(f"{c}_n")]
+    # stat columns of the schema (fixed values)
     plain = [
         "grubs_taken", "herald_taken", "soul_taken", "nashor_first", "nashor_first_s", "first_tower", "towers_destroyed", "plates_taken",
         "first_blood_trio", "kill_participation_pre15", "damage_share", "a_kp_pre15", "b_kp_pre15", "jgl_dmg_per_gold", "mid_dmg_per_gold",
@@ -95,10 +96,10 @@ def summarize(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def pair_rows(rows: DataFrame) -> DataFrame:
-    """Role rows (ra, rb of a fan-out) as rows for the summary of slot pairs."""
+    """Role rows (own_a, own_b of a fan-out) as rows for the summary of slot pairs."""
     return rows.select(
-        "period", "segment", "duration_s", "win", "roles", F.col("ra.entity").alias("a"), F.col("rb.entity").alias("b"),
-        F.col("ra.cc_time_s").alias("a_cc_time_s"), F.col("rb.cc_time_s").alias("b_cc_time_s"),
+        "period", "segment", "duration_s", "win", "roles", F.col("own_a.entity").alias("a"), F.col("own_b.entity").alias("b"),
+        F.col("own_a.cc_time_s").alias("a_cc_time_s"), F.col("own_b.cc_time_s").alias("b_cc_time_s"),
     )
 
 

@@ -3,12 +3,12 @@ available input and returns the stored result."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import fresh_path
 from . import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,11 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def _work(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared checkpoint folder."""
-    from ..sources.scratch import checkpointed
-
-    checkpointed(spark.range(0))  # sets the folder where it is unset
-    base = spark.sparkContext.getCheckpointDir()
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return fresh_path(spark, name)
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
