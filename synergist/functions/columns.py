@@ -139,13 +139,14 @@ ADVICE_SCALING, ADVICE_CONTROL, ADVICE_GOLD = 0.03, 2.5, 350.0
 
 
 def advice(scaling, control, gold) -> Column:
-    """At most one tag for each theme, in theme order; null stats give none."""
+    """At most one tag for each theme, in theme order; null stats give none. Scaling and
+    gold must pass their thresholds, control must reach its own."""
     s, c, g = _c(scaling), _c(control), _c(gold)
     return F.array_compact(
         F.array(
-            F.when(s >= ADVICE_SCALING, "late").when(s <= -ADVICE_SCALING, "early"),
+            F.when(s > ADVICE_SCALING, "late").when(s < -ADVICE_SCALING, "early"),
             F.when(c >= ADVICE_CONTROL, "control"),
-            F.when(g >= ADVICE_GOLD, "lead").when(g <= -ADVICE_GOLD, "patience"),
+            F.when(g > ADVICE_GOLD, "lead").when(g < -ADVICE_GOLD, "patience"),
         )
     )
 

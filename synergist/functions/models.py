@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import sigmoid
@@ -84,11 +84,77 @@ def fit_logistic(df: DataFrame, xs: list[str], y: str, w: str, ridge: float = RI
     return beta
 
 
+def moments_where(df: DataFrame, xs: list[str], cases: dict[str, Column]) -> dict[str, dict]:
+    """n, means and deviations (population; no spread gives 1) of the rows of each case,
+    from one aggregate."""
+    cols = []
+    for k, case in cases.items():
+        cols.append(F.count_if(case).alias(f"{k}_n"))
+        cols += [f(F.when(case, F.col(x))).alias(f"{k}_{name}_{x}") for x in xs for name, f in (("mean", F.avg), ("std", F.stddev_pop))]
+    row = df.agg(*cols).first().asDict()
+    return {k: {"n": row[f"{k}_n"], "mean": [row[f"{k}_mean_{x}"] or 0.0 for x in xs], "std": [row[f"{k}_std_{x}"] or 1.0 for x in xs]} for k in cases}
+
+
+def scaled(xs: list[str], m: dict) -> list[Column]:
+    return [(F.col(x) - mean) / std for x, mean, std in zip(xs, m["mean"], m["std"], strict=True)]
+
+
+def grams_where(df: DataFrame, cases: dict[str, tuple[Column, list[Column], Column, Column]]) -> dict[str, dict]:
+    """Gram sums of several cases (condition, standardised columns, y, weight), each with
+    an intercept at 0, from one aggregate over the rows."""
+    cols = []
+    for k, (case, xs, y, w) in cases.items():
+        only = lambda c: F.when(case, c)  # noqa: E731, B023
+        cols += [F.sum(only(c)).alias(f"{k}:{name}") for c, name in _gram_terms([F.lit(1.0), *xs], y, w)]
+    row = df.agg(*cols).first().asDict()
+    return {k: {c.split(":", 1)[1]: v for c, v in row.items() if c.startswith(f"{k}:")} for k in cases}
+
+
+def _gram_terms(xs: list[Column], y: Column, w: Column) -> list[tuple[Column, str]]:
+    p = len(xs)
+    return [(w * xs[i] * xs[j], f"x{i}_{j}") for i in range(p) for j in range(i, p)] + [(w * xs[i] * y, f"y{i}") for i in range(p)]
+
+
+def fit_logistic_where(df: DataFrame, xs: list[str], y: str, w: str, cases: dict[str, dict], rounds: int = 25, tolerance: float = 1e-7) -> dict[str, list[float]]:
+    """``fit_logistic`` of several cases (where, mean, std, ridge) at once: each round is
+    one aggregate, until none moves."""
+    p = len(xs) + 1
+    beta = {k: [0.0] * p for k in cases}
+    for _ in range(rounds):
+        # coefficients come as one row, so that every round runs the same compiled code
+        now = df.sparkSession.range(1).select(*(F.lit(b).alias(f"{k}_b{i}") for k in cases for i, b in enumerate(beta[k])))
+        rows, terms = df.join(F.broadcast(now)), {}  # one row
+        for k, case in cases.items():
+            z = scaled(xs, case)
+            eta = F.col(f"{k}_b0")
+            for i, c in enumerate(z, 1):
+                eta = eta + c * F.col(f"{k}_b{i}")
+            rows = rows.withColumn(f"{k}_eta", F.least(F.lit(30.0), F.greatest(F.lit(-30.0), eta)))
+            rows = rows.withColumn(f"{k}_mu", sigmoid(f"{k}_eta"))
+            rows = rows.withColumn(f"{k}_v", F.greatest(F.lit(1e-6), F.col(f"{k}_mu") * (1 - F.col(f"{k}_mu"))))
+            target = F.col(f"{k}_eta") + (F.col(y) - F.col(f"{k}_mu")) / F.col(f"{k}_v")
+            terms[k] = case["where"], z, target, F.col(w) * F.col(f"{k}_v")
+        moved = 0.0
+        for k, row in grams_where(rows, terms).items():
+            a, b = _system(row, p)
+            new = np.linalg.solve(a + cases[k]["ridge"] * np.eye(p), b)
+            moved = max(moved, float(np.abs(new - beta[k]).max()))
+            beta[k] = new.tolist()
+        if moved < tolerance:
+            break
+    return beta
+
+
 def vif(df: DataFrame, xs: list[str], ridge: float = RIDGE) -> dict[str, float]:
     """Variance inflation factors: every auxiliary regression is a sub-matrix of
     one unweighted Gram aggregate. R2 of 0.999 or more gives infinity."""
+    return vif_of(gram(df.withColumn("_one", F.lit(0.0)), xs, "_one").first().asDict(), xs, ridge)
+
+
+def vif_of(row: dict, xs: list[str], ridge: float = RIDGE) -> dict[str, float]:
+    """The same from the sums of a Gram aggregate."""
     p = len(xs) + 1
-    a, _ = _system(gram(df.withColumn("_one", F.lit(0.0)), xs, "_one").first().asDict(), p)
+    a, _ = _system(row, p)
     n, out = a[0, 0], {}
     for j, x in enumerate(xs, 1):
         others = [i for i in range(p) if i != j]
@@ -114,12 +180,12 @@ def weighted_r2(df: DataFrame, y: str, yhat: Column, w: str) -> DataFrame:
 def auc(df: DataFrame, y: str, score: str) -> DataFrame:
     """One row auc: Mann-Whitney with average ranks, null with one class.
 
-    Rows are counted by distinct score first; the ordered pass sees each score
-    once, whatever the number of rows.
+    Rows are counted by distinct score first, and these are ranked in ranges.
     """
+    from ..operators.ranking import rows_below
+
     by = df.groupBy(score).agg(F.count("*").alias("_n"), F.count_if(F.col(y).cast("double") == 1.0).alias("_p"))
-    below = F.coalesce(F.sum("_n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = by.withColumn("_r", below + (F.col("_n") + 1) / 2)
+    ranked = rows_below(by, score, "_n", "_below").withColumn("_r", F.col("_below") + (F.col("_n") + 1) / 2)
     s = ranked.agg(F.sum(F.col("_r") * F.col("_p")).alias("r"), F.sum("_p").cast("double").alias("p"), F.sum("_n").cast("double").alias("n"))
     neg = F.col("n") - F.col("p")
     return s.select(F.when((F.col("p") > 0) & (neg > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * neg)).alias("auc"))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 
 def enrich(df: DataFrame, scores: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Left join of score columns; AQE broadcasts the scores where they are small."""
-    return df.join(scores.select(*keys, *columns).dropDuplicates(keys), keys, "left")
+    """Left join of score columns; AQE broadcasts the scores where they are small. Of
+    scores that repeat a key, the largest counts."""
+    one = scores.groupBy(*keys).agg(F.max(F.struct(*columns)).alias("_s")).select(*keys, *(F.col(f"_s.{c}") for c in columns))
+    return df.join(one, keys, "left")
 
 
 def side_vs_side(sides: DataFrame, columns: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import period_key
+from ..sources.scratch import checkpointed
 from .aggregates import PAIRS
 
 
@@ -95,12 +96,24 @@ def gaps(df: DataFrame, ts: str, threshold_s: int, lookback_days: int | None = N
     return inside.unionByName(between).where(seconds > threshold_s).withColumn("gap_s", seconds)
 
 
+def rows_below(values: DataFrame, column: str, n: str, name: str) -> DataFrame:
+    """``values``, which has each value of ``column`` once, with the sum of ``n`` over all
+    smaller ones (null is smallest).
+
+    Values are dealt in ranges and summed up within each; the sums before a range come
+    from one row for each range. No task sees all values.
+    """
+    ranged = checkpointed(values.repartitionByRange(column).withColumn("_part", F.spark_partition_id()))
+    before = lambda w: F.coalesce(F.sum("_sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = ranged.groupBy("_part").agg(F.sum(n).alias("_sum")).select("_part", before(Window.orderBy("_part")).alias("_base"))
+    inside = ranged.withColumn("_sum", F.col(n)).withColumn("_in", before(Window.partitionBy("_part").orderBy(column)))
+    return inside.join(bases, "_part").withColumn(name, F.col("_base") + F.col("_in")).drop("_part", "_sum", "_base", "_in")
+
+
 def avg_rank(df: DataFrame, column: str, name: str = "rank") -> DataFrame:
-    """Average rank with ties. Ranks come from counts by distinct value, so the
-    ordered pass sees each value once."""
-    values = df.groupBy(column).agg(F.count("*").alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = values.select(column, (below + (F.col("_n") + 1) / 2).alias(name))
+    """Average rank with ties, from the counts of the distinct values in ranges."""
+    values = rows_below(df.groupBy(column).agg(F.count("*").alias("_n")), column, "_n", "_below")
+    ranks = values.select(column, (F.col("_below") + (F.col("_n") + 1) / 2).alias(name))
     return df.join(ranks, df[column].eqNullSafe(ranks[column])).drop(ranks[column])
 
 

@@ -61,8 +61,8 @@ def fill_defaults(rows: DataFrame, column: str, rules: list[tuple[Column, float]
 
 def fill_from(primary: DataFrame, fallback: DataFrame, keys: list[str], columns: list[str], note: str = "note") -> DataFrame:
     """Blank columns from a second source, the first always winning; rows that took
-    something are annotated."""
-    other = fallback.dropDuplicates(keys).select(*keys, *(F.col(c).alias(f"_f_{c}") for c in columns))
+    something are annotated. Of fallback rows that repeat a key, the largest counts."""
+    other = fallback.groupBy(*keys).agg(F.max(F.struct(*columns)).alias("_f")).select(*keys, *(F.col(f"_f.{c}").alias(f"_f_{c}") for c in columns))
     rows = primary.join(other, keys, "left")
     took = [F.when(F.col(c).isNull() & F.col(f"_f_{c}").isNotNull(), F.lit(c)) for c in columns]
     noted = F.concat_ws(";", F.col(note), *[F.concat(F.lit("filled:"), t) for t in took])

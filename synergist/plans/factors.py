@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import models as M
 from ..functions.columns import is_test, per_minute, sigmoid
 from ..operators import aggregates as A
-from ..operators.filters import behind_only
 from ..operators.joins import enrich, side_vs_side
+from ..sources.scratch import checkpointed
 
 WIN_FEATURES = ["team_gold_diff_15", "team_cc_per_min", "team_vision_per_min", "jgl_cs_diff_15"]
 DRAFT_FEATURES = ["team_baseline_rate", "team_matchup_delta", "team_trio_synergy"]
@@ -39,37 +39,38 @@ def win_rows(roles: DataFrame, sides: DataFrame, events: DataFrame, window: Data
 SCHEMA = "label string, population string, feature string, coef double, odds_ratio double, n long"
 
 
-def _fit_population(rows: DataFrame, label: str, population: str, min_rows: int) -> list[tuple]:
-    rows = rows.cache()
-    try:
-        n = rows.count()
-        if n < min_rows:
-            return []
-        z = M.standardise(rows, WIN_FEATURES).cache()
-        ridge = M.VIF_RIDGE if max(M.vif(z, WIN_FEATURES).values()) > M.VIF_ALERT else M.RIDGE
-        beta = M.fit_logistic(z, WIN_FEATURES, "y", "weight", ridge)
-        z.unpersist()
-        out = [(label, population, f, b, math.exp(b), n) for f, b in zip(["intercept", *WIN_FEATURES], beta, strict=True)]
-        train, test = rows.where(~is_test("event_id")), rows.where(is_test("event_id"))
-        n_test = test.count()
-        if n - n_test >= min_rows and n_test:
-            m = M.moments(train, WIN_FEATURES)
-            tz = M.standardise(train, WIN_FEATURES, m).cache()
-            tb = M.fit_logistic(tz, WIN_FEATURES, "y", "weight")
-            tz.unpersist()
-            scored = M.standardise(test, WIN_FEATURES, m).withColumn("p", sigmoid(M.linear(WIN_FEATURES, tb)))
-            auc = M.auc(scored, "y", "p").first()[0]
-            if auc is not None:
-                out.append((label, population, "_auc_test", auc, auc, n_test))
-        return out
-    finally:
-        rows.unpersist()
-
-
 def win_factors(spark: SparkSession, rows: DataFrame, label: str, min_rows: int = 200) -> DataFrame:
     """Weighted logistic fit on all rows, and on rows behind at 15, with odds ratios
-    and the AUC on a hold-out that neither its fit nor its moments saw."""
-    out = _fit_population(rows, label, "all", min_rows) + _fit_population(behind_only(rows), label, "behind_gold15", min_rows)
+    and the AUC on a hold-out that neither its fit nor its moments saw.
+
+    Both populations and their training parts are fitted together: one aggregate for
+    the moments, one for the variance inflation, one for each round.
+    """
+    rows = checkpointed(rows)
+    held = is_test("event_id")
+    cases = {"all": F.lit(True), "behind_gold15": F.col("team_gold_diff_15") < 0}
+    wheres = {**cases, **{f"{k}_train": c & ~held for k, c in cases.items()}, **{f"{k}_test": c & held for k, c in cases.items()}}
+    m = M.moments_where(rows, WIN_FEATURES, wheres)
+    one = F.lit(1.0)
+    fitted = {k: c for k, c in cases.items() if m[k]["n"] >= min_rows}
+    if not fitted:
+        return spark.createDataFrame([], SCHEMA)
+    shaky = M.grams_where(rows, {k: (c, M.scaled(WIN_FEATURES, m[k]), F.lit(0.0), one) for k, c in fitted.items()})
+    todo = {k: {"where": c, **m[k], "ridge": M.VIF_RIDGE if max(M.vif_of(shaky[k], WIN_FEATURES).values()) > M.VIF_ALERT else M.RIDGE} for k, c in fitted.items()}
+    tested = [k for k in fitted if m[f"{k}_train"]["n"] >= min_rows and m[f"{k}_test"]["n"]]
+    todo |= {f"{k}_train": {"where": wheres[f"{k}_train"], **m[f"{k}_train"], "ridge": M.RIDGE} for k in tested}
+    beta = M.fit_logistic_where(rows, WIN_FEATURES, "y", "weight", todo)
+    out = []
+    for k in fitted:
+        out += [(label, k, f, b, math.exp(b), m[k]["n"]) for f, b in zip(["intercept", *WIN_FEATURES], beta[k], strict=True)]
+        if k in tested:
+            train = f"{k}_train"
+            score = F.lit(beta[train][0])
+            for z, b in zip(M.scaled(WIN_FEATURES, m[train]), beta[train][1:], strict=True):
+                score = score + z * b
+            auc = M.auc(rows.where(wheres[f"{k}_test"]).withColumn("p", sigmoid(score)), "y", "p").first()[0]
+            if auc is not None:
+                out.append((label, k, "_auc_test", auc, auc, m[f"{k}_test"]["n"]))
     return spark.createDataFrame(out, SCHEMA)  # at most twelve rows
 
 

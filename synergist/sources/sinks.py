@@ -9,16 +9,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.columns import period_key
 from .scratch import checkpointed
 
 
-def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at ``path``, or None if nothing was written there yet."""
+def read_or_none(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame | None:
+    """The table at ``path``, or None if nothing was written there yet. With a schema,
+    partition values keep its types ('16.10' stays a string)."""
     try:
-        return spark.read.parquet(path)
+        seen = spark.read.parquet(path)
+        return seen if schema is None or set(seen.columns) != set(schema.names) else spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
             return None
@@ -26,14 +29,16 @@ def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def new_rows(df: DataFrame, target: DataFrame | None, keys: list[str]) -> DataFrame:
-    """Rows whose key the target doesn't hold, one for each key."""
-    rows = df.dropDuplicates(keys)
+    """Rows whose key the target doesn't hold, one for each key: the first in the order
+    of the columns as JSON."""
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    rows = df.groupBy(*keys).agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")
     return rows if target is None else rows.join(target.select(*keys), keys, "left_anti")
 
 
 def append_new(df: DataFrame, path: str, keys: list[str], partition: str | None = "period") -> DataFrame:
     """Append the rows whose key isn't stored (repeats do nothing); returns them."""
-    fresh = checkpointed(new_rows(df, read_or_none(df.sparkSession, path), keys))
+    fresh = checkpointed(new_rows(df, read_or_none(df.sparkSession, path, df.schema), keys))
     writer = fresh.write.mode("append")
     (writer.partitionBy(partition) if partition else writer).parquet(path)
     return fresh
@@ -80,17 +85,30 @@ def changed_rows(source: DataFrame, target: DataFrame, keys: list[str]) -> DataF
 
 
 def upsert(source: DataFrame, path: str, keys: list[str], partition: str) -> DataFrame:
-    """Write new and changed rows; only the partitions they touch are rewritten.
-    Returns the change set."""
+    """Write new and changed rows, one for each key (see ``new_rows``). Only the
+    partitions that they come to or leave are rewritten, that of null values among them;
+    one that loses all its rows goes. Returns the change set."""
     spark = source.sparkSession
-    target = read_or_none(spark, path)
+    target = read_or_none(spark, path, source.schema)
+    source = new_rows(source, None, keys)
     if target is None:
         refresh_partitions(source, path, partition)
         return source
     change = checkpointed(changed_rows(source, target, keys))
-    touched = target.join(change.select(partition).distinct(), partition, "left_semi")
-    merged = checkpointed(touched.join(change.select(*keys), keys, "left_anti").unionByName(change))
+    left = target.join(change.select(*keys), keys, "left_semi").select(partition)
+    label = F.col(partition).alias("_label")
+    parts = checkpointed(change.select(label).union(left.select(label)).distinct())
+    within = lambda df, some: df.join(some, F.col(partition).eqNullSafe(F.col("_label")), "left_semi")
+    merged = checkpointed(within(target, parts).join(change.select(*keys), keys, "left_anti").unionByName(change))
+    filled = merged.select(F.col(partition).alias("_filled")).distinct()
+    empty = parts.join(filled, F.col("_label").eqNullSafe(F.col("_filled")), "left_anti")
+    # folders of the partitions that end up empty: a few
+    folders = within(target.select(partition, "_metadata.file_path"), empty).select(F.regexp_extract("file_path", "^(.*)/[^/]*$", 1)).distinct()
+    folders = [r[0] for r in folders.collect()]
     refresh_partitions(merged, path, partition)
+    for folder in folders:
+        at = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     return change
 
 
@@ -106,8 +124,9 @@ def merge_columns(source: DataFrame, target: DataFrame, keys: list[str], keep_ol
 
 def backfill(target: DataFrame, corrected: DataFrame, keys: list[str], columns: list[str], only_null: bool = False) -> DataFrame:
     """Target rows with columns recomputed from ``corrected``; with ``only_null``
-    just the unknown ones are filled. Rows without a correction stay."""
-    fix = corrected.select(*keys, *(F.col(c).alias(f"_new_{c}") for c in columns))
+    just the unknown ones are filled. Rows without a correction stay; of corrections
+    that repeat a key, the largest counts."""
+    fix = corrected.groupBy(*keys).agg(F.max(F.struct(*columns)).alias("_f")).select(*keys, *(F.col(f"_f.{c}").alias(f"_new_{c}") for c in columns))
     rows = target.join(fix, keys, "left")
     value = lambda c: F.coalesce(c, f"_new_{c}") if only_null else F.coalesce(f"_new_{c}", c)
     return rows.withColumns({c: value(c) for c in columns}).select(*target.columns)

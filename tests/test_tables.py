@@ -119,3 +119,40 @@ def test_completion_prefers_best_and_keeps_locked(spark):
     assert kept.first().placed["TOP"] == 1
     flat = compose.to_flat(kept)
     assert compose.to_nested(flat).first().placed == kept.first().placed
+
+
+def test_upsert_moves_rows_between_partitions(spark, tmp_path):
+    path, schema = f"{tmp_path}/t", "k long, v long, label string"
+    sinks.upsert(spark.createDataFrame([(1, 1, "16.10"), (2, 2, "16.9"), (3, 3, None), (4, 4, None), (5, 5, "lone/ly")], schema), path, ["k"], "label")
+    change = sinks.upsert(spark.createDataFrame([(1, 1, "16.9"), (3, 9, None), (5, 5, "16.9"), (5, 5, "16.9")], schema), path, ["k"], "label")
+    assert {r.k for r in change.collect()} == {1, 3, 5}
+    got = {(r.k, r.v, r.label) for r in spark.read.schema(schema).parquet(path).collect()}
+    assert got == {(1, 1, "16.9"), (2, 2, "16.9"), (3, 9, None), (4, 4, None), (5, 5, "16.9")}
+
+
+def test_repeated_keys_are_settled_by_an_order(spark):
+    left = spark.createDataFrame([(1, None, "n")], "k long, v double, note string")
+    many = spark.createDataFrame([(1, 2.0), (1, 5.0), (1, None)], "k long, v double").repartition(3)
+    assert [tuple(r) for r in joins.enrich(left.select("k"), many, ["k"], ["v"]).collect()] == [(1, 5.0)]
+    assert [tuple(r) for r in ref.fill_from(left, many, ["k"], ["v"]).collect()] == [(1, 5.0, "n;filled:v")]
+    assert [tuple(r) for r in sinks.backfill(left, many, ["k"], ["v"]).collect()] == [(1, 5.0, "n")]
+    assert [tuple(r) for r in sinks.new_rows(many, None, ["k"]).collect()] == [(1, 2.0)]
+
+
+def test_ranks_across_ranges(spark):
+    import random
+
+    rng = random.Random(0)
+    values = [rng.choice([None, *range(40)]) for _ in range(500)]
+    df = spark.createDataFrame([(i, None if v is None else float(v)) for i, v in enumerate(values)], "i long, x double")
+    key = lambda v: -1 if v is None else v
+    want = {i: sum(key(u) < key(v) for u in values) + (sum(u == v for u in values) + 1) / 2 for i, v in enumerate(values)}
+    assert {r.i: r["rank"] for r in R.avg_rank(df, "x").collect()} == want
+
+
+def test_advice_thresholds_are_strict_but_for_control(spark):
+    from synergist.functions import columns as C
+
+    rows = [(0.03, 2.5, 350.0), (-0.03, 2.49, -350.0), (0.031, 2.6, 351.0), (-0.031, None, -351.0)]
+    got = spark.createDataFrame(rows, "s double, c double, g double").select(C.advice("s", "c", "g").alias("a")).collect()
+    assert [r.a for r in got] == [["control"], [], ["late", "control", "lead"], ["early", "patience"]]
