@@ -230,12 +230,14 @@ def components(edges: DataFrame) -> DataFrame:
     seen = mark(e)
     while seen[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        # a node may have a large share of all edges: see join_unique
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("_rows"))
+        least = materialise(least, "least")
+        large = join_unique(both.where("b > a"), least.select("a", "m"), "a", least.select("a", "_rows")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = materialise(large.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "cc")
         # small star: a's smaller neighbours and a itself point at the smallest
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_rows"))
+        small = join_unique(large, low.select("a", "m"), "a", low.select("a", "_rows")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         e = materialise(small, "cc")
         now = mark(e)
