@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
+from ..sources.scratch import checkpointed
+from ..sources.sinks import refresh_partitions
 
 DUO_KEYS = ["roles", "a", "b"]
 TRIO_KEYS = list(A.TRIO)
@@ -47,3 +49,12 @@ def build_aggregates(events: DataFrame, picks: DataFrame, sides: DataFrame, role
         "duo_duration": A.duration_counts(inner_ids.unionByName(ext_ids), DUO_KEYS),
         "trio_duration": A.duration_counts(rows, TRIO_KEYS),
     }
+
+
+def refresh(events: DataFrame, picks: DataFrame, sides: DataFrame, roles: DataFrame, periods: list[str], root: str, names: tuple[str, ...] = ("individual", "matchup", "duo", "trio", "duo_duration", "trio_duration")) -> None:
+    """Rebuild the aggregates of ``periods`` and replace just these partitions of the
+    tables under ``root``. Running it twice leaves the same rows."""
+    roles = checkpointed(roles)
+    got = build_aggregates(events, picks, checkpointed(sides), roles, periods)
+    for name in names:
+        refresh_partitions(got[name], f"{root}/{name}")

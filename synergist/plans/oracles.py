@@ -99,6 +99,27 @@ ms as (
     case when round(games_eff, 9) < 50 then 'faible' when round(games_eff, 9) < 400 then 'moyen' else 'eleve' end as tier from mb)
 """
 
+_TRIO_COUNTS = """
+own as (
+  select segment, jgl, mid, sup, sum(w * win::int) / sum(w) as base from (
+    select segment, period, jgl, mid, sup, win from t union all select 'all', period, jgl, mid, sup, win from t) join win using (period) group by all)
+"""
+
+#: {match} says which picks of an event count for a side.
+_VERSUS = """
+seen as (
+  select t.segment, t.period, t.jgl, t.mid, t.sup, o.slot, o.entity as other, t.win from t join p o on o.event_id = t.event_id and {match}),
+vr as (
+  select segment, jgl, mid, sup, slot, other, count(*)::bigint as games, sum(w) as games_eff, sum(w * win::int) / sum(w) as rate from (
+    select * from seen union all select 'all', period, jgl, mid, sup, slot, other, win from seen) join win using (period) group by all),
+vs as (
+  select vr.*, rate - base as effect_raw, games_eff * (rate - base) / (games_eff + 200) as effect,
+    greatest(0, (rate + z * z / (2 * games_eff)) / (1 + z * z / games_eff) - z / (1 + z * z / games_eff) * sqrt(rate * (1 - rate) / games_eff + z * z / (4 * games_eff * games_eff))) as ci_low,
+    least(1, (rate + z * z / (2 * games_eff)) / (1 + z * z / games_eff) + z / (1 + z * z / games_eff) * sqrt(rate * (1 - rate) / games_eff + z * z / (4 * games_eff * games_eff))) as ci_high,
+    case when round(games_eff, 9) < 50 then 'faible' when round(games_eff, 9) < 400 then 'moyen' else 'eleve' end as tier
+  from vr join own using (segment, jgl, mid, sup), (select 1.959963984540054e0 as z))
+"""
+
 _FACTOR = """
 fr as (
   select s.event_id, s.side, m.period, win.w as weight, t.win::int::double as y, (s.gold_15 - e.gold_15)::double as team_gold_diff_15,
@@ -340,6 +361,41 @@ from z order by synergy desc, games desc, slot_a, slot_b, a, b limit 50
         "select round(corr(x, z), 5) as pearson, round(corr(rx, rz), 5) as spearman from (select team_gold_diff_15 as x, jgl_cs_diff_15 as z, rank() over (order by team_gold_diff_15) + (count(*) over (partition by team_gold_diff_15) - 1) / 2.0e0 as rx, rank() over (order by jgl_cs_diff_15) + (count(*) over (partition by jgl_cs_diff_15) - 1) / 2.0e0 as rz from fr)",
         _WINDOW, _FACTOR,
     ),
+    "counter_scores": _facts(_round("select segment, jgl, mid, sup, slot, other as enemy, games, games_eff, rate, effect_raw as delta_raw, effect as delta, ci_low, ci_high, tier from vs", ["games_eff", "rate", "delta_raw", "delta", "ci_low", "ci_high"], 12), _WINDOW, _TRIO_COUNTS, _VERSUS.format(match="o.side <> t.side")),
+    "ally_scores": _facts(_round("select segment, jgl, mid, sup, slot, other as ally, games, games_eff, rate, effect_raw as uplift_raw, effect as uplift, ci_low, ci_high, tier from vs", ["games_eff", "rate", "uplift_raw", "uplift", "ci_low", "ci_high"], 12), _WINDOW, _TRIO_COUNTS, _VERSUS.format(match="o.side = t.side and o.slot in ('TOP', 'BOTTOM')")),
+    "member_rows": _facts("select period, segment, jgl, mid, sup, count(*)::bigint as games from t where jgl = 3 and sup = 7 group by all"),
+    "segment_volumes": _facts("select segment, count(*)::bigint as games from p group by all"),
+    "stat_shares": _facts(
+        """select slot, entity, round(emp, 6) as empirical, round((games * emp + 200 * (entity * 100 / 11.0e0)) / (games + 200), 6) as blended, round(least(100, cc * 100 / max(cc) over (partition by slot)), 6) as bar, round(games * 100.0e0 / sum(games) over (partition by slot), 6) as of_games
+        from (select slot, entity, avg(cc_time_s / (duration_s / 60.0e0)) as cc, count(*) as games, least(avg(cc_time_s / (duration_s / 60.0e0)) * 100 / 6.0e0, 100) as emp from p group by all)""",
+    ),
+    "advice_tags": _facts(
+        """select event_id, side, concat_ws(',', case when s > 0.03e0 then 'late' when s < -0.03e0 then 'early' end, case when c >= 2.5e0 then 'control' end, case when gold_diff_15 > 350 then 'lead' when gold_diff_15 < -350 then 'patience' end) as tags
+        from (select event_id, side, gold_diff_15, jgl_cs_diff_15 / 500.0e0 as s, cc_time_s / (duration_s / 60.0e0) as c from t)""",
+    ),
+    "vif": _facts(
+        """select unnest(['team_gold_diff_15', 'team_cc_per_min', 'team_vision_per_min', 'jgl_cs_diff_15']) as feature, round(unnest([
+          (1 + 2 * d * e * f - d * d - e * e - f * f) / det, (1 + 2 * b * c * f - b * b - c * c - f * f) / det, (1 + 2 * a * c * e - a * a - c * c - e * e) / det, (1 + 2 * a * b * d - a * a - b * b - d * d) / det]), 5) as vif
+        from (select *, 1 - (a * a + b * b + c * c + d * d + e * e + f * f) + 2 * (a * b * d + a * c * e + b * c * f + d * e * f) + a * a * f * f + b * b * e * e + c * c * d * d - 2 * (a * b * e * f + a * c * d * f + b * c * d * e) as det
+          from (select corr(g, k) as a, corr(g, v) as b, corr(g, j) as c, corr(k, v) as d, corr(k, j) as e, corr(v, j) as f from (select team_gold_diff_15 as g, team_cc_per_min as k, team_vision_per_min as v, jgl_cs_diff_15 as j from fr)))""",
+        _WINDOW, _FACTOR,
+    ),
+    "comp_matchups": _facts(
+        """select 'all' as segment, 'x' as archetype, b::varchar as seed, case when slot_rank = 1 then 'primary' else 'secondary' end as kind, slot, b as against, a as pick, round(delta, 4) + 0.0e0 as delta, slot_rank, pick_rank
+        from (select *, max(first_rank) over (partition by b, slot) as slot_rank from (
+          select *, case when pick_rank = 1 then row_number() over (partition by b, pick_rank order by delta desc, list_position(['TOP', 'JUNGLE', 'MIDDLE', 'BOTTOM', 'UTILITY'], slot))::int end as first_rank from (
+            select slot, a, b, delta * 10 as delta, row_number() over (partition by b, slot order by delta desc, a)::int as pick_rank from ms where segment = 'all' and delta * 10 >= 0.03e0 and games_eff * 10 >= 50) where pick_rank <= 3))
+        where slot_rank = 1 or (slot_rank <= 3 and pick_rank = 1)""",
+        _WINDOW, _MATCHUPS,
+    ),
+    "markup_entries": """
+with x as (select page_id, string_split(regexp_replace(html, '(?i)(<(?:h[1-6]|p|li|a)[ >])', chr(10) || '\\1', 'g'), chr(10)) as parts from pages),
+n as (select page_id, unnest(range(1, len(parts) + 1)) as pos, parts from x),
+l as (select page_id, pos, parts[pos] as line, nullif(regexp_extract(parts[pos], '<h[1-6][^>]*>([^<]*)', 1), '') as head from n),
+c as (select page_id, line, last_value(head ignore nulls) over (partition by page_id order by pos rows between unbounded preceding and current row) as category from l),
+e as (select page_id, category, unnest(regexp_extract_all(line, 'href="([^"]*)"', 1)) as entry, regexp_matches(line, 'nofollow|external|http') as f from c)
+select page_id, category, entry, bool_or(f) as flagged from e group by all
+""",
     "event_seq": _LOG + "select * from s",
     "first_taker": f"{_LOG}, {_FIRST} select * from ft",
     "early_rollup": f"""{_LOG}, {_FIRST} select event_id, side, {_F.format("event_type = 'VOID_GRUB'")} as grubs_taken, bool_or(event_type = 'RIFT_HERALD') as herald_taken, {_F.format("event_type = 'DRAGON'")} as drakes_taken,
@@ -486,4 +542,12 @@ def _expand(sql: str) -> str:
     return sql
 
 
+# the effect scores' SQL again, beside the real averages
+_THEORY = ORACLE["spell_scores"].strip().removesuffix("select entity, round(sum(c), 4) as score from s group by all")
+ORACLE["reference_validation"] = f"""{_THEORY},
+both_ as (select entity, score, value from (select entity, sum(c) as score from s group by all) join (select p_brand as entity, avg(p_retailprice) as value from part group by all having count(*) >= 2) using (entity))
+select count(*)::bigint as n, round(corr(score, value), 4) + 0.0e0 as pearson, round(corr(rs, rv), 4) + 0.0e0 as spearman
+from (select *, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2.0e0 as rs, rank() over (order by value) + (count(*) over (partition by value) - 1) / 2.0e0 as rv from both_)
+"""
+
 ORACLE = {k: _expand(v) for k, v in ORACLE.items()}

@@ -233,6 +233,23 @@ def matchup_scores(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_matchup_scores(spark, d))
 
 
+def _versus(spark: SparkSession, d: str, counts: DataFrame, other: str, effect: str) -> DataFrame:
+    trio = _t(spark, d).groupBy("period", "segment", *A.TRIO).agg(F.count("*").alias("games"), C.count_true("win").alias("wins"))
+    return rounded(scores.score_versus(counts, trio, _window(spark, d), other, effect), 12)
+
+
+@query
+def counter_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Triples against each opponent, above or below their own rate."""
+    return _versus(spark, d, A.combo_vs_entity(_t(spark, d), _p(spark, d)), "enemy", "delta")
+
+
+@query
+def ally_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Triples beside each ally, above or below their own rate."""
+    return _versus(spark, d, A.combo_with_ally(_t(spark, d), _p(spark, d)), "ally", "uplift")
+
+
 # ------------------------------------------------------------ reports
 
 
@@ -304,6 +321,35 @@ def pair_trios(spark: SparkSession, d: str) -> DataFrame:
     return R.combos_with_pair(rows, {"jgl": 3, "mid": 5}, 8).select(*TRIO_KEYS, "games", "synergy")
 
 
+@query
+def member_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Triple aggregates that hold given members in two slots."""
+    rows = _t(spark, d).groupBy("period", "segment", *A.TRIO).agg(F.count("*").alias("games"))
+    return filters.member_filter(rows, jgl=3, mid=None, sup=7)
+
+
+@query
+def segment_volumes(spark: SparkSession, d: str) -> DataFrame:
+    return A.segments(A.individual(_p(spark, d)))
+
+
+@query
+def stat_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Control of each entity as shares: of a fixed ceiling, blended with a theoretical
+    one, of the best sibling in its slot, and of the slot's games."""
+    rows = _p(spark, d).groupBy("slot", "entity").agg(F.avg(C.per_minute("cc_time_s", "duration_s")).alias("cc"), F.count("*").alias("games"))
+    rows = A.with_group_total(rows, "games", ["slot"], "slot_games")
+    theory = F.col("entity") * 100 / 11
+    return rounded(rows.select("slot", "entity", C.empirical_pct("cc").alias("empirical"), C.blended_pct(C.empirical_pct("cc"), theory, "games").alias("blended"), C.bar_pct("cc", ["slot"]).alias("bar"), C.pct_of("games", "slot_games").alias("of_games")))
+
+
+@query
+def advice_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Advice for sides from their control and their lead at 15."""
+    rows = _t(spark, d).select("event_id", "side", C.advice(F.col("jgl_cs_diff_15") / 500.0, C.per_minute("cc_time_s", "duration_s"), "gold_diff_15").alias("tags"))
+    return rows.select("event_id", "side", F.array_join("tags", ",").alias("tags"))
+
+
 @query
 def inner_pairs(spark: SparkSession, d: str) -> DataFrame:
     """The three pairs of one triple."""

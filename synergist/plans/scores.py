@@ -99,6 +99,22 @@ def score_trio(trio: DataFrame, individual: DataFrame, durations: DataFrame, duo
     return got.withColumn("synergy", C.shrink("synergy_raw", "games_eff", "prior", k))
 
 
+def score_versus(counts: DataFrame, trio: DataFrame, window: DataFrame, other: str, effect: str, reworks: DataFrame | None = None, k: float = C.PRIOR_K, thresholds: tuple[float, float] = C.TIER_THRESHOLDS) -> DataFrame:
+    """Triples against an opponent or beside an ally (column ``other`` in ``slot``): the
+    weighted rate above the triple's own over the same window, as <effect>_raw and shrunk
+    to 0 as <effect>. ``counts`` comes from ``combo_vs_entity`` or ``combo_with_ally``,
+    ``trio`` has the triples' own games and wins."""
+    own, keys = list(A.TRIO), [*A.TRIO, "slot", other]
+    rate = lambda df, by: P.weighted_rate(P.cut_weights(P.with_all_segment(df, ["period", *by], ["games", "wins"]), own, window, reworks), ["segment", *by])
+    base = rate(trio, own).select("segment", *own, F.col("rate").alias("base"))
+    rows = rate(counts, keys).join(base, ["segment", *own])
+    ci, raw = C.wilson("rate", "games_eff"), F.col("rate") - F.col("base")
+    return rows.select(
+        "segment", *keys, "games", "games_eff", "rate", raw.alias(f"{effect}_raw"), C.shrink(raw, "games_eff", 0.0, k).alias(effect),
+        ci["lo"].alias("ci_low"), ci["hi"].alias("ci_high"), C.tier("games_eff", *thresholds).alias("tier"),
+    )
+
+
 def score_matchup(matchup: DataFrame, individual: DataFrame, window: DataFrame, reworks: DataFrame | None = None, k: float = C.PRIOR_K, thresholds: tuple[float, float] = C.TIER_THRESHOLDS) -> DataFrame:
     """Same-slot head-to-heads: rate of a against b above a's own, shrunk to 0.
     The baseline of a follows the pair's weights."""

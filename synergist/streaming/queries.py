@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import fresh_path
+from ..plans import aggregates
+from ..plans.views import FACTS, facts
 from . import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,9 +82,27 @@ def stream_silence(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "n")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (stream_ingest, stream_quarantine, stream_rate, stream_silence)}
+def stream_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """Orders arrive as a stream; each batch rebuilds and replaces the aggregates of the
+    periods that it touches. Returns the triples' counts as stored at the end."""
+    root = _work(spark, "refresh")
+    path = f"{d}/orders.parquet"
+    orders = ingest.ingest_stream(spark, f"{path[:-1]}[{path[-1]}]", spark.read.parquet(path).schema, "parquet")
+    arrived = orders.select(F.concat(F.lit("16."), (F.year("o_orderdate") - 1989).cast("string")).alias("period"))
+
+    def rebuild(periods: list[str]) -> None:
+        m, p, t = (facts(spark, d, x).where(F.col("period").isin(*periods)) for x in "mpt")
+        aggregates.refresh(m, p, t, p, periods, root, ("individual", "trio"))
+
+    ingest.run_available(arrived, ingest.refreshing(rebuild), f"{root}/state")
+    stored = spark.read.schema("segment string, jgl long, mid long, sup long, games long, wins long, period string").parquet(f"{root}/trio")
+    return stored.select("period", "segment", "jgl", "mid", "sup", "games", "wins")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (stream_ingest, stream_quarantine, stream_rate, stream_silence, stream_refresh)}
 
 ORACLE: dict[str, str] = {
+    "stream_refresh": f"with {FACTS} select period, segment, jgl, mid, sup, count(*)::bigint as games, (count(*) filter (where win))::bigint as wins from t group by all",
     "stream_ingest": "select event_id, user_id, event_type, value from events",
     "stream_quarantine": """
 with o as (
