@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -111,6 +112,48 @@ def mark_in(df: DataFrame, wanted: DataFrame, column: str, name: str) -> DataFra
     return rows.select(*(F.col(f"`{c}`") for c in df.columns), hit.alias(name))
 
 
+def bitmap_of(wanted: DataFrame, column: str, bits: int = 1 << 24) -> Broadcast[np.ndarray]:
+    """A bitmap of a column of 64-bit hashes, for ``in_bitmap`` in tasks. Its size is
+    fixed, so what comes to the driver and goes to the executors is too; with very many
+    values it rules out few rows, and the exact join that follows decides."""
+    spot = F.col(column).bitwiseAND(F.lit(bits - 1))
+    word, mask = F.shiftright(spot, 6).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(F.lit(63)).cast("int")).alias("mask")
+    got = wanted.select(word, mask).groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most bits / 64 rows
+    out = np.zeros(bits // 64, np.int64)
+    out[got["word"].to_numpy()] = got["mask"].to_numpy()
+    return wanted.sparkSession.sparkContext.broadcast(out)
+
+
+def in_bitmap(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each hash (uint64) may be among the bitmap's."""
+    spot = (values & np.uint64(len(bitmap) * 64 - 1)).view(np.int64)
+    return (bitmap[spot >> 6] >> (spot & 63)) & 1 == 1
+
+
+def string_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Byte spans as an Arrow array of strings."""
+    length = ends - starts
+    offsets = np.concatenate(([0], np.cumsum(length)))
+    at = np.repeat(starts - offsets[:-1], length) + np.arange(offsets[-1])
+    return pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[at])])
+
+
+class Seen:
+    """Remembers 64-bit keys in a table of fixed size: a key that it knows was given
+    before; one that it has forgotten counts as new."""
+
+    def __init__(self, slots: int = 1 << 20):
+        self.table = np.zeros(slots, np.uint64)
+
+    def fresh(self, keys: np.ndarray) -> np.ndarray:
+        """Positions of the keys that aren't known, each key once."""
+        keys, first = np.unique(keys, return_index=True)
+        spot = (keys & np.uint64(len(self.table) - 1)).view(np.int64)
+        new = self.table[spot] != keys
+        self.table[spot] = keys
+        return np.sort(first[new])
+
+
 def _split(df: DataFrame, wanted: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     name = free_name(df, "_in")
     rows = mark_in(df, wanted, column, name)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, decontaminate, exactdedup, langid, licenses, mixing, neardup, quality, tokenfile, toxicity
+from . import chat, decontaminate, divergence, exactdedup, langid, licenses, mixing, neardup, quality, tokenfile, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,11 +63,15 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_and_read(turns.unionByName(more))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_tokens, op3_licenses, op4_language, op5_toxicity, op6_mixing, op7_exact_dedup, op8_decontaminate, op9_near_dedup, op10_chat, pipeline)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_tokens, op3_licenses, op4_language, op5_toxicity, op6_mixing, op7_exact_dedup, op8_decontaminate, op9_near_dedup, op10_chat, op11_divergence, pipeline)}
 
 _MIXING_SQL = r"""
 with d as (
@@ -152,6 +156,50 @@ select conv_id, count(*)::bigint as n_turns,
 from e group by conv_id
 """
 
+_DIVERGENCE_SQL = r"""
+with d as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as ts
+  from documents),
+grp as (
+  select distinct lang, source from d),
+occ as (
+  select lang, source, r, unnest(ts) as term from d),
+kept as (
+  select lang, term from occ group by all having count(distinct r) >= 30),
+c as (
+  select lang, source, term, count(*)::hugeint as n from occ join kept using (lang, term) group by all),
+v as (
+  select lang, count(*)::hugeint as v from kept group by lang),
+gn as (
+  select lang, source, sum(n)::hugeint as total from c group by all),
+ln as (
+  select lang, sum(n)::hugeint as total from c group by lang),
+p as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+    1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (coalesce(gn.total, 0) + 5 * v.v) as p
+  from grp g join kept k on g.lang = k.lang join v on v.lang = g.lang
+    left join gn on gn.lang = g.lang and gn.source = g.source
+    left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+q as (
+  select lang, term, 1 + (1000000000::hugeint * (sum(n)::hugeint + 5)) // (any_value(ln.total) + 5 * any_value(v.v)) as q
+  from c join ln using (lang) join v using (lang) group by lang, term),
+pv as (
+  select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(pv.value, 0)::bigint as value
+  from grp a join grp b on a.lang = b.lang and a.source <> b.source
+    left join pv on pv.lang = a.lang and pv.source = a.source and pv.item = b.source),
+terms as (
+  select p.lang, p.source, 'term' as part, p.term as item, (p.p - q.q)::bigint as value
+  from p join q on p.lang = q.lang and p.term = q.term where p.n > 0 and p.p > q.q),
+ranked as (
+  select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank
+  from (select * from pairs union all select * from terms))
+select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 50
+"""
+
 ORACLE: dict[str, str] = {
     "op6_mixing": _MIXING_SQL,
     "op7_exact_dedup": """
@@ -186,4 +234,5 @@ select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, least(d.doc_id, coalesc
 from documents d left join n using (doc_id) left join comp using (doc_id)
 """,
     "op10_chat": _CHAT_SQL,
+    "op11_divergence": _DIVERGENCE_SQL,
 }
