@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, decontaminate, divergence, exactdedup, langid, licenses, mixing, neardup, quality, tokenfile, toxicity
+from . import chat, collocations, decontaminate, divergence, exactdedup, langid, licenses, mixing, neardup, quality, tokenfile, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,11 +67,15 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_read(spark, sf_dir, "documents"), min_docs=30, top=50)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_read(spark, sf_dir, "documents"), min_count=30, top=2000)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_tokens, op3_licenses, op4_language, op5_toxicity, op6_mixing, op7_exact_dedup, op8_decontaminate, op9_near_dedup, op10_chat, op11_divergence, pipeline)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_tokens, op3_licenses, op4_language, op5_toxicity, op6_mixing, op7_exact_dedup, op8_decontaminate, op9_near_dedup, op10_chat, op11_divergence, op12_collocations, pipeline)}
 
 _MIXING_SQL = r"""
 with d as (
@@ -200,6 +204,41 @@ ranked as (
 select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 50
 """
 
+_COLLOCATIONS_SQL = r"""
+with d as (
+  select coalesce(lang, 'und') as lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents),
+w as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from d),
+g as (
+  select lang, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') as phrase
+  from (select lang, ws, k, unnest(range(1, len(ws) - k + 2)) as i from w, (values (1), (2), (3), (4)) ks(k) where len(ws) >= k)),
+f as (
+  select lang, k, phrase, count(*)::hugeint as f from g group by all),
+n as (
+  select lang, sum(f)::bigint as n from f where k = 1 group by lang),
+c as (
+  select lang, k, phrase, f as a, string_split(phrase, ' ') as ws from f where k >= 2 and f >= 30),
+cut as (
+  select lang, k, phrase, a, j, array_to_string(ws[1:j], ' ') as x, array_to_string(ws[j + 1:], ' ') as y
+  from (select *, unnest(range(1, k)) as j from c)),
+s as (
+  select cut.lang, cut.k, cut.phrase, cut.a, j, x.f as l, y.f as r, (2000000::hugeint * a) // (x.f + y.f) as score
+  from cut join f x on x.lang = cut.lang and x.k = j and x.phrase = cut.x join f y on y.lang = cut.lang and y.k = cut.k - j and y.phrase = cut.y),
+best as (
+  select * from s qualify row_number() over (partition by lang, k, phrase order by score, j) = 1),
+inside as (
+  select lang, m as k, array_to_string(list_slice(ws, i, i + m - 1), ' ') as phrase, max(a) as a
+  from (select *, unnest(range(1, k - m + 2)) as i from (select *, unnest(range(2, k)) as m from c)) group by all),
+kept as (
+  select best.* from best left join inside using (lang, k, phrase) where inside.a is null or 100 * inside.a < 80 * best.a),
+ranked as (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score
+from ranked join n using (lang) where rank <= 2000
+"""
+
 ORACLE: dict[str, str] = {
     "op6_mixing": _MIXING_SQL,
     "op7_exact_dedup": """
@@ -235,4 +274,5 @@ from documents d left join n using (doc_id) left join comp using (doc_id)
 """,
     "op10_chat": _CHAT_SQL,
     "op11_divergence": _DIVERGENCE_SQL,
+    "op12_collocations": _COLLOCATIONS_SQL,
 }
