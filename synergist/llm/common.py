@@ -340,3 +340,22 @@ def map_text(
                 yield pa.RecordBatch.from_arrays([*cols, *(pa.array(v, types[k]) for k, v in got.items())], names=names)
 
     return map_arrow(df.select(*keep, raw), run, out_schema)
+
+
+def runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """Consecutive rows of equal ``column`` from sorted input, one run at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(column).to_numpy(zero_copy_only=False)
+        cut = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)])).tolist()
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            if held and key[a] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key[a]
+    if held:
+        yield pa.Table.from_batches(held)

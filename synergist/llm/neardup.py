@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, NONSPACE, Words, chunks, join_unique, map_arrow, map_text, materialise, maybe_in, mix64, not_in, text_bytes
+from .common import FOLD, NONSPACE, Words, chunks, join_unique, map_arrow, map_text, materialise, maybe_in, mix64, not_in, runs, text_bytes
 
 TREES, BRANCH, LEVELS = 4, 2, 3
 #: Tokens used by each level: every node of every tree has its own hash function.
@@ -117,25 +117,6 @@ def _find(parent: list[int], i: int) -> int:
     return i
 
 
-def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
-    """Consecutive rows of equal ``column`` from sorted input, one run at a time."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = batch.column(column).to_numpy(zero_copy_only=False)
-        cut = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)])).tolist()
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            if held and key[a] != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = key[a]
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _candidates(node_rows: DataFrame, num: int, den: int) -> DataFrame:
     """(cid, members): groups within small nodes (key, doc_id, n, sig) whose sketches
     look similar. Where the rows have a label, only documents of different labels
@@ -145,7 +126,7 @@ def _candidates(node_rows: DataFrame, num: int, den: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cids, groups = [], []
-        for node in _runs(batches, "key"):
+        for node in runs(batches, "key"):
             if node.num_rows < 2:
                 continue
             ids, n = node["doc_id"].to_numpy(), node["n"].to_numpy()
@@ -187,7 +168,7 @@ def _confirm(groups: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a_out, b_out = [], []
-        for group in _runs(batches, "cid"):
+        for group in runs(batches, "cid"):
             ids, labels = group["doc_id"].to_pylist(), group["label"].to_pylist()
             raw = group["_raw"].combine_chunks()
             sets = [s for _, _, data, bounds in chunks(raw) for s in shingle_sets(data, bounds, k)]

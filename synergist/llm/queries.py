@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, collocations, decontaminate, divergence, exactdedup, langid, licenses, mixing, neardup, quality, tokenfile, toxicity
+from . import chat, collocations, decontaminate, divergence, exactdedup, langid, licenses, mixing, neardup, packing, quality, tokenfile, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,11 +71,15 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(_read(spark, sf_dir, "documents"), min_count=30, top=2000)
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_tokens, op3_licenses, op4_language, op5_toxicity, op6_mixing, op7_exact_dedup, op8_decontaminate, op9_near_dedup, op10_chat, op11_divergence, op12_collocations, pipeline)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_tokens, op3_licenses, op4_language, op5_toxicity, op6_mixing, op7_exact_dedup, op8_decontaminate, op9_near_dedup, op10_chat, op11_divergence, op12_collocations, op13_packing, pipeline)}
 
 _MIXING_SQL = r"""
 with d as (

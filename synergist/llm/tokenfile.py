@@ -139,7 +139,7 @@ class PieceEncoder:
 _encoders: dict[tuple, PieceEncoder] = {}
 
 
-def _encoder(path: str, end_id: int) -> PieceEncoder:
+def encoder(path: str, end_id: int) -> PieceEncoder:
     """One for each Python worker, so its memory serves several tasks."""
     key = path, end_id
     if key not in _encoders:
@@ -161,8 +161,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, batch_c
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        encoder = _encoder(tokenizer, end_id)
-        end = np.array([end_id], encoder.kind).tobytes()
+        enc = encoder(tokenizer, end_id)
+        end = np.array([end_id], enc.kind).tobytes()
         width = len(end)
         sizes, ids, total = [], [], 0
         name = f"shard-{shard:06d}"
@@ -176,7 +176,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, batch_c
             size = 0
             for k in range(batch.num_rows + 1):
                 if k == batch.num_rows or size > batch_chars:
-                    for got in encoder.encode(todo):
+                    for got in enc.encode(todo):
                         out.write(got)
                         out.write(end)
                         sizes.append(len(got) // width + 1)
@@ -193,7 +193,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, batch_c
         files.move(mine, f"{path}/{name}.bin")
         index = np.concatenate([[len(sizes)], [0], np.cumsum(sizes), *ids]).astype("<i8")
         _publish(folder, f"{name}.idx", index.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(sizes)], pa.int64()), pa.array([total], pa.int64()), pa.array([encoder.kind])], names=["shard", "n_docs", "n_tokens", "dtype"])
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(sizes)], pa.int64()), pa.array([total], pa.int64()), pa.array([enc.kind])], names=["shard", "n_docs", "n_tokens", "dtype"])
 
     smallest = F.lit(-(1 << 63))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), smallest).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
