@@ -101,7 +101,11 @@ def _docs(docs: DataFrame) -> DataFrame:
 
 
 def _longs(x: np.ndarray) -> pa.Array:
-    return pa.array(x.astype(np.uint64).view(np.int64))
+    return pa.array(_signed(x))
+
+
+def _signed(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint64).view(np.int64)
 
 
 def _each(lang: pa.Array, raw: pa.Array, bits: int) -> Iterator[tuple[int, int, Grams, np.ndarray, list[str]]]:
@@ -194,30 +198,29 @@ def read_phrases(docs: DataFrame, grams: DataFrame, bits: int = 64) -> DataFrame
     texts = maybe_in(_docs(docs), asked, "_key").withColumn("_text", F.xxhash64("_raw", F.lit(5)))
     texts = texts.groupBy("lang", "_key", "_text").agg(F.first("_raw").alias("_raw"))
     rows = texts.join(asked, ["lang", "_key"]).select("lang", "_raw", "asked")
-    part = pa.struct([("at", pa.int32()), ("n", pa.int32()), ("fp", pa.int64()), ("digest", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             asked = batch.column("asked")
+            ends, every = asked.offsets.to_numpy(), asked.values
+            word, size, fp, digest, f = (every.field(x).to_numpy() for x in ("word", "n", "fp", "digest", "f"))
             for i, j, g, code, names in _each(batch.column("lang"), batch.column("_raw"), bits):
-                out: dict[str, list] = {x: [] for x in ("lang", "fp", "digest", "f", "phrase", "parts")}
-                for d in range(i, j):
-                    for x in asked[d].as_py():
-                        at, n = int(g.w.first[d - i]) + x["word"], x["n"]
-                        one = np.array([at])
-                        if at + n > g.w.first[d - i + 1]:
-                            continue
-                        if g.fingerprints(one, n).view(np.int64)[0] != x["fp"] or g.digests(one, n).view(np.int64)[0] != x["digest"]:
-                            continue  # another text of the same key
-                        parts = []
-                        for m in range(1, n):
-                            runs = np.arange(at, at + n - m + 1)
-                            both = zip(g.fingerprints(runs, m).view(np.int64).tolist(), g.digests(runs, m).view(np.int64).tolist(), strict=True)
-                            parts += [{"at": k, "n": m, "fp": fp, "digest": dg} for k, (fp, dg) in enumerate(both)]
-                        for name, value in (("lang", names[code[d - i]]), ("fp", x["fp"]), ("digest", x["digest"]), ("f", x["f"]), ("phrase", g.phrase(at, n)), ("parts", parts)):
-                            out[name].append(value)
-                types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(part)]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
+                mine = slice(ends[i], ends[j])
+                doc = np.repeat(np.arange(j - i), np.diff(ends[i : j + 1]))
+                at = g.w.first[doc] + word[mine]
+                for n in range(2, LONGEST + 1):
+                    # another text of the same key has other words there, or none
+                    ok = np.flatnonzero((size[mine] == n) & (at + n <= g.w.first[doc + 1]))
+                    ok = ok[(_signed(g.fingerprints(at[ok], n)) == fp[mine][ok]) & (_signed(g.digests(at[ok], n)) == digest[mine][ok])]
+                    where = [(k, m) for m in range(1, n) for k in range(n - m + 1)]
+                    each = lambda of: pa.array(np.stack([_signed(of(at[ok] + k, m)) for k, m in where], 1).ravel())  # noqa: B023, E731
+                    fixed = lambda x: pa.array(np.tile(np.array([w[x] for w in where], np.int32), len(ok)))  # noqa: B023, E731
+                    parts = pa.StructArray.from_arrays([fixed(0), fixed(1), each(g.fingerprints), each(g.digests)], names=["at", "n", "fp", "digest"])
+                    parts = pa.ListArray.from_arrays(pa.array(np.arange(len(ok) + 1, dtype=np.int32) * len(where)), parts)
+                    lang = pa.array([names[c] for c in code[doc[ok]]], pa.string())
+                    phrase = pa.array([g.phrase(k, n) for k in at[ok].tolist()], pa.string())
+                    cols = [lang, *(pa.array(x[mine][ok]) for x in (fp, digest, f)), phrase, parts]
+                    yield pa.RecordBatch.from_arrays(cols, names=["lang", "fp", "digest", "f", "phrase", "parts"])
 
     schema = "lang string, fp long, digest long, f long, phrase string, parts array<struct<at:int,n:int,fp:long,digest:long>>"
     # texts that share a key can only repeat a phrase

@@ -160,9 +160,10 @@ def _pair_sums(rows: DataFrame, groups: DataFrame) -> DataFrame:
     slices, so a language of any size is shared by many tasks; a task holds the sums of
     two blocks of SOURCES sources and a few of their terms at a time.
     """
+    width = SOURCES
     slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n_blocks = groups.groupBy("lang").agg((F.floor(F.max("at") / SOURCES) + 1).cast("int").alias("_blocks"))
-    block = F.floor(F.col("at") / SOURCES).cast("int")
+    n_blocks = groups.groupBy("lang").agg((F.floor(F.max("at") / width) + 1).cast("int").alias("_blocks"))
+    block = F.floor(F.col("at") / width).cast("int")
     partner = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
     ends = [F.least("_own", "_other").alias("bi"), F.greatest("_own", "_other").alias("bj")]
     spread = lambda df: df.join(n_blocks, "lang").withColumn("_own", block).select("*", partner).select("*", *ends)
@@ -184,7 +185,7 @@ def _pair_sums(rows: DataFrame, groups: DataFrame) -> DataFrame:
             lang, bi, bj = state["key"]
             at = state["at"]
             i, j = np.nonzero(state["sums"])
-            good = at[i] < at[j]
+            good = (at[i] < at[j]) & (at[i] // width == bi) & (at[j] // width == bj)
             i, j = i[good], j[good]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(i), pa.string()), pa.array(at[i]), pa.array(at[j]), pa.array(state["sums"][i, j])], names=["lang", "i", "j", "extra"])
 
