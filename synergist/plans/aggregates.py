@@ -53,8 +53,9 @@ def build_aggregates(events: DataFrame, picks: DataFrame, sides: DataFrame, role
 
 def refresh(events: DataFrame, picks: DataFrame, sides: DataFrame, roles: DataFrame, periods: list[str], root: str, names: tuple[str, ...] = ("individual", "matchup", "duo", "trio", "duo_duration", "trio_duration")) -> None:
     """Rebuild the aggregates of ``periods`` and replace just these partitions of the
-    tables under ``root``. Running it twice leaves the same rows."""
+    tables under ``root``; a period that has no events any more has no rows then.
+    Running it twice leaves the same rows."""
     roles = checkpointed(roles)
     got = build_aggregates(events, picks, checkpointed(sides), roles, periods)
     for name in names:
-        refresh_partitions(got[name], f"{root}/{name}")
+        refresh_partitions(got[name], f"{root}/{name}", "period", periods)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.extract import DETAIL, TIMELINE
+from . import tables
 
 
 def read_raw(spark: SparkSession, path: str, kind: str = "timeline") -> DataFrame:
@@ -27,6 +28,9 @@ def load_reference(spark: SparkSession, path: str, schema: str | None = None) ->
 
 
 def scan_facts(spark: SparkSession, path: str, periods: list[str]) -> DataFrame:
-    """Stored facts of some periods: a filter on the partition column, so only
-    their folders are listed and read."""
-    return spark.read.parquet(path).where(F.col("period").isin(*periods))
+    """Rows of some periods of a stored table: only their folders are read. Periods are
+    what they were written as: '16.1' isn't '16.10'."""
+    rows = tables.read(spark, path, periods)
+    if rows is None:
+        raise ValueError(f"no table at {path}")
+    return rows

@@ -1,24 +1,21 @@
-"""Sinks over Parquet tables partitioned by period or window label.
-
-A path being read is never overwritten in place: partition refreshes write only
-partitions whose rows are computed from other tables, and rewrites of a table's
-own rows are materialised in a sibling path first.
-"""
+"""Idempotent sinks over stored tables (see ``tables``) partitioned by period or window
+label. Keys match null-safely: a null key is a key like any other."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.columns import period_key
+from . import tables
 from .scratch import checkpointed
 
 
 def read_or_none(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame | None:
-    """The table at ``path``, or None if nothing was written there yet. With a schema,
-    partition values keep its types ('16.10' stays a string)."""
+    """The Parquet files at ``path``, or None if nothing was written there yet. With a
+    schema, partition values keep its types ('16.10' stays a string)."""
     try:
         seen = spark.read.parquet(path)
         return seen if schema is None or set(seen.columns) != set(schema.names) else spark.read.schema(schema).parquet(path)
@@ -28,95 +25,116 @@ def read_or_none(spark: SparkSession, path: str, schema: StructType | None = Non
         raise
 
 
+def same_key(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """``left`` joined with the keys of ``right``, null keys matching null ones (a semi
+    or an anti join)."""
+    named = right.select(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)))
+    return left.join(named, [F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], how)
+
+
+def first_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each key: the first in the order of the columns. Columns without an
+    order (maps) count by their JSON."""
+    if set(df.columns) <= set(keys):
+        return df.select(*(f"`{c}`" for c in df.columns)).distinct()
+    ordered = lambda c: F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in df.schema[c].dataType.simpleString() else F.col(f"`{c}`")
+    others = [c for c in df.columns if c not in keys]
+    order = F.struct(*(x for c in others for x in (F.col(f"`{c}`").isNull(), ordered(c))))
+    best = F.min_by(F.struct(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(others))), order).alias("_row")
+    got = df.groupBy(*(F.col(f"`{k}`") for k in keys)).agg(best)
+    value = {c: F.col(f"_row._{i}") for i, c in enumerate(others)}
+    return got.select(*(value.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns))
+
+
 def new_rows(df: DataFrame, target: DataFrame | None, keys: list[str]) -> DataFrame:
-    """Rows whose key the target doesn't hold, one for each key: the first in the order
-    of the columns as JSON."""
-    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
-    rows = df.groupBy(*keys).agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")
-    return rows if target is None else rows.join(target.select(*keys), keys, "left_anti")
-
-
-def append_new(df: DataFrame, path: str, keys: list[str], partition: str | None = "period") -> DataFrame:
-    """Append the rows whose key isn't stored (repeats do nothing); returns them."""
-    fresh = checkpointed(new_rows(df, read_or_none(df.sparkSession, path, df.schema), keys))
-    writer = fresh.write.mode("append")
-    (writer.partitionBy(partition) if partition else writer).parquet(path)
+    """Rows whose key the target doesn't hold, one for each key (see ``first_rows``)."""
+    rows = df if target is None else same_key(df, target, keys, "left_anti")
+    return first_rows(rows, keys)
+
+
+def append_new(df: DataFrame, path: str, keys: list[str], partition: str | None = "period", scoped: bool = False) -> DataFrame:
+    """Append the rows whose key isn't stored (repeats do nothing); returns them.
+
+    With ``scoped`` a key never moves between partitions, so only the partitions that
+    ``df`` has rows of are searched for it.
+    """
+    spark = df.sparkSession
+    values = None
+    if scoped and partition:
+        values = [r[0] for r in df.select(partition).distinct().collect()]  # the batch's partitions
+    fresh = checkpointed(new_rows(df, tables.read(spark, path, values), keys))
+    if fresh.take(1) or tables.version(spark, path) < 0:
+        tables.append(fresh, path, [partition] if partition else [])
     return fresh
 
 
-def insert_event(tables: dict[str, DataFrame], root: str, keys: dict[str, list[str]]) -> DataFrame:
+def insert_event(facts: dict[str, DataFrame], root: str, keys: dict[str, list[str]]) -> DataFrame:
     """Append an extract's fact tables; an event that is stored already adds nothing
     to any of them. Returns the new event rows."""
-    stored = read_or_none(tables["events"].sparkSession, f"{root}/events")
-    events = checkpointed(new_rows(tables["events"], stored, ["event_id"]))
-    for name, df in tables.items():
+    spark = facts["events"].sparkSession
+    events = checkpointed(new_rows(facts["events"], tables.read(spark, f"{root}/events"), ["event_id"]))
+    for name, df in facts.items():
         if name in ("events", "quarantine"):
             continue
         # children first: an interrupted run leaves no event without its facts
         append_new(df.join(events.select("event_id"), "event_id", "left_semi"), f"{root}/{name}", keys[name], None)
-    events.write.mode("append").partitionBy("period").parquet(f"{root}/events")
+    tables.append(events, f"{root}/events", ["period"])
     return events
 
 
-def refresh_partitions(df: DataFrame, path: str, partition: str = "period") -> None:
-    """Replace exactly the partitions that ``df`` has rows for."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+def refresh_partitions(df: DataFrame, path: str, partition: str = "period", values: list | None = None) -> None:
+    """Replace the partitions that ``df`` has rows for, and those of ``values`` whether
+    it has rows for them or not."""
+    tables.replace(df, path, [partition], values)
 
 
-def replace_window(df: DataFrame, path: str, extra: list[str] | None = None) -> None:
-    """Replace the rows of the window labels (and extra partition columns) in ``df``."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("label", *(extra or [])).parquet(path)
+def replace_window(df: DataFrame, path: str, labels: list[str], extra: list[str] | None = None) -> None:
+    """Replace all rows of the window ``labels`` by those of ``df``, none if it has none."""
+    tables.replace(df, path, ["label", *(extra or [])], labels)
 
 
 def replace_all(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+    """Replace the whole table."""
+    tables.replace(df, path, [])
 
 
 def changed_rows(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
     """Source rows that are new or differ from the target in any value column
-    (null-safe)."""
+    (null-safe, keys too)."""
     values = [c for c in source.columns if c not in keys]
-    old = target.select(*keys, F.struct(*values).alias("_old"), F.lit(True).alias("_there"))
-    rows = source.join(old, keys, "left")
+    old = target.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.struct(*values).alias("_old"), F.lit(True).alias("_there"))
+    rows = source.join(old, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "left")
     same = F.coalesce("_there", F.lit(False))
     for v in values:
         same = same & F.col(v).eqNullSafe(F.col(f"_old.{v}"))
-    return rows.where(~same).drop("_old", "_there")
+    return rows.where(~same).select(*source.columns)
 
 
 def upsert(source: DataFrame, path: str, keys: list[str], partition: str) -> DataFrame:
-    """Write new and changed rows, one for each key (see ``new_rows``). Only the
+    """Write new and changed rows, one for each key (see ``first_rows``). Only the
     partitions that they come to or leave are rewritten, that of null values among them;
     one that loses all its rows goes. Returns the change set."""
     spark = source.sparkSession
-    target = read_or_none(spark, path, source.schema)
-    source = new_rows(source, None, keys)
+    target = tables.read(spark, path)
+    source = first_rows(source, keys)
     if target is None:
-        refresh_partitions(source, path, partition)
+        tables.replace(source, path, [partition])
         return source
     change = checkpointed(changed_rows(source, target, keys))
-    left = target.join(change.select(*keys), keys, "left_semi").select(partition)
-    label = F.col(partition).alias("_label")
-    parts = checkpointed(change.select(label).union(left.select(label)).distinct())
-    within = lambda df, some: df.join(some, F.col(partition).eqNullSafe(F.col("_label")), "left_semi")
-    merged = checkpointed(within(target, parts).join(change.select(*keys), keys, "left_anti").unionByName(change))
-    filled = merged.select(F.col(partition).alias("_filled")).distinct()
-    empty = parts.join(filled, F.col("_label").eqNullSafe(F.col("_filled")), "left_anti")
-    # folders of the partitions that end up empty: a few
-    folders = within(target.select(partition, "_metadata.file_path"), empty).select(F.regexp_extract("file_path", "^(.*)/[^/]*$", 1)).distinct()
-    folders = [r[0] for r in folders.collect()]
-    refresh_partitions(merged, path, partition)
-    for folder in folders:
-        at = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    left = same_key(target, change, keys, "left_semi").select(partition)
+    parts = [r[0] for r in change.select(partition).union(left).distinct().collect()]  # the partitions that change
+    if parts:
+        rest = same_key(tables.read(spark, path, parts), change, keys, "left_anti")
+        tables.replace(rest.unionByName(change), path, [partition], parts)
     return change
 
 
 def merge_columns(source: DataFrame, target: DataFrame, keys: list[str], keep_old: list[str]) -> DataFrame:
     """Full outer merge: new values win, but columns in ``keep_old`` keep the stored
-    value where there is one (an upsert that preserves a column)."""
-    old, new = target.alias("o"), source.alias("n")
-    on = [F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys]
+    value where there is one (an upsert that preserves a column). Of source rows that
+    repeat a key the first counts; null keys match each other."""
+    old, new = target.alias("o"), first_rows(source, keys).alias("n")
+    on = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
     rows = old.join(new, on, "full_outer")
     pick = lambda c: F.coalesce(f"o.{c}", f"n.{c}") if c in keep_old else F.coalesce(f"n.{c}", f"o.{c}")
     return rows.select(*(pick(c).alias(c) for c in target.columns))
@@ -156,10 +174,42 @@ def purge(tables: dict[str, DataFrame], column: str, keep: int, by: str, dry_run
     return kept, counts
 
 
-def purge_hours(df: DataFrame, ts: str, hours: int) -> DataFrame:
-    """Rows newer than ``hours`` before the newest one."""
-    top = df.agg(F.max(ts).alias("_top"))
-    return df.join(F.broadcast(top)).where(F.col(ts) > F.col("_top") - F.make_interval(hours=F.lit(hours))).drop("_top")  # one row
+def purge_stored(spark: SparkSession, root: str, parent: str, children: list[str], keep: int, by: str = "event_id", dry_run: bool = True) -> dict[str, int]:
+    """Retention of stored tables: ``parent``, partitioned by period, keeps its newest
+    ``keep`` periods; the others go with the manifest's entries alone. Of ``children`` the
+    rows go whose parent does: by partition too where they have the periods, else
+    their rest is written anew. Returns the rows that go by table; with ``dry_run``
+    nothing changes. Files are deleted in the end (see ``tables.vacuum``)."""
+    path = f"{root}/{parent}"
+    column = tables.layout(spark, path)[1][0]
+    old = [r[0] for r in stale_keys(tables.entries(spark, path), column, keep).collect()]  # a value for each old period
+    out = {}
+    gone = tables.read(spark, path, old).select(by) if old else None
+    for name in children:
+        at = f"{root}/{name}"
+        partition = tables.layout(spark, at)[1]
+        if not old:
+            out[name] = 0
+        elif partition[:1] == [column]:
+            out[name] = tables.row_count_of(spark, at, old) if dry_run else tables.drop(spark, at, old)
+        else:
+            rows = tables.read(spark, at)
+            before = tables.row_count(spark, at)
+            rest = checkpointed(same_key(rows, gone, [by], "left_anti"))
+            out[name] = before - rest.count()
+            if not dry_run and out[name]:
+                tables.replace_everything(rest, at, partition)
+    # the parent last: an interrupted run is completed by the next one
+    out[parent] = 0 if not old else tables.row_count_of(spark, path, old) if dry_run else tables.drop(spark, path, old)
+    if not dry_run:
+        for name in (parent, *children):
+            tables.vacuum(spark, f"{root}/{name}")
+    return out
+
+
+def newest_only(ts: Column, top: Column, hours: int) -> Column:
+    """Whether an instant is less than ``hours`` before ``top``."""
+    return ts > top - F.make_interval(hours=F.lit(hours))
 
 
 def validate(df: DataFrame, key: list[str], enums: dict[str, list], parent: DataFrame | None = None, parent_key: str = "event_id") -> DataFrame:

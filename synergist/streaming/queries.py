@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import tables
 from ..sources.scratch import fresh_path
 from ..plans import aggregates
 from ..plans.views import FACTS, facts
@@ -33,11 +34,12 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Events delivered twice arrive once; those stored before don't come again. The
     sink rules out both, so no event is too late."""
     work = _work(spark, "ingest")
-    spark.read.parquet(f"{d}/events.parquet").where("event_id % 10 = 0").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{work}/table")
+    stored = spark.read.parquet(f"{d}/events.parquet").where("event_id % 10 = 0").withColumn("ts", F.col("ts").cast("timestamp"))
+    tables.append(stored, f"{work}/table", [])
     rows = _events(spark, d)
     twice = rows.unionByName(_events(spark, d))
     ingest.run_available(twice, ingest.appending(f"{work}/table", ["event_id"]), f"{work}/state")
-    return spark.read.parquet(f"{work}/table").select("event_id", "user_id", "event_type", "value")
+    return tables.read(spark, f"{work}/table").select("event_id", "user_id", "event_type", "value")
 
 
 def stream_quarantine(spark: SparkSession, d: str) -> DataFrame:
@@ -95,8 +97,7 @@ def stream_refresh(spark: SparkSession, d: str) -> DataFrame:
         aggregates.refresh(m, p, t, p, periods, root, ("individual", "trio"))
 
     ingest.run_available(arrived, ingest.refreshing(rebuild), f"{root}/state")
-    stored = spark.read.schema("segment string, jgl long, mid long, sup long, games long, wins long, period string").parquet(f"{root}/trio")
-    return stored.select("period", "segment", "jgl", "mid", "sup", "games", "wins")
+    return tables.read(spark, f"{root}/trio").select("period", "segment", "jgl", "mid", "sup", "games", "wins")
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (stream_ingest, stream_quarantine, stream_rate, stream_silence, stream_refresh)}

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from synergist.plans import aggregates
 from synergist.plans.views import facts
+from synergist.sources import tables
 
 D = "/root/testdata/sf0.001"
 
@@ -9,7 +10,7 @@ D = "/root/testdata/sf0.001"
 def test_refresh_replaces_its_periods_only(spark, tmp_path):
     m, p, t = (facts(spark, D, x) for x in "mpt")
     names = ("individual", "matchup", "trio")
-    read = lambda n: {r.period: (r.n, r.g) for r in spark.read.schema("games long, period string").parquet(f"{tmp_path}/{n}").groupBy("period").agg(F.count("*").alias("n"), F.sum("games").alias("g")).collect()}
+    read = lambda n: {r.period: (r.n, r.g) for r in tables.read(spark, f"{tmp_path}/{n}").groupBy("period").agg(F.count("*").alias("n"), F.sum("games").alias("g")).collect()}
     aggregates.refresh(m, p, t, p, ["16.9", "16.10"], str(tmp_path), names)
     first = {n: read(n) for n in names}
     assert set(first["trio"]) == {"16.9", "16.10"}

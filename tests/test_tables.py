@@ -5,7 +5,7 @@ from synergist.operators import filters, joins
 from synergist.operators import ranking as R
 from synergist.operators import reference as ref
 from synergist.plans import compose
-from synergist.sources import readers, sinks
+from synergist.sources import readers, sinks, tables
 from synergist.streaming import ingest
 
 
@@ -20,7 +20,7 @@ def test_refresh_leaves_other_partitions(spark, tmp_path):
     path = f"{tmp_path}/t"
     sinks.refresh_partitions(spark.createDataFrame([(1, "a"), (2, "b")], "v long, period string"), path)
     sinks.refresh_partitions(spark.createDataFrame([(9, "a")], "v long, period string"), path)
-    assert {(r.v, r.period) for r in spark.read.parquet(path).collect()} == {(9, "a"), (2, "b")}
+    assert {(r.v, r.period) for r in tables.read(spark, path).collect()} == {(9, "a"), (2, "b")}
 
 
 def test_upsert_writes_changes_only(spark, tmp_path):
@@ -29,7 +29,7 @@ def test_upsert_writes_changes_only(spark, tmp_path):
     sinks.upsert(spark.createDataFrame([(1, 1, "a"), (2, None, "a"), (3, 3, "b")], schema), path, ["k"], "label")
     change = sinks.upsert(spark.createDataFrame([(1, 1, "a"), (2, 5, "a"), (4, 4, "a")], schema), path, ["k"], "label")
     assert {r.k for r in change.collect()} == {2, 4}
-    assert {(r.k, r.v) for r in spark.read.parquet(path).collect()} == {(1, 1), (2, 5), (3, 3), (4, 4)}
+    assert {(r.k, r.v) for r in tables.read(spark, path).collect()} == {(1, 1), (2, 5), (3, 3), (4, 4)}
 
 
 def test_retention_cascades(spark):
@@ -126,7 +126,7 @@ def test_upsert_moves_rows_between_partitions(spark, tmp_path):
     sinks.upsert(spark.createDataFrame([(1, 1, "16.10"), (2, 2, "16.9"), (3, 3, None), (4, 4, None), (5, 5, "lone/ly")], schema), path, ["k"], "label")
     change = sinks.upsert(spark.createDataFrame([(1, 1, "16.9"), (3, 9, None), (5, 5, "16.9"), (5, 5, "16.9")], schema), path, ["k"], "label")
     assert {r.k for r in change.collect()} == {1, 3, 5}
-    got = {(r.k, r.v, r.label) for r in spark.read.schema(schema).parquet(path).collect()}
+    got = {(r.k, r.v, r.label) for r in tables.read(spark, path).collect()}
     assert got == {(1, 1, "16.9"), (2, 2, "16.9"), (3, 9, None), (4, 4, None), (5, 5, "16.9")}
 
 
@@ -156,3 +156,97 @@ def test_advice_thresholds_are_strict_but_for_control(spark):
     rows = [(0.03, 2.5, 350.0), (-0.03, 2.49, -350.0), (0.031, 2.6, 351.0), (-0.031, None, -351.0)]
     got = spark.createDataFrame(rows, "s double, c double, g double").select(C.advice("s", "c", "g").alias("a")).collect()
     assert [r.a for r in got] == [["control"], [], ["late", "control", "lead"], ["early", "patience"]]
+
+
+def test_periods_keep_their_types(spark, tmp_path):
+    """A failing case of the review: '16.1' and '16.10' were both returned as 16.1."""
+    path, schema = f"{tmp_path}/t", "v long, period string"
+    sinks.refresh_partitions(spark.createDataFrame([(1, "16.1"), (2, "16.9"), (3, "16.10"), (4, None)], schema), path)
+    for period, v in (("16.1", 1), ("16.9", 2), ("16.10", 3)):
+        assert [tuple(r) for r in readers.scan_facts(spark, path, [period]).collect()] == [(v, period)]
+    some = readers.scan_facts(spark, path, ["16.10", "16.9"])
+    assert {tuple(r) for r in some.collect()} == {(3, "16.10"), (2, "16.9")}
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "period#" in plan.split("PartitionFilters: [")[1].split("], PushedFilters")[0] and "DataFilters: []" in plan
+    assert [r.v for r in tables.read(spark, path, [None]).collect()] == [4]
+
+
+def test_refresh_to_nothing_leaves_nothing(spark, tmp_path):
+    path, schema = f"{tmp_path}/t", "v long, period string"
+    sinks.refresh_partitions(spark.createDataFrame([(1, "a"), (2, "b")], schema), path)
+    for _ in range(2):
+        sinks.refresh_partitions(spark.createDataFrame([], schema), path, values=["a"])
+        assert [tuple(r) for r in tables.read(spark, path).collect()] == [(2, "b")]
+    labels = f"{tmp_path}/w"
+    rows = spark.createDataFrame([(1, "x+y", "eu"), (2, "x+y", "na"), (3, "z", "eu")], "v long, label string, segment string")
+    sinks.replace_window(rows, labels, ["x+y", "z"], ["segment"])
+    sinks.replace_window(rows.where("v = 2"), labels, ["x+y"], ["segment"])
+    assert {r.v for r in tables.read(spark, labels).collect()} == {2, 3}
+    sinks.replace_window(rows.limit(0), labels, ["x+y"], ["segment"])
+    assert {r.v for r in tables.read(spark, labels).collect()} == {3}
+    dim = f"{tmp_path}/d"
+    for n in (3, 2, 0):
+        sinks.replace_all(rows.limit(n), dim)
+        assert tables.read(spark, dim).count() == n == tables.row_count(spark, dim)
+
+
+def test_a_failed_write_leaves_the_old_rows(spark, tmp_path):
+    path, schema = f"{tmp_path}/t", "v long, period string"
+    sinks.refresh_partitions(spark.createDataFrame([(1, "a"), (2, "b")], schema), path)
+    bad = spark.range(4).select(F.when(F.col("id") == 3, F.raise_error(F.lit("stop"))).otherwise(F.col("id")).cast("long").alias("v"), F.lit("a").alias("period"))
+    at = tables.version(spark, path)
+    with pytest.raises(Exception, match="stop"):
+        sinks.refresh_partitions(bad, path)
+    assert tables.version(spark, path) == at and {tuple(r) for r in tables.read(spark, path).collect()} == {(1, "a"), (2, "b")}
+    # what a writer that died left of its version doesn't stop the next one
+    (tmp_path / "t" / "manifest" / f"version={at + 1}").mkdir()
+    sinks.refresh_partitions(spark.createDataFrame([(7, "a")], schema), path)
+    assert {tuple(r) for r in tables.read(spark, path).collect()} == {(7, "a"), (2, "b")}
+    assert tables.vacuum(spark, path) > 0 and tables.read(spark, path).count() == 2
+    with pytest.raises(ValueError, match="columns differ"):
+        tables.append(spark.createDataFrame([(7,)], "v long"), path, ["period"])
+
+
+def test_null_keys_are_keys(spark, tmp_path):
+    """Three identical calls stored 2, 3 and 4 rows before."""
+    rows = spark.createDataFrame([(1, "a", "p"), (None, "b", "p"), (None, "b", "p")], "k long, v string, period string")
+    for _ in range(3):
+        sinks.append_new(rows, f"{tmp_path}/a", ["k"])
+        assert tables.read(spark, f"{tmp_path}/a").count() == 2
+        sinks.upsert(rows, f"{tmp_path}/u", ["k"], "period")
+        assert tables.read(spark, f"{tmp_path}/u").count() == 2
+    assert sinks.append_new(rows, f"{tmp_path}/a", ["k"], scoped=True).count() == 0
+    changed = sinks.upsert(rows.withColumn("v", F.lit("z")), f"{tmp_path}/u", ["k"], "period")
+    assert changed.count() == 2 and {r.v for r in tables.read(spark, f"{tmp_path}/u").collect()} == {"z"}
+    merged = sinks.merge_columns(rows.withColumn("v", F.lit("n")), rows.drop_duplicates(), ["k"], ["period"])
+    assert sorted((str(r.k), r.v) for r in merged.collect()) == [("1", "n"), ("None", "n")]
+
+
+def test_retention_of_stored_tables(spark, tmp_path):
+    root = str(tmp_path)
+    events = spark.createDataFrame([(i, f"16.{1 + i % 12}") for i in range(48)], "event_id long, period string")
+    tables.append(events, f"{root}/events", ["period"])
+    tables.append(events.withColumn("x", F.lit(1)), f"{root}/sides", ["period"])
+    tables.append(events.select("event_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("seq")), f"{root}/log", [])
+    want = {"events": 40, "sides": 40, "log": 120}
+    files = lambda: len(list(tmp_path.rglob("part-*.parquet")))
+    before = files()
+    assert sinks.purge_stored(spark, root, "events", ["sides", "log"], 2) == want
+    assert tables.read(spark, f"{root}/events").count() == 48 and files() >= before
+    assert sinks.purge_stored(spark, root, "events", ["sides", "log"], 2, dry_run=False) == want
+    kept = {r.event_id for r in tables.read(spark, f"{root}/events").collect()}
+    assert {r.period for r in tables.read(spark, f"{root}/events").collect()} == {"16.11", "16.12"}
+    for name in ("sides", "log"):
+        assert {r.event_id for r in tables.read(spark, f"{root}/{name}").collect()} == kept
+    # the old rows are gone from disk too
+    stored = [str(f) for f in tmp_path.rglob("part-*.parquet") if "/data/" in str(f)]
+    assert stored and not any(f"period=16.{k}/" in f for f in stored for k in range(1, 11))
+    assert sinks.purge_stored(spark, root, "events", ["sides", "log"], 2, dry_run=False) == {"events": 0, "sides": 0, "log": 0}
+
+
+def test_an_extract_is_stored_once(spark, tmp_path):
+    facts = {"events": spark.createDataFrame([(1, "16.1"), (2, "16.10")], "event_id long, period string"), "sides": spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "event_id long, side int")}
+    keys = {"sides": ["event_id", "side"]}
+    assert sinks.insert_event(facts, str(tmp_path), keys).count() == 2
+    assert sinks.insert_event(facts, str(tmp_path), keys).count() == 0
+    assert tables.read(spark, f"{tmp_path}/sides").count() == 3 and tables.read(spark, f"{tmp_path}/events", ["16.10"]).count() == 1
