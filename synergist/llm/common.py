@@ -200,6 +200,17 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, h
     return fast.unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key, how))  # at most HOT rows
 
 
+def first_by_hash(rows: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` different ``rows`` in the order of their column ``_r``, a hash of
+    their ids, and of the others. Only rows whose hash is small enough for the first
+    ``2 * most`` ids or so are shuffled; the estimate of the number of ids doesn't
+    depend on repeats."""
+    ids = rows.agg(F.approx_count_distinct("_r")).first()[0]
+    share = 2 * most / max(1, ids)
+    near = rows if share >= 1 else rows.where((F.col("_r").cast("double") + 2.0**63) / 2.0**64 < share)
+    return near.distinct().orderBy("_r", *(c for c in rows.columns if c != "_r")).limit(most)
+
+
 # ---------------------------------------------------------------- Arrow text
 
 CHUNK = 1 << 20

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, NONSPACE, Words, free_name, map_text, stable_split, text_bytes
+from .common import CHUNK, NONSPACE, Words, first_by_hash, free_name, map_text, stable_split, text_bytes
 
 #: Byte classes of the bigram statistics (fixed values); other bytes fall in class 0.
 CLASSES = [
@@ -126,7 +126,7 @@ def _matrix(docs: DataFrame, most: int, seed: int) -> np.ndarray:
         return {"x": [r.tobytes() for r in features(data, bounds)]}
 
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("doc_id", F.lit(seed)).alias("_r"), F.xxhash64("text").alias("_t"), text_bytes().alias("_raw"))
-    drawn = rows.select("_r", "doc_id", "_t").distinct().orderBy("_r", "doc_id", "_t").limit(most)
+    drawn = first_by_hash(rows.select("_r", "doc_id", "_t"), most)
     picked = rows.join(F.broadcast(drawn), ["_r", "doc_id", "_t"])  # at most ``most`` rows
     # rows that repeat both fold into one before they leave their task
     got = map_text(picked, ["_r", "doc_id", "_t"], "x binary", work).groupBy("_r", "doc_id", "_t").agg(F.first("x").alias("x"))

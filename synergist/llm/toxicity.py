@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, map_text, materialise, stable_split, text_bytes
+from .common import ALNUM, Words, first_by_hash, map_text, materialise, stable_split, text_bytes
 from .quality import _Adam, sigmoid
 
 BITS = 18
@@ -114,8 +114,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1000, max_clean: in
     screened slot."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("_y"))
     rows = docs.select("doc_id", F.xxhash64("doc_id", F.lit(5)).alias("_r"), F.xxhash64("text").alias("_t"), text_bytes().alias("_raw"))
-    keyed = rows.select("_r", "doc_id", "_t").distinct().join(known, "doc_id")
-    drawn = [keyed.where(F.col("_y") == y).orderBy("_r", "doc_id", "_t").limit(n) for y, n in ((1, max_toxic), (0, max_clean))]
+    keyed = rows.select("_r", "doc_id", "_t").join(known, "doc_id").select("_r", "doc_id", "_t", "_y")
+    drawn = [first_by_hash(keyed.where(F.col("_y") == y), n) for y, n in ((1, max_toxic), (0, max_clean))]
     drawn = materialise(drawn[0].unionByName(drawn[1]), "drawn")  # at most max_toxic + max_clean rows: a bounded broadcast
     keys = ["_r", "doc_id", "_t"]
     texts = rows.join(F.broadcast(drawn), keys).groupBy(*keys, "_y").agg(F.first("_raw").alias("_raw"))
