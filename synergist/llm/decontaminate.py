@@ -62,12 +62,21 @@ def fingerprints(df: DataFrame, keys: list[str], span: int, k: int, short: tuple
     return df.select(*keys, F.size("_w").cast("long").alias("n_words"), (F.array_distinct(F.concat(*all_)) if short else all_[0]).alias("fps"))
 
 
+#: Windows of a text that are built at a time.
+RUN = 256
+
+
 def windows(df: DataFrame, keys: list[str], length: int) -> DataFrame:
-    """``keys``, start and the words of every window of ``length`` words."""
+    """``keys``, start and the words of every window of ``length`` words. A text is cut
+    into runs of RUN windows first, so no row holds all of its windows."""
     n = F.size("_words")
-    at = F.sequence(F.lit(1), n - length + 1)
-    each = F.transform(at, lambda i: F.concat_ws(" ", F.slice("_words", i, length)))
-    return df.where(n >= length).select(*keys, F.posexplode(each).alias("start", "window"))
+    cuts = F.sequence(F.lit(1), n - length + 1, F.lit(RUN))
+    runs = F.transform(cuts, lambda i: F.struct(i.alias("at"), F.slice("_words", i, RUN + length - 1).alias("words")))
+    each = df.where(n >= length).select(*keys, F.explode(runs).alias("_run"))
+    each = each.select(*keys, F.col("_run.at").alias("_at"), F.col("_run.words").alias("_words"))
+    own = F.transform(F.sequence(F.lit(1), F.size("_words") - length + 1), lambda i: F.concat_ws(" ", F.slice("_words", i, length)))
+    found = each.select(*keys, "_at", F.posexplode(own).alias("_pos", "window"))
+    return found.select(*keys, (F.col("_at") - 1 + F.col("_pos")).cast("int").alias("start"), "window")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, keep: list[str], span: int = SPAN, k: int = K) -> tuple[DataFrame, DataFrame]:
@@ -100,8 +109,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, keep: list[str], span: int = SPA
     each = prints.select(*keep, "_key", "n_words", F.posexplode_outer("fps").alias("_at", "fp"))
     seen = materialise(mark_in(each, probe, "fp", "_likely").where("_likely or coalesce(_at, 0) = 0"), "prints")
     candidates = materialise(seen.where("_likely").join(probe, "fp", "left_semi").select("_key").distinct(), "leaks")
-    texts = maybe_in(docs.select("_key", "text"), candidates, "_key").join(candidates, "_key", "left_semi")
-    texts = texts.dropDuplicates(["_key"]).select("_key", words().alias("_words"))
+    # copies fold into one within their task before texts move
+    texts = maybe_in(docs.select("_key", "text"), candidates, "_key").dropDuplicates(["_key"])
+    texts = texts.join(candidates, "_key", "left_semi").select("_key", words().alias("_words"))
     runs = windows(texts, ["_key"], span).withColumn("length", F.lit(span))
     for m in short:
         runs = runs.unionByName(windows(texts, ["_key"], m).withColumn("length", F.lit(m)))
