@@ -161,10 +161,11 @@ def _group_id(ids: np.ndarray) -> int:
     return int(np.add.reduce(mix64(ids.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))).view(np.int64))
 
 
-def _confirm(groups: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _confirm(groups: DataFrame, docs: DataFrame, k: int, num: int, den: int, once: bool = False) -> DataFrame:
     """(a, b): links within each group (cid, doc_id, label; at most a few hundred
     documents), confirmed on full sets. Documents of one label count as linked
-    already; of every component only edges to its smallest member come out."""
+    already; of every component only edges to its smallest member come out. With
+    ``once``, ``docs`` may repeat an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a_out, b_out = [], []
@@ -198,6 +199,9 @@ def _confirm(groups: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
         yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
     texts = maybe_in(docs.select(F.col("_id").alias("doc_id"), text_bytes().alias("_raw")), groups, "doc_id")
+    if once:
+        # rows that repeat a document fold into one before they are compared
+        texts = texts.groupBy("doc_id").agg(F.first("_raw").alias("_raw"))
     rows = groups.join(texts, "doc_id").select("cid", "doc_id", "label", "_raw")
     return map_arrow(rows.repartition("cid").sortWithinPartitions("cid", "doc_id"), run, "a long, b long")
 
@@ -258,6 +262,8 @@ def link(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFr
     table = materialise(sketches(docs, k), "sketch")
     reps = table.where("n > 0 and _id is not null").groupBy("d").agg(F.min("_id").alias("doc_id"), F.first("n").alias("n"), F.first("mins").alias("mins"), F.first("sig").alias("sig"), F.count("*").alias("_rows"))
     reps = materialise(reps, "classes")
+    ids = table.where("_id is not null").groupBy("_id").agg(F.count("*").alias("_c"))
+    once = bool(ids.where("_c > 1").take(1))
     leaves, big = _nodes(reps)
     node_rows = leaves.join(reps.select("doc_id", "n", "sig"), "doc_id")
     found = materialise(_candidates(node_rows, num, den).groupBy("cid").agg(F.first("members").alias("members")), "groups")
@@ -281,7 +287,7 @@ def link(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFr
     spread = leaders.select("home", F.explode("ids").alias("doc_id"), F.ceil(F.col("_n") / GROUP).alias("m")).select("home", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("spot"))
     first = blocks.select("home", "doc_id", "spot").unionByName(spread.select("home", "doc_id", "spot")).distinct()
     first = first.select(F.xxhash64("home", "spot", F.lit("block")).alias("cid"), "doc_id", none)
-    links = materialise(_confirm(whole.unionByName(first), docs, k, num, den), "links")
+    links = materialise(_confirm(whole.unionByName(first), docs, k, num, den, once), "links")
     if not large.take(1):
         return table, reps, components(links)
 
@@ -301,13 +307,13 @@ def link(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFr
     second = left.unionByName(right).select(F.xxhash64("home", "r", "s", F.lit("cross")).alias("key"), "doc_id", "label").distinct()
     alike = _candidates(second.join(reps.select("doc_id", "n", "sig"), "doc_id"), num, den).groupBy("cid").agg(F.first("members").alias("members"))
     alike = materialise(alike, "alike").select("cid", F.explode("members").alias("doc_id")).join(at.select("doc_id", "label"), "doc_id")
-    more = materialise(_confirm(alike.select("cid", "doc_id", "label"), docs, k, num, den), "links")
+    more = materialise(_confirm(alike.select("cid", "doc_id", "label"), docs, k, num, den, once), "links")
     return table, reps, components(links.unionByName(more))
 
 
 def _identified(docs: DataFrame) -> tuple[DataFrame, bool]:
     """``docs`` with ``_id``, a number for each different (doc_id, text), and whether
-    it differs from doc_id anywhere.
+    it differs from doc_id anywhere. Ids are whole numbers (or text that casts to them).
 
     It is the doc_id where that has one text only, null ids included. Ids of several
     texts take numbers that no doc_id has.
