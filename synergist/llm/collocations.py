@@ -268,4 +268,6 @@ def mine(docs: DataFrame, min_count: int = 30, top: int = 2000, bits: int = 64)
     rows = rows.join(weakest.select("lang", F.col("_fp").alias("fp"), F.col("_dg").alias("digest"), "c"), ["lang", "fp", "digest"]).join(totals, "lang")
     rows = rows.select("lang", "phrase", "a", "c.l", "c.r", "n", "c.score")
     order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    return rows.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    # a group limit: a task sends the first ``top`` of its rows at most
+    best = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return best.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -3,6 +3,8 @@ vectorised work on Arrow text batches."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 import os
 import tempfile
@@ -72,9 +74,19 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with this package on the workers."""
+    """``mapInArrow`` with this package on the workers. A worker gives back the memory
+    that a task has freed, for it waits beside others for its next task."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(task, schema)
 
 
 def text_bytes(col: str = "text") -> Column:
