@@ -311,10 +311,3 @@ def daily_pivot(events: DataFrame, segment_values: list[str] | None = None) -> D
     grouped = day.groupBy("day")
     pivoted = grouped.pivot("segment", segment_values) if segment_values else grouped.pivot("segment")
     return pivoted.count().na.fill(0)
-
-
-def tukey_fence(df: DataFrame, ratio: str, k: float = 3.0) -> DataFrame:
-    """Rows above Q3 + k (Q3 - Q1) of the ratio (exact, interpolated quartiles)."""
-    q = df.agg(F.expr(f"percentile({ratio}, array(0.25, 0.75))").alias("_q"))
-    fence = F.col("_q")[1] + (F.col("_q")[1] - F.col("_q")[0]) * k
-    return df.join(F.broadcast(q)).withColumn("fence", fence).where(F.col(ratio) > F.col("fence")).drop("_q")  # one row

@@ -110,6 +110,34 @@ def rows_below(values: DataFrame, column: str, n: str, name: str) -> DataFrame:
     return inside.join(bases, "_part").withColumn(name, F.col("_base") + F.col("_in")).drop("_part", "_sum", "_base", "_in")
 
 
+def quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
+    """One row with exact interpolated quantiles q0, q1, ... of a column (nulls don't
+    count; null without any value).
+
+    Each value is counted once, values are dealt in ranges, and the rows before a value
+    tell whether a wanted rank falls on it: no task sees all values, however often one
+    repeats.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
+    placed = checkpointed(rows_below(counts, "_v", "_n", "_below"))
+    total = placed.agg(F.sum("_n").alias("_all"))
+    rows = placed.join(F.broadcast(total))  # one row
+    out = []
+    for i, share in enumerate(shares):
+        at = (F.col("_all") - 1) * F.lit(float(share))
+        on = lambda rank: F.max(F.when((F.col("_below") <= rank) & (rank < F.col("_below") + F.col("_n")), F.col("_v")))
+        low, high = on(F.floor(at)), on(F.ceil(at))
+        part = F.max(at - F.floor(at))
+        out.append((low + (high - low) * part).alias(f"q{i}"))
+    return rows.agg(*out)
+
+
+def tukey_fence(df: DataFrame, ratio: str, k: float = 3.0) -> DataFrame:
+    """Rows above Q3 + k (Q3 - Q1) of the ratio (exact, interpolated quartiles)."""
+    q = quantiles(df, ratio, [0.25, 0.75]).select((F.col("q1") + (F.col("q1") - F.col("q0")) * k).alias("fence"))
+    return df.join(F.broadcast(q)).where(F.col(ratio) > F.col("fence"))  # one row
+
+
 def avg_rank(df: DataFrame, column: str, name: str = "rank") -> DataFrame:
     """Average rank with ties, from the counts of the distinct values in ranges."""
     values = rows_below(df.groupBy(column).agg(F.count("*").alias("_n")), column, "_n", "_below")

@@ -120,14 +120,26 @@ vs as (
   from vr join own using (segment, jgl, mid, sup), (select 1.959963984540054e0 as z))
 """
 
-_FACTOR = """
+#: Both sides of each event in one row, by conditional sums: side 0's lead, and lists by
+#: side. Only events with a checkpoint value in all ten slots.
+_BOTH_SIDES = """
+ev as (
+  select event_id, sum(case side when 0 then gold_15 else -gold_15 end)::bigint as lead,
+    [sum(cc_time_s) filter (where side = 0), sum(cc_time_s) filter (where side = 1)] as ccs,
+    [sum(vision_score) filter (where side = 0), sum(vision_score) filter (where side = 1)] as visions,
+    [coalesce(bool_or(first_blood) filter (where side = 0), false), coalesce(bool_or(first_blood) filter (where side = 1), false)] as bloods
+  from p group by event_id having count(gold_15) filter (where side = 0) = 5 and count(gold_15) filter (where side = 1) = 5)
+"""
+
+_FACTOR = (
+    _BOTH_SIDES
+    + """,
 fr as (
-  select s.event_id, s.side, m.period, win.w as weight, t.win::int::double as y, (s.gold_15 - e.gold_15)::double as team_gold_diff_15,
-    s.cc / (m.duration_s / 60.0e0) as team_cc_per_min, s.vision / (m.duration_s / 60.0e0) as team_vision_per_min, t.jgl_cs_diff_15::double as jgl_cs_diff_15
-  from (select event_id, side, sum(gold_15)::bigint as gold_15, sum(cc_time_s)::bigint as cc, sum(vision_score)::bigint as vision from p where gold_15 is not null group by all having count(*) = 5) s
-  join (select event_id, side, sum(gold_15)::bigint as gold_15 from p where gold_15 is not null group by all having count(*) = 5) e on e.event_id = s.event_id and e.side <> s.side
-  join m on m.event_id = s.event_id join win on win.period = m.period join t on t.event_id = s.event_id and t.side = s.side where t.jgl_cs_diff_15 is not null)
+  select event_id, t.side, t.period, win.w as weight, t.win::int::double as y, (case t.side when 0 then lead else -lead end)::double as team_gold_diff_15,
+    ccs[t.side + 1] / (t.duration_s / 60.0e0) as team_cc_per_min, visions[t.side + 1] / (t.duration_s / 60.0e0) as team_vision_per_min, t.jgl_cs_diff_15::double as jgl_cs_diff_15
+  from t join ev using (event_id) join win on win.period = t.period where t.jgl_cs_diff_15 is not null)
 """
+)
 
 
 def _facts(select: str, *parts: str) -> str:
@@ -220,6 +232,53 @@ _TRIO_SCORES = f"select {_LABEL}, segment, jgl, mid, sup, games, games_eff, rate
 _SCORE_DOUBLES = ["games_eff", "rate", "ci_low", "ci_high", "synergy", "synergy_ci_low", "synergy_ci_high"]
 _ALL = (_PAIRS, _WINDOW, _FACED.format(roles="p"), _SCORES)
 
+#: Heads-to-heads against the opponents that are expected, entity 1 in the middle and 2 on
+#: top, z-scored among the candidates of a slot.
+_SCOUTED = """
+sc as (
+  select segment, slot, a as partner, (delta - avg(delta) over g) / (case when stddev_pop(delta) over g = 0 then 1 else stddev_pop(delta) over g end) as z, count(*) over g as n
+  from ms where (slot, b) in (('MIDDLE', 1), ('TOP', 2)) window g as (partition by segment, slot, b)),
+scz as (select segment, slot, partner, z from sc where n >= 2)
+"""
+
+
+def _lineups(profiles: dict[str, dict[str, float]], counter: float = 0.0) -> str:
+    """Greedy completion unrolled: the eight best pairs of each segment and profile, then
+    three rounds, each adding the best candidate that pairs with every placed member."""
+    axes = sorted({a for w in profiles.values() for a in w})
+    score = lambda of: "case archetype " + " ".join(f"when '{k}' then " + " + ".join(f"{x}e0 * ({of(a)} - m_{a}) / s_{a}" for a, x in w.items()) for k, w in profiles.items()) + " end"
+    out = [
+        "prof as (select * from (values " + ", ".join(f"('{k}')" for k in profiles) + ") v(archetype))",
+        "good as (select * from ds where games >= 20)",
+        "mom as (select segment, " + ", ".join(f"avg({a}) as m_{a}, case when stddev_pop({a}) = 0 then 1 else stddev_pop({a}) end as s_{a}" for a in axes) + " from good group by segment)",
+        f"ranked as (select segment, archetype, roles, a, b, synergy, {score(lambda a: a)} as seed_score from good join mom using (segment), prof)",
+        """first8 as (select *, roles || ':' || a || ':' || b as seed from ranked where seed_score is not null
+          qualify row_number() over (partition by segment, archetype order by seed_score desc, roles, a, b) <= 8)""",
+        """st0 as (select segment, archetype, seed, slot_a as slot, a as entity, synergy as total from first8 join prs using (roles)
+          union all select segment, archetype, seed, slot_b, b, synergy from first8 join prs using (roles))""",
+        f"seen as (select segment, slot_a as anchor_slot, a as anchor, slot_b as slot, b as partner, synergy{''.join(f', {a} as v_{a}' for a in axes)} from good join prs using (roles)"
+        f" union all select segment, slot_b, b, slot_a, a, synergy{''.join(f', {a}' for a in axes)} from good join prs using (roles))",
+    ]
+    order = "list_position(['TOP', 'JUNGLE', 'MIDDLE', 'BOTTOM', 'UTILITY'], slot)"
+    for r in range(3):
+        axis = f" + {counter}e0 * coalesce(z, 0)" if counter else ""
+        scouted = "left join scz using (segment, slot, partner)" if counter else ""
+        out += [
+            f"""cd{r} as (
+          select st.segment, archetype, seed, seen.slot, partner, sum(synergy) as s, {", ".join(f"avg(v_{a}) as v_{a}" for a in axes)}
+          from st{r} st join seen on seen.segment = st.segment and anchor_slot = st.slot and anchor = st.entity
+          where not exists (select 1 from st{r} o where o.segment = st.segment and o.archetype = st.archetype and o.seed = st.seed and o.slot = seen.slot)
+          group by all having count(*) = {r + 2})""",
+            f"""bs{r} as (
+          select * from (select *, {score(lambda a: f"v_{a}")}{axis} as score from cd{r} join mom using (segment) {scouted})
+          where score is not null qualify row_number() over (partition by segment, archetype, seed order by score desc, {order}, partner) = 1)""",
+            f"""st{r + 1} as (
+          select segment, archetype, seed, st.slot, entity, total + s as total from st{r} st join bs{r} using (segment, archetype, seed)
+          union all select distinct segment, archetype, seed, bs.slot, partner, total + s from bs{r} bs join st{r} using (segment, archetype, seed))""",
+        ]
+    return ",\n        ".join(out)
+
+
 _LOG = """with l as (
   select user_id * 100000000 + strftime(ts, '%Y%m%d')::bigint as event_id, event_id as log_id, ((floor(epoch(ts))::bigint % 86400) // 20)::bigint as ts_s,
     case event_type when 'view' then 'VOID_GRUB' when 'signup' then 'RIFT_HERALD' when 'purchase' then 'TOWER' when 'error' then 'BARON' when 'click' then 'DRAGON' end as event_type,
@@ -498,6 +557,14 @@ from s left join f on n = s_nationkey
         *_ALL,
         "po as (select *, avg(synergy) over () as ms, stddev_pop(synergy) over () as ss, avg(gold_diff_15) over () as mg, stddev_pop(gold_diff_15) over () as sg, avg(rate) over () as mr, stddev_pop(rate) over () as sr from ds where segment = 'all' and games >= 20)",
     ),
+    "compositions": _facts(
+        "select segment, archetype, seed, slot, entity, round(total, 6) + 0.0e0 as total from st3 qualify count(*) over (partition by segment, archetype, seed) = 5",
+        *_ALL, _lineups({"synergy": {"synergy": 1.0}, "lead": {"gold_diff_15": 0.6, "rate": 0.4}}),
+    ),
+    "opponent_lineups": _facts(
+        "select segment, archetype, seed, slot, entity, round(total, 6) + 0.0e0 as total from st3 qualify count(*) over (partition by segment, archetype, seed) = 5",
+        *_ALL, _MATCHUPS, _SCOUTED, _lineups({"counter": {"synergy": 0.6}}, 0.4),
+    ),
     "complete_round1": _facts(
         """select seed, slot, entity, round(total, 4) + 0.0e0 as total from (
           select seed, slot, partner as entity, total from best union all select seed, slot_a, a, total from best join prs using (roles) union all select seed, slot_b, b, total from best join prs using (roles))""",
@@ -516,16 +583,20 @@ from s left join f on n = s_nationkey
     ),
 }
 
-_RESILIENCE = """re0 as (
-  select p.slot, p.entity, p.win, tg.team_gold_diff_15 as g, t.jgl_cs_diff_15 as c, (select 1) as one, fb.f as f
-  from p join tg using (event_id, side) join t on t.event_id = p.event_id and t.side = p.side
-  join (select event_id, side, coalesce(bool_or(first_blood), false) as f from p group by all) fb on fb.event_id = p.event_id and fb.side = p.side where t.jgl_cs_diff_15 is not null),
-re1 as (
-  select slot, entity, win, 'team_gold_diff_15' as factor, g >= 0 as ahead from re0 where abs(g) >= 1000
-  union all select slot, entity, win, 'jgl_cs_diff_15', c >= 0 from re0 union all select slot, entity, win, 'first_blood_team', f from re0),
+_RESILIENCE = (
+    _BOTH_SIDES.strip()
+    + """,
+early as (
+  select event_id, t.side, unnest([
+    {'factor': 'team_gold_diff_15', 'ahead': case when abs(lead) >= 1000 then (lead >= 0) = (t.side = 0) or lead = 0 end},
+    {'factor': 'jgl_cs_diff_15', 'ahead': t.jgl_cs_diff_15 >= 0},
+    {'factor': 'first_blood_team', 'ahead': bloods[t.side + 1]}], recursive := true)
+  from t join ev using (event_id) where t.jgl_cs_diff_15 is not null),
 re as (
   select slot, entity, factor, (count(*) filter (where ahead))::bigint as games_ahead, (count(*) filter (where ahead and win))::bigint as wins_ahead,
-    (count(*) filter (where not ahead))::bigint as games_behind, (count(*) filter (where not ahead and win))::bigint as wins_behind from re1 group by all)"""
+    (count(*) filter (where not ahead))::bigint as games_behind, (count(*) filter (where not ahead and win))::bigint as wins_behind
+  from early join p using (event_id, side) where ahead is not null group by all)"""
+)
 
 
 def _expand(sql: str) -> str:

@@ -297,7 +297,8 @@ def tier_page(spark: SparkSession, d: str) -> DataFrame:
     """Second page of 20 of reliable pairs, filtered and sorted, with the total."""
     rows = filters.segment_filter(rounded(_scores(spark, d)), "all").where("segment = 'all'")
     rows = filters.range_filter(filters.tier_at_least(rows, "moyen"), {"games": 60}, {"rate": 0.6}, ["games", "rate"])
-    rows, total = R.page(rows.select(*DUO_KEYS, "games", "rate", "tier"), R.order_columns(["rate", "games"], ["desc", "asc"], DUO_KEYS), 2, 20)
+    rows = checkpointed(rows.select(*DUO_KEYS, "games", "rate", "tier"))  # the page and the total read it
+    rows, total = R.page(rows, R.order_columns(["rate", "games"], ["desc", "asc"], DUO_KEYS), 2, 20)
     return rows.join(F.broadcast(total))  # one row
 
 
@@ -360,6 +361,10 @@ def inner_pairs(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------ factors
 
 
+def _label(window: DataFrame) -> str:
+    return window.first().label
+
+
 def _win_rows(spark: SparkSession, d: str) -> DataFrame:
     return factors.win_rows(_p(spark, d), _t(spark, d), _m(spark, d), _window(spark, d))
 
@@ -401,13 +406,13 @@ def correlations(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def win_factors(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(factors.win_factors(spark, _win_rows(spark, d), "16.12+16.11+16.10"), 5)
+    return rounded(factors.win_factors(spark, _win_rows(spark, d), _label(_window(spark, d))), 5)
 
 
 @query
 def gold_factors(spark: SparkSession, d: str) -> DataFrame:
     rows = factors.gold_rows(_p(spark, d), _t(spark, d), _m(spark, d), _window(spark, d), A.individual(_p(spark, d)), _matchup_scores(spark, d), _scores(spark, d, "trio"))
-    return rounded(factors.gold_factors(spark, checkpointed(rows), "16.12+16.11+16.10"), 4)
+    return rounded(factors.gold_factors(spark, checkpointed(rows), _label(_window(spark, d))), 4)
 
 
 @query
@@ -445,7 +450,20 @@ def complete_round1(spark: SparkSession, d: str) -> DataFrame:
 def compositions(spark: SparkSession, d: str) -> DataFrame:
     duos = _duos(spark, d)
     profiles = compose.profile_table(duos, {"synergy": {"synergy": 1.0}, "lead": {"gold": 0.6, "rate": 0.4}})
-    return compose.to_flat(compose.complete(compose.seeds(duos, profiles, MIN_GAMES), duos, profiles, MIN_GAMES, rounds=3).drop("seed_score"))
+    return rounded(compose.to_flat(compose.complete(compose.seeds(duos, profiles, MIN_GAMES), duos, profiles, MIN_GAMES, rounds=3).drop("seed_score")), 6)
+
+
+@query
+def opponent_lineups(spark: SparkSession, d: str) -> DataFrame:
+    """Line-ups against expected opponents, entity 1 in the middle and 2 on top: known
+    head-to-heads add to a candidate's score, unknown ones never exclude it."""
+    duos = _duos(spark, d)
+    profiles = compose.profile_table(duos, {"counter": {"synergy": 0.6}})
+    matchups = checkpointed(_matchup_scores(spark, d))
+    enemy = matchups.select("segment").distinct().select("segment", F.explode(F.array(F.struct(F.lit("MIDDLE").alias("slot"), F.lit(1).cast("long").alias("enemy")), F.struct(F.lit("TOP").alias("slot"), F.lit(2).cast("long").alias("enemy")))).alias("x"))
+    axis = checkpointed(compose.matchup_axis(matchups, enemy.select("segment", "x.*")))
+    done = compose.complete(compose.seeds(duos, profiles, MIN_GAMES), duos, profiles, MIN_GAMES, rounds=3, axis=axis, axis_weight=0.4)
+    return rounded(compose.to_flat(done.drop("seed_score")), 6)
 
 
 @query
@@ -668,7 +686,7 @@ def range_scores(spark: SparkSession, d: str) -> DataFrame:
 @query
 def outlier_fence(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").groupBy("o_custkey").agg((F.sum("o_totalprice") / F.count("*")).alias("ratio"))
-    return rounded(A.tukey_fence(rows, "ratio", 0.5), 4)
+    return rounded(R.tukey_fence(rows, "ratio", 0.5), 4)
 
 
 @query

@@ -57,10 +57,14 @@ t as (
 """
 
 
+def facts_of(orders: DataFrame, name: str) -> DataFrame:
+    """Fact table ``name`` of some orders: m (events), p (role rows), t (side rows)."""
+    return orders.sparkSession.sql(f"with {FACTS} select * from {name}".replace("from orders", "from {orders}"), orders=orders)
+
+
 def facts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Fact table ``name`` over all orders: m (events), p (role rows), t (side rows)."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return spark.sql(f"with {FACTS} select * from {name}".replace("from orders", "from {orders}"), orders=orders)
+    """Fact table ``name`` over all orders."""
+    return facts_of(spark.read.parquet(f"{sf_dir}/orders.parquet"), name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

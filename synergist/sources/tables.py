@@ -18,7 +18,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 #: Column of the data folders that names the write.
@@ -41,7 +41,7 @@ def layout(spark: SparkSession, path: str) -> tuple[StructType, list[str]] | Non
 
 
 def _entry_schema(schema: StructType, partition: list[str]) -> StructType:
-    out = StructType([schema[c] for c in partition])
+    out = StructType([StructField(c, schema[c].dataType) for c in partition])
     return out.add(WRITE, StringType()).add("_rows", LongType())
 
 

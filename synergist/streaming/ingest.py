@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources import tables
 from ..sources.scratch import checkpointed
-from ..sources.sinks import append_new, read_or_none
+from ..sources.sinks import append_new
 
 
 def ingest_stream(spark: SparkSession, path: str, schema, fmt: str = "json", files_per_batch: int = 100) -> DataFrame:
@@ -20,8 +21,8 @@ def ingest_stream(spark: SparkSession, path: str, schema, fmt: str = "json", fil
 
 def dedup_stream(df: DataFrame, keys: list[str], ts: str, delay: str = "24 hours") -> DataFrame:
     """Each key once across overlapping deliveries within ``delay``; state older
-    than the watermark is dropped, and so are rows later than it. Stored keys are ruled
-    out by the sink's anti-join, which is enough for a bounded replay."""
+    than the watermark is dropped, and so are rows later than it (``dropped`` counts
+    them)."""
     return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
@@ -73,29 +74,30 @@ def tally(outcome: DataFrame) -> DataFrame:
     return outcome.groupBy("event_id").agg(count("ok").alias("oks"), count("excluded").alias("exclusions"), count("error_retryable").alias("attempts"))
 
 
-def quarantining(path: str, max_attempts: int = 3) -> Callable[[DataFrame, int], None]:
-    """Batch function: add outcomes to the journal's tallies. An event that succeeded at
-    any time has no status, 'excluded' comes before errors; sums don't depend on how the
-    outcomes are split in batches or ordered. Each batch writes its own version beside
-    the last, so a replay of a batch starts from the same state."""
-    status = F.when(F.col("exclusions") > 0, "excluded").when(F.col("attempts") >= max_attempts, "error_permanent").otherwise("error_retryable")
+def quarantined(outcome: DataFrame) -> DataFrame:
+    """Stream of the tallies that a batch changes (update mode). The state keeps three
+    counters for each event, so a batch costs what it brings, not what came before."""
+    return tally(outcome)
+
+
+def journaling(path: str) -> Callable[[DataFrame, int], None]:
+    """Batch function: write the changed tallies of a batch. A replay of a batch writes
+    the same rows again in the same place."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        before = read_or_none(batch.sparkSession, f"{path}/version={batch_id - 1}") if batch_id else None
-        now = tally(batch)
-        if before is not None:
-            now = before.drop("status").unionByName(now).groupBy("event_id").agg(*(F.sum(c).alias(c) for c in ("oks", "exclusions", "attempts")))
-        checkpointed(now.withColumn("status", F.when(F.col("oks") == 0, status))).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
 
 
-def latest_journal(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of a journal: (event_id, status, attempts)."""
-    rows = spark.read.parquet(path)
-    top = rows.agg(F.max("version").alias("_top"))
-    last = rows.join(F.broadcast(top), F.col("version") == F.col("_top"))  # one row
-    return last.where("status is not null").select("event_id", "status", "attempts")
+def latest_journal(spark: SparkSession, path: str, max_attempts: int = 3) -> DataFrame:
+    """(event_id, status, attempts) from the newest tally of each event. One that
+    succeeded at any time has no status, 'excluded' comes before errors; sums don't
+    depend on how the outcomes are split in batches or ordered."""
+    status = F.when(F.col("exclusions") > 0, "excluded").when(F.col("attempts") >= max_attempts, "error_permanent").otherwise("error_retryable")
+    counts = ("oks", "exclusions", "attempts")
+    last = spark.read.parquet(path).groupBy("event_id").agg(F.max_by(F.struct(*counts), "batch").alias("_t")).select("event_id", "_t.*")
+    return last.where("oks = 0").select("event_id", status.alias("status"), "attempts")
 
 
 def refreshing(rebuild: Callable[[list[str]], None], period: str = "period") -> Callable[[DataFrame, int], None]:
@@ -117,14 +119,6 @@ def ingest_rate(df: DataFrame, ts: str = "ts", by: list[str] | None = None, dela
     return rows.select(F.col("window.start").alias("start"), *(by or []), "n")
 
 
-def silence(df: DataFrame, ts: str = "ts", by: list[str] | None = None, gap: str = "3 minutes", delay: str = "1 hour") -> DataFrame:
-    """Sessions of activity split by silences of ``gap``: each session's end starts
-    a silence. For a stream without end: in append mode a session comes out when the
-    watermark closes it, so those still open aren't there (see ``activity``)."""
-    rows = df.withWatermark(ts, delay).groupBy(F.session_window(ts, gap), *(by or [])).agg(F.count("*").alias("n"), F.max(ts).alias("last_seen"))
-    return rows.select(F.col("session_window.start").alias("start"), "last_seen", *(by or []), "n")
-
-
 def activity(df: DataFrame, ts: str = "ts", by: list[str] | None = None, gap: str = "3 minutes") -> DataFrame:
     """Rows, first and last time of each stretch of ``gap`` (update mode). Two rows of a
     stretch are less than ``gap`` apart, so ``sessions`` finds all sessions from these."""
@@ -142,7 +136,48 @@ def sessions(stretches: DataFrame, by: list[str], gap: str = "3 minutes") -> Dat
     return rows.groupBy(*by, "_session").agg(F.min("start").alias("start"), F.max("last_seen").alias("last_seen"), F.sum("n").alias("n")).select("start", "last_seen", *by, "n")
 
 
-def expire(df: DataFrame, ts: str, hours: int = 24) -> DataFrame:
-    """Event-time retention of a stream: later rows than the watermark allows drop
-    out of its aggregates."""
-    return df.withWatermark(ts, f"{hours} hours")
+def expiring(path: str, ts: str, keys: list[str], hours: int = 24, by: list[str] | None = None) -> Callable[[DataFrame, int], None]:
+    """Batch function: keep the rows of the last ``hours`` of event time in a stored
+    table partitioned by day, and count what goes in ``<path>-gone`` by ``by``.
+
+    Days that are over go by the manifest alone, and only the day of the horizon is
+    written anew; rows that arrive too late go at once. What stays in the end, and
+    how much went, don't depend on the split in batches.
+    """
+    by = by or []
+    day = F.date_format(ts, "yyyy-MM-dd").alias("_day")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = checkpointed(batch.select("*", day))
+        stored = tables.read(spark, path)
+        newest = rows.agg(F.max(ts)).union(stored.agg(F.max(ts))) if stored is not None else rows.agg(F.max(ts))
+        top = newest.agg(F.max(newest.columns[0]).alias("top")).select((F.col("top") - F.make_interval(hours=F.lit(hours))).alias("at")).first()[0]
+        if top is None:
+            return
+        horizon = F.lit(top)
+        gone = rows.where(F.col(ts) <= horizon).select(*by)
+        if stored is not None:
+            gone = gone.unionByName(stored.where(F.col(ts) <= horizon).select(*by))
+        checkpointed(gone.groupBy(*by).agg(F.count("*").alias("n"))).write.mode("overwrite").parquet(f"{path}-gone/batch={batch_id}")
+        append_new(rows.where(F.col(ts) > horizon), path, keys, "_day", scoped=True)
+        days = [r[0] for r in tables.entries(spark, path).select("_day").distinct().collect()]  # a value for each day
+        edge = top.strftime("%Y-%m-%d")
+        tables.drop(spark, path, [x for x in days if x < edge])
+        if edge in days:
+            at_edge = tables.read(spark, path, [edge])
+            if at_edge.where(F.col(ts) <= horizon).take(1):
+                tables.replace(checkpointed(at_edge.where(F.col(ts) > horizon)), path, ["_day"], [edge])
+
+    return write
+
+
+def dropped(query: StreamingQuery) -> dict[str, int]:
+    """Rows that a stateful query left out: later than its watermark, and repeats of a
+    key it knew. Taken from the progress reports that the query keeps."""
+    late = repeated = 0
+    for report in query.recentProgress:
+        for op in report["stateOperators"]:
+            late += op.get("numRowsDroppedByWatermark", 0)
+            repeated += (op.get("customMetrics") or {}).get("numDroppedDuplicateRows", 0)
+    return {"late": late, "repeated": repeated}

@@ -5,13 +5,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans import aggregates, oracles, refresh
+from ..plans.aggregates import DUO_KEYS
+from ..plans.queries import SCORE, rounded
+from ..plans.views import FACTS, facts, facts_of
 from ..sources import tables
-from ..sources.scratch import fresh_path
-from ..plans import aggregates
-from ..plans.views import FACTS, facts
+from ..sources.readers import scan_facts
+from ..sources.scratch import checkpointed, fresh_path
+from ..sources.sinks import append_new
 from . import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,8 +52,8 @@ def stream_quarantine(spark: SparkSession, d: str) -> DataFrame:
     work = _work(spark, "journal")
     kind = F.when(F.col("event_type") == "error", "error_retryable").when(F.col("event_type") == "signup", "excluded").when((F.col("event_type") == "purchase") & (F.col("value") > 150), "ok")
     outcome = _events(spark, d).select((F.col("user_id") * 31 + F.dayofmonth("ts")).alias("event_id"), kind.alias("status")).where("status is not null")
-    ingest.run_available(outcome, ingest.quarantining(f"{work}/journal", 3), f"{work}/state")
-    return ingest.latest_journal(spark, f"{work}/journal")
+    ingest.run_available(ingest.quarantined(outcome), ingest.journaling(f"{work}/journal"), f"{work}/state", "update")
+    return ingest.latest_journal(spark, f"{work}/journal", 3)
 
 
 def stream_rate(spark: SparkSession, d: str) -> DataFrame:
@@ -100,9 +104,101 @@ def stream_refresh(spark: SparkSession, d: str) -> DataFrame:
     return tables.read(spark, f"{root}/trio").select("period", "segment", "jgl", "mid", "sup", "games", "wins")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (stream_ingest, stream_quarantine, stream_rate, stream_silence, stream_refresh)}
+def stream_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Orders arrive in two deliveries, older ones first; each rebuilds the aggregates of
+    the periods that it touches and then the scores of the window as it is by then.
+    Returns the pair scores that readers see in the end."""
+    root = _work(spark, "scores")
+    period = F.concat(F.lit("16."), (F.year("o_orderdate") - 1989).cast("string"))
+    orders = spark.read.parquet(f"{d}/orders.parquet").withColumn("period", period)
+    _deliver(orders, f"{root}/in", F.year("o_orderdate") > 1999, [False, True])
+    stream = ingest.ingest_stream(spark, f"{root}/in/*", orders.schema, "parquet")
+
+    def events_of(periods: list[str]) -> dict[str, DataFrame]:
+        arrived = scan_facts(spark, f"{root}/orders", periods)
+        return {x: facts_of(arrived, x) for x in "mpt"}
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        fresh = append_new(batch, f"{root}/orders", ["o_orderkey"], "period", scoped=True)
+        touched = sorted(r[0] for r in fresh.select("period").distinct().collect())  # a handful of labels
+        if touched:
+            refresh.refresh(root, touched, events_of, ("score_duo", "score_matchup"))
+
+    ingest.run_available(stream, write, f"{root}/state")
+    got = refresh.current(spark, root, "score_duo")
+    return rounded(got.select("label", "segment", *DUO_KEYS, *SCORE), 9)
+
+
+def _deliver(rows: DataFrame, path: str, part: Column, values: list) -> None:
+    """Write ``rows`` in parts, one after the other: files of a part are older than those
+    of the next."""
+    for k, v in enumerate(values):
+        rows.where(part.eqNullSafe(F.lit(v))).write.parquet(f"{path}/{k:03d}")
+
+
+#: Days of a part of the event log as ``stream_dedup`` gets it, and parts after which an
+#: event is delivered once more, in time and too late.
+PART_DAYS, SOON, LATE = 5, 1, 5
+
+
+def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """The event log in parts of five days; every event comes again with the next part,
+    which keyed state recognises, and with the fifth after, later than the watermark of
+    ten days. Returns each event's day as stored, and the two counts of what was left out."""
+    work = _work(spark, "dedup")
+    events = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    first = events.agg(F.date_trunc("day", F.min("ts")).alias("_first"))
+    events = events.join(F.broadcast(first)).withColumn("part", F.floor(F.date_diff("ts", "_first") / PART_DAYS)).drop("_first")  # one row
+    events = checkpointed(events)
+    last = events.agg(F.max("part")).first()[0]
+    for k in range(0 if last is None else last + 1):
+        again = F.col("part").isin(k, k - SOON, k - LATE)
+        events.where(again).drop("part").orderBy(F.xxhash64("event_id", F.lit(k))).write.parquet(f"{work}/in/{k:03d}")
+    schema = events.drop("part").schema
+    stream = ingest.ingest_stream(spark, f"{work}/in/*", schema, "parquet", 1)
+    once = ingest.dedup_stream(stream, ["event_id"], "ts", f"{2 * PART_DAYS} days")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{work}/table/batch={batch_id}")
+
+    left_out = ingest.dropped(ingest.run_available(once, write, f"{work}/state"))
+    got = spark.read.schema(schema).parquet(f"{work}/table").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("n_ids"))
+    return got.select("*", F.lit(left_out["repeated"]).cast("long").alias("repeated"), F.lit(left_out["late"]).cast("long").alias("late"))
+
+
+def stream_retention(spark: SparkSession, d: str) -> DataFrame:
+    """The event log arrives in six parts that don't follow its order; rows older than 24
+    hours leave. Kept and gone rows by type."""
+    work = _work(spark, "retention")
+    events = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    _deliver(events, f"{work}/in", F.pmod(F.dayofmonth("ts") * 7, F.lit(6)), list(range(6)))
+    stream = ingest.ingest_stream(spark, f"{work}/in/*", events.schema, "parquet", 1)
+    ingest.run_available(stream, ingest.expiring(f"{work}/table", "ts", ["event_id"], 24, ["event_type"]), f"{work}/state")
+    gone = spark.read.schema("event_type string, n long").parquet(f"{work}/table-gone").groupBy("event_type").agg(F.sum("n").alias("gone"))
+    kept = tables.read(spark, f"{work}/table").groupBy("event_type").agg(F.count("*").alias("kept"), F.max("event_id").alias("last_id"))
+    both = gone.join(kept, "event_type", "full_outer")
+    return both.select("event_type", F.coalesce("kept", F.lit(0).cast("long")).alias("kept"), "last_id", F.coalesce("gone", F.lit(0).cast("long")).alias("gone"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (stream_ingest, stream_quarantine, stream_rate, stream_silence, stream_refresh, stream_scores, stream_dedup, stream_retention)}
 
 ORACLE: dict[str, str] = {
+    "stream_scores": oracles.ORACLE["duo_scores"],
+    "stream_dedup": """
+with e as (
+  select event_id, ts, event_type, date_diff('day', (select min(ts) from events), ts) // 5 as part from events),
+c as (
+  select (count(*) filter (where part + 1 <= top))::bigint as repeated, (count(*) filter (where part + 5 <= top))::bigint as late
+  from e, (select max(part) as top from e))
+select strftime(ts, '%Y-%m-%d') as day, event_type, count(*)::bigint as n, count(distinct event_id)::bigint as n_ids, any_value(repeated) as repeated, any_value(late) as late
+from e, c group by 1, 2
+""",
+    "stream_retention": """
+with e as (
+  select event_id, event_type, ts > (select max(ts) from events) - interval 24 hour as fresh from events)
+select event_type, (count(*) filter (where fresh))::bigint as kept, max(event_id) filter (where fresh) as last_id, (count(*) filter (where not fresh))::bigint as gone
+from e group by event_type
+""",
     "stream_refresh": f"with {FACTS} select period, segment, jgl, mid, sup, count(*)::bigint as games, (count(*) filter (where win))::bigint as wins from t group by all",
     "stream_ingest": "select event_id, user_id, event_type, value from events",
     "stream_quarantine": """
