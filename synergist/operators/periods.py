@@ -92,6 +92,15 @@ def weighted_stats(df: DataFrame, keys: list[str], pairs: dict[str, tuple[str, s
     return df.groupBy(*keys).agg(*weighted_mean_columns(pairs))
 
 
+def weighted_summary(df: DataFrame, keys: list[str], pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """``weighted_rate`` and ``weighted_stats`` of each key in one grouping."""
+    on = lambda c: F.sum(F.when(F.col("weight") > 0, c))
+    eff = on(F.col("weight") * F.col("games"))
+    rate = on(F.col("weight") * F.col("wins")) / eff
+    got = df.groupBy(*keys).agg(on(F.col("games")).alias("games"), eff.alias("games_eff"), rate.alias("rate"), *weighted_mean_columns(pairs))
+    return got.where("games_eff > 0")
+
+
 def weighted_slope(df: DataFrame, keys: list[str], x: str, y: str, w: str) -> DataFrame:
     """slope, slope_lo, slope_hi of y on x by weighted least squares with a 95 %
     Student interval. Keys with fewer than 3 or more than 8 points, no weight or a

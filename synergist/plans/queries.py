@@ -55,10 +55,17 @@ def _side_rows(spark: SparkSession, d: str) -> DataFrame:
     return side_rows(_t(spark, d), _p(spark, d).drop("period", "segment", "duration_s"), _m(spark, d))
 
 
-def _aggregates(spark: SparkSession, d: str, names: tuple[str, ...] = ("individual", "duo", "trio", "duo_duration", "trio_duration")) -> dict[str, DataFrame]:
-    """Aggregate tables, each computed once and stored as the scores expect them."""
-    roles = checkpointed(_p(spark, d))
-    got = build_aggregates(_m(spark, d), roles, checkpointed(_t(spark, d)), roles)
+def _within(df: DataFrame, window: DataFrame) -> DataFrame:
+    """Facts of a window's periods: what has no weight isn't read into its scores."""
+    return df.where(F.col("period").isin([r.period for r in window.select("period").collect()]))  # at most three
+
+
+def _aggregates(spark: SparkSession, d: str, names: tuple[str, ...] = ("individual", "duo", "trio", "duo_duration", "trio_duration"), window: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Aggregate tables, of all periods or of a window's, each computed once and stored as
+    the scores expect them."""
+    m, p, t = (f(spark, d) if window is None else _within(f(spark, d), window) for f in (_m, _p, _t))
+    roles = checkpointed(p)
+    got = build_aggregates(m, roles, checkpointed(t), roles)
     return {k: checkpointed(got[k]) for k in names}
 
 
@@ -195,7 +202,8 @@ def rework_cut(spark: SparkSession, d: str) -> DataFrame:
 
 def _scores(spark: SparkSession, d: str, what: str = "duo") -> DataFrame:
     names = ("individual", "duo", "duo_duration") + (("trio", "trio_duration") if what == "trio" else ())
-    got, window = _aggregates(spark, d, names), _window(spark, d)
+    window = _window(spark, d)
+    got = _aggregates(spark, d, names, window)
     duo = scores.score_duo(got["duo"], got["individual"], got["duo_duration"], window)
     if what == "duo":
         return duo
@@ -204,8 +212,9 @@ def _scores(spark: SparkSession, d: str, what: str = "duo") -> DataFrame:
 
 
 def _matchup_scores(spark: SparkSession, d: str) -> DataFrame:
-    picks = _p(spark, d)
-    return scores.score_matchup(A.matchup_counts(picks), A.individual(picks), _window(spark, d))
+    window = _window(spark, d)
+    picks = _within(_p(spark, d), window)
+    return scores.score_matchup(A.matchup_counts(picks), A.individual(picks), window)
 
 
 SCORE = ["games", "games_eff", "rate", "ci_low", "ci_high", "synergy", "synergy_ci_low", "synergy_ci_high", "tier"]
@@ -223,8 +232,9 @@ def trio_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def scaling(spark: SparkSession, d: str) -> DataFrame:
-    rows = P.with_all_segment(_aggregates(spark, d, ("duo_duration",))["duo_duration"], ["period", *DUO_KEYS, "bucket"], ["games", "wins"])
-    got = P.scaling(P.cut_weights(rows, ["a", "b"], _window(spark, d)), ["segment", *DUO_KEYS])
+    window = _window(spark, d)
+    rows = P.with_all_segment(_aggregates(spark, d, ("duo_duration",), window)["duo_duration"], ["period", *DUO_KEYS, "bucket"], ["games", "wins"])
+    got = P.scaling(P.cut_weights(rows, ["a", "b"], window), ["segment", *DUO_KEYS])
     return rounded(got, 5)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import aggregates as A
 from ..operators import periods as P
+from ..sources.scratch import checkpointed
 
 STAT_SUMS = ["games", "wins", *(c for pair in A.STAT_PAIRS.values() for c in pair)]
 
@@ -34,8 +35,8 @@ def _scored(agg: DataFrame, individual: DataFrame, durations: DataFrame, window:
     sums = [*STAT_SUMS, *(c for pair in member_pairs.values() for c in pair)]
     every = P.with_all_segment(agg, ["period", *keys], sums)
     weighted = P.cut_weights(every, names, window, reworks)
-    rates = P.weighted_rate(weighted, ["segment", *keys])
-    stats = P.weighted_stats(weighted, ["segment", *keys], {**A.STAT_PAIRS, **member_pairs})
+    # every consumer reads the small table of combinations, not the aggregates again
+    rates = checkpointed(P.weighted_summary(weighted, ["segment", *keys], {**A.STAT_PAIRS, **member_pairs}))
     # every period of the window may hold a member's games, also one without the combination
     alive = rates.select("segment", *keys).join(F.broadcast(window.select("period")))  # at most three rows
     spread = P.cut_weights(alive, names, window, reworks).where("weight > 0")
@@ -43,7 +44,7 @@ def _scored(agg: DataFrame, individual: DataFrame, durations: DataFrame, window:
     per_bucket = P.with_all_segment(durations, ["period", *keys, "bucket"], ["games", "wins"])
     slope = P.scaling(P.cut_weights(per_bucket, names, window, reworks), ["segment", *keys])
     on = ["segment", *keys]
-    rows = rates.join(stats, on).join(base, on).join(slope, on, "left")
+    rows = rates.join(base, on).join(slope, on, "left")
     ci = C.wilson("rate", "games_eff")
     syn = C.synergy("rate", [F.col(f"base_{m}") for m in names])
     syn_ci = C.synergy_ci("rate", "games_eff", [(F.col(f"base_{m}"), F.col(f"base_n_{m}")) for m in names])
