@@ -143,7 +143,8 @@ fr as (
 
 
 def _facts(select: str, *parts: str) -> str:
-    return f"with {','.join([FACTS, *parts])} {select}"
+    recursive = "recursive " if any("newton as" in p or "seidel as" in p for p in parts) else ""
+    return f"with {recursive}{','.join([FACTS, *parts])} {select}"
 
 
 _F = "(count(*) filter (where {0}))::bigint"
@@ -279,6 +280,64 @@ def _lineups(profiles: dict[str, dict[str, float]], counter: float = 0.0) -> str
     return ",\n        ".join(out)
 
 
+#: A logistic fit by cyclic coordinate Newton steps: another way to the same maximum than
+#: the library's. 160 steps are 32 rounds over five coefficients.
+_LOGISTIC = """
+pop as (select 'all' as population, * from fr union all select 'behind_gold15', * from fr where team_gold_diff_15 < 0),
+mm as (
+  select population, count(*)::bigint as n, avg(team_gold_diff_15) as m1, stddev_pop(team_gold_diff_15) as s1, avg(team_cc_per_min) as m2, stddev_pop(team_cc_per_min) as s2,
+    avg(team_vision_per_min) as m3, stddev_pop(team_vision_per_min) as s3, avg(jgl_cs_diff_15) as m4, stddev_pop(jgl_cs_diff_15) as s4
+  from pop group by population),
+zz as (
+  select population, weight as w, y, [1.0e0, (team_gold_diff_15 - m1) / s1, (team_cc_per_min - m2) / s2, (team_vision_per_min - m3) / s3, (jgl_cs_diff_15 - m4) / s4] as x
+  from pop join mm using (population)),
+newton as (
+  select 0 as k, population, [0.0e0, 0.0e0, 0.0e0, 0.0e0, 0.0e0] as b from mm
+  union all
+  select k + 1, population, list_transform(range(1, 6), i -> case when i = j then b[i] + step else b[i] end) as b
+  from (
+    select k, population, b, j, sum(w * (y - p) * x[j]) / sum(w * p * (1 - p) * x[j] * x[j]) as step
+    from (
+      select newton.k, newton.population, newton.b, newton.k % 5 + 1 as j, x, w, y, 1 / (1 + exp(-list_dot_product(newton.b, x))) as p
+      from newton join zz on zz.population = newton.population where newton.k < 160)
+    group by k, population, b, j)),
+fitted as (
+  select population, unnest(['intercept', 'team_gold_diff_15', 'team_cc_per_min', 'team_vision_per_min', 'jgl_cs_diff_15']) as feature, unnest(b) as coef from newton where k = 160)
+"""
+
+#: Rows of the model of early leads, and least squares by Gauss-Seidel steps on the normal
+#: equations of both blocks.
+_LEADS = """
+lone as (select period, slot, entity, sum(wins) / sum(games) as rate from ind group by all),
+team as (
+  select x.event_id, x.side, x.period, win.w, sum(x.gold_15 - y.gold_15)::double as y, avg(lone.rate) as f1, coalesce(avg(ms.delta), 0) as f2
+  from p x join win on win.period = x.period join p y on y.event_id = x.event_id and y.slot = x.slot and y.side <> x.side
+    left join lone on lone.period = x.period and lone.slot = x.slot and lone.entity = x.entity
+    left join ms on ms.segment = 'all' and ms.slot = x.slot and ms.a = x.entity and ms.b = y.entity
+  where x.gold_15 is not null and y.gold_15 is not null group by all having count(*) = 5 and avg(lone.rate) is not null),
+blood as (select event_id, side, coalesce(bool_or(first_blood), false)::int::double as f5 from p group by all),
+ld as (
+  select team.w, team.y, f1, f2, coalesce(ts.synergy, 0) as f3, t.jgl_cs_diff_15::double as f4, f5, t.herald_taken_pre15::int::double as f6, t.dragons_taken_pre15::double as f7, t.wards_pre15::double as f8
+  from team join t on t.event_id = team.event_id and t.side = team.side join blood on blood.event_id = team.event_id and blood.side = team.side
+    left join ts on ts.segment = 'all' and ts.jgl = t.jgl and ts.mid = t.mid and ts.sup = t.sup
+  where t.jgl_cs_diff_15 is not null and t.herald_taken_pre15 is not null),
+lz as (
+  select w, y, [1.0e0, (f1 - avg(f1) over ()) / stddev_pop(f1) over (), (f2 - avg(f2) over ()) / stddev_pop(f2) over (), (f3 - avg(f3) over ()) / stddev_pop(f3) over (),
+    (f4 - avg(f4) over ()) / stddev_pop(f4) over (), f5, f6, (f7 - avg(f7) over ()) / stddev_pop(f7) over (), (f8 - avg(f8) over ()) / stddev_pop(f8) over ()] as x from ld),
+ix as (select unnest(range(1, 10)) as i),
+gm as (select a.i, b.i as j, sum(w * x[a.i] * x[b.i]) as v from lz, ix a, ix b group by all),
+gy as (select i, sum(w * x[i] * y) as c from lz, ix group by all),
+ga as (select g.i, any_value(c) as c, list(v order by j) as row from gm g join gy using (i) group by g.i),
+seidel as (
+  select 0 as k, m as size, list_transform(range(1, 10), i -> 0.0e0) as b from (values (4), (9)) v(m)
+  union all
+  select k + 1, size, list_transform(range(1, 10), i -> case when i = ga.i then (c - list_dot_product(b, row) + b[ga.i] * row[ga.i]) / row[ga.i] else b[i] end)
+  from seidel join ga on ga.i = k % size + 1 where k < 900),
+fit as (select size, b from seidel where k = 900),
+r2 as (
+  select size, 1 - sum(w * (y - list_dot_product(b, x)) ** 2) / sum(w * (y - ym) ** 2) as r2 from (select *, sum(w * y) over () / sum(w) over () as ym from lz), fit group by size)
+"""
+
 _LOG = """with l as (
   select user_id * 100000000 + strftime(ts, '%Y%m%d')::bigint as event_id, event_id as log_id, ((floor(epoch(ts))::bigint % 86400) // 20)::bigint as ts_s,
     case event_type when 'view' then 'VOID_GRUB' when 'signup' then 'RIFT_HERALD' when 'purchase' then 'TOWER' when 'error' then 'BARON' when 'click' then 'DRAGON' end as event_type,
@@ -557,6 +616,18 @@ from s left join f on n = s_nationkey
         *_ALL,
         "po as (select *, avg(synergy) over () as ms, stddev_pop(synergy) over () as ss, avg(gold_diff_15) over () as mg, stddev_pop(gold_diff_15) over () as sg, avg(rate) over () as mr, stddev_pop(rate) over () as sr from ds where segment = 'all' and games >= 20)",
     ),
+    "win_factor_coefs": _facts(
+        f"select {_LABEL}, population, feature, round(coef, 5) + 0.0e0 as coef, round(exp(coef), 5) as odds_ratio, n from fitted join mm using (population) where n >= 200",
+        _WINDOW, _FACTOR, _LOGISTIC,
+    ),
+    "gold_factors": _facts(
+        f"""select {_LABEL}, block, feature, round(value, 4) + 0.0e0 as coef, (select count(*) from ld)::bigint as n from (
+          select unnest([null, 'draft', 'draft', 'draft', 'play', 'play', 'play', 'play', 'play']) as block,
+            unnest(['intercept', 'team_baseline_rate', 'team_matchup_delta', 'team_trio_synergy', 'jgl_cs_diff_15', 'first_blood_team', 'herald_taken_pre15', 'dragons_taken_pre15', 'wards_pre15']) as feature,
+            unnest(b) as value from fit where size = 9
+          union all select null, case size when 4 then '_r2_draft_only' else '_r2_full' end, r2 from r2)""",
+        *_ALL, _TRIO, _MATCHUPS, _LEADS,
+    ),
     "compositions": _facts(
         "select segment, archetype, seed, slot, entity, round(total, 6) + 0.0e0 as total from st3 qualify count(*) over (partition by segment, archetype, seed) = 5",
         *_ALL, _lineups({"synergy": {"synergy": 1.0}, "lead": {"gold_diff_15": 0.6, "rate": 0.4}}),

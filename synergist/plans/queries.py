@@ -419,6 +419,12 @@ def win_factors(spark: SparkSession, d: str) -> DataFrame:
     return rounded(factors.win_factors(spark, _win_rows(spark, d), _label(_window(spark, d))), 5)
 
 
+@query
+def win_factor_coefs(spark: SparkSession, d: str) -> DataFrame:
+    """Coefficients of both populations, without the hold-out's rows."""
+    return win_factors(spark, d).where("not startswith(feature, '_')")
+
+
 @query
 def gold_factors(spark: SparkSession, d: str) -> DataFrame:
     rows = factors.gold_rows(_p(spark, d), _t(spark, d), _m(spark, d), _window(spark, d), A.individual(_p(spark, d)), _matchup_scores(spark, d), _scores(spark, d, "trio"))
