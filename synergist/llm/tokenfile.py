@@ -139,21 +139,22 @@ class PieceEncoder:
 _encoders: dict[tuple, PieceEncoder] = {}
 
 
-def encoder(path: str, end_id: int) -> PieceEncoder:
+def encoder(path: str, end_id: int, max_pieces: int = 1_000_000) -> PieceEncoder:
     """One for each Python worker, so its memory serves several tasks."""
-    key = path, end_id
+    key = path, end_id, max_pieces
     if key not in _encoders:
-        _encoders[key] = PieceEncoder(path, end_id)
+        _encoders[key] = PieceEncoder(path, end_id, max_pieces)
     return _encoders[key]
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, batch_chars: int = 1 << 20) -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, batch_chars: int = 1 << 20, max_pieces: int = 1_000_000) -> DataFrame:
     """Encode doc_id and text of ``docs`` into shards under ``folder`` and return
     the manifest (shard, n_docs, n_tokens, doc_base, token_base, dtype).
 
     Null text is empty, and each document ends in ``end_id``. Rows that share a
     doc_id are ordered by text, null ids come first (as the smallest long).
-    Ids take 16 bits if all of the tokenizer's and ``end_id`` fit, else 32.
+    Ids take 16 bits if all of the tokenizer's and ``end_id`` fit, else 32. A worker
+    remembers the ids of at most ``max_pieces`` pieces, some 250 bytes each.
     """
     spark = docs.sparkSession
     files, path = _filesystem(folder)
@@ -161,7 +162,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, batch_c
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        enc = encoder(tokenizer, end_id)
+        enc = encoder(tokenizer, end_id, max_pieces)
         end = np.array([end_id], enc.kind).tobytes()
         width = len(end)
         sizes, ids, total = [], [], 0
@@ -247,11 +248,11 @@ def token_ids(folder: str, shard: int, dtype: str = "<u2") -> tuple[np.ndarray,
     return _map(folder, f"shard-{shard:06d}.bin", dtype), index[1 : n + 2], index[n + 2 :]
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, max_pieces: int = 1_000_000) -> DataFrame:
     """Write ``docs`` to a new dataset in the shared folder and read it back."""
     spark = docs.sparkSession
     folder = fresh_path(spark, "tokens")
-    write(docs, folder, tokenizer, end_id)
+    write(docs, folder, tokenizer, end_id, max_pieces=max_pieces)
     return read(spark, folder)
 
 
