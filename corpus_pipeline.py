@@ -39,7 +39,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files, read back: doc_id, start, n_tokens, ids_crc32."""
-    return tokenfile.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfile.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), max_pieces=250_000)
 
 
 STAGES: list[tuple[str, Stage]] = [
