@@ -294,7 +294,7 @@ zz as (
 newton as (
   select 0 as k, population, [0.0e0, 0.0e0, 0.0e0, 0.0e0, 0.0e0] as b from mm
   union all
-  select k + 1, population, list_transform(range(1, 6), i -> case when i = j then b[i] + step else b[i] end) as b
+  select k + 1, population, [case when i = j then b[i] + step else b[i] end for i in range(1, 6)] as b
   from (
     select k, population, b, j, sum(w * (y - p) * x[j]) / sum(w * p * (1 - p) * x[j] * x[j]) as step
     from (
@@ -329,11 +329,11 @@ gm as (select a.i, b.i as j, sum(w * x[a.i] * x[b.i]) as v from lz, ix a, ix b g
 gy as (select i, sum(w * x[i] * y) as c from lz, ix group by all),
 ga as (select g.i, any_value(c) as c, list(v order by j) as row from gm g join gy using (i) group by g.i),
 seidel as (
-  select 0 as k, m as size, list_transform(range(1, 10), i -> 0.0e0) as b from (values (4), (9)) v(m)
+  select 0 as k, m as size, [0.0e0 for i in range(1, 10)] as b from (values (4), (9)) v(m)
   union all
-  select k + 1, size, list_transform(range(1, 10), i -> case when i = ga.i then (c - list_dot_product(b, row) + b[ga.i] * row[ga.i]) / row[ga.i] else b[i] end)
-  from seidel join ga on ga.i = k % size + 1 where k < 900),
-fit as (select size, b from seidel where k = 900),
+  select k + 1, size, [case when i = ga.i then (c - list_dot_product(b, row) + b[ga.i] * row[ga.i]) / row[ga.i] else b[i] end for i in range(1, 10)]
+  from seidel join ga on ga.i = k % size + 1 where k < 360),
+fit as (select size, b from seidel where k = 360),
 r2 as (
   select size, 1 - sum(w * (y - list_dot_product(b, x)) ** 2) / sum(w * (y - ym) ** 2) as r2 from (select *, sum(w * y) over () / sum(w) over () as ym from lz), fit group by size)
 """
