@@ -147,7 +147,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
     A word is hit if it lies in any occurrence of a window of ``span`` item words
     (of the whole item, if it is shorter). Null or empty text has no words and
     isn't contaminated; null item_ids are searched too, but aren't among the items;
-    repeated rows each get a row, and equal texts are searched once.
+    repeated rows each get a row, and equal texts are searched once. An empty table
+    gives no rows, a text of any length is read whole, other columns are not read.
     """
     keyed = docs.select("doc_id", "text", _key_of("text").alias("_key"))
     bench = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")

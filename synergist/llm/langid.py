@@ -182,7 +182,8 @@ def predict(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document; learns only from
-    rows that are not held out. Repeated rows each get a row."""
+    rows that are not held out. Repeated rows each get a row; texts of any length are read
+    whole, an empty table gives no rows, and other columns are not read."""
     held = stable_split("doc_id", 5) == 0
     got = predict(docs, fit(docs.where(~held).select("doc_id", "text", "lang")), ["doc_id"])
     return got.select("doc_id", held.alias("held_out"), "lang_pred", "score")

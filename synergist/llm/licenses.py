@@ -221,7 +221,9 @@ def scan(docs: DataFrame, keep: list[str], scanner: Scanner | None = None) -> Da
     smallest and largest start, null without any), base_labels and labels
     (distinct, sorted, comma-joined; '' if none), score (largest covered share
     of a template, 1 with a base phrase) and spans, the covered template spans
-    as ``label:first-last`` word positions. Null text has no words.
+    as ``label:first-last`` word positions. Null text has no words; repeated rows each
+    get a row, an empty table gives none, a text of any length is read whole, and of
+    other columns only ``keep`` are read.
     """
     scanner = scanner or Scanner()
 

@@ -363,6 +363,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     empty texts and those without words have empty sets and link with nothing. A
     document is a doc_id with its text: rows that repeat both are one document, rows
     that share the doc_id alone aren't. A null doc_id links with nothing and is kept.
+    An empty table gives no rows, a text of any length is read whole, other columns are
+    not read; ids that don't cast to whole numbers are an error.
     """
     named, odd = _identified(docs.select("doc_id", "text"))
     rows = _labelled(named, odd, shingle, num, den)

@@ -168,7 +168,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for every document.
 
     Null or empty text is scored like any other (all statistics zero). Repeated
-    rows each get a row. Without trusted positives every score is 0.5.
+    rows each get a row. Without trusted positives every score is 0.5. An empty table
+    gives no rows, a text of any length is read whole, other columns are not read.
     """
     got = score(docs, fit(docs, trusted_positives(labels)), ["doc_id"])
     return got.select(

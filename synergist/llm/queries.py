@@ -111,8 +111,6 @@ select doc_id, size, source_size, round(target, 6) as target,
 from r
 """
 
-_LICENSE_SQL = None  # the method's own labels come from the automaton: tested against brute force
-
 _DECONTAMINATE_SQL = r"""
 with dw as (
   select doc_id, row_number() over () as r,

@@ -119,3 +119,24 @@ use this software in a product, an acknowledgment in the product documentation w
 3. This notice may not be removed or altered from any source distribution.
 """,
 }
+
+#: Short notices, as people write them in place of the whole text.
+SHORT = {
+    "agpl-notice": "under the terms of the GNU Affero General Public License",
+    "apache-short": "under the Apache License, Version 2.0",
+    "bsd-short": "under the BSD license",
+    "epl-notice": "under the terms of the Eclipse Public License",
+    "gpl-short": "under the GNU General Public License",
+    "isc-short": "under the ISC license",
+    "lgpl-notice": "under the terms of the GNU Lesser General Public License",
+    "mit-notice": "under the MIT license",
+    "mpl-short": "under the Mozilla Public License",
+}
+#: Identifiers of the SPDX list; the label is ``spdx-`` and the identifier.
+SPDX = (
+    "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0",
+    "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-3.0-only", "MIT", "MPL-2.0", "Unlicense", "Zlib",
+)
+
+TEMPLATES |= SHORT
+TEMPLATES |= {f"spdx-{x.lower()}": f"SPDX-License-Identifier: {x}" for x in SPDX}

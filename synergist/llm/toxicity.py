@@ -191,7 +191,8 @@ def learnable(labels: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= 0.7), then the location
     of the worst sentence. Empty or null text scores 0. Repeated rows each get a
-    row; without labels of both kinds only the untrained bias speaks."""
+    row; without labels of both kinds only the untrained bias speaks. An empty table
+    gives no rows, a text of any length is read whole, other columns are not read."""
     got = score(docs, fit(docs, learnable(labels)), ["doc_id"])
     return got.select(
         "doc_id",

@@ -97,7 +97,7 @@ def test_licenses_against_regex(spark):
         assert (r.first_word, r.last_word) == (min((s for s, _ in starts), default=None), max((s for s, _ in starts), default=None))
         assert r.base_labels == ",".join(sorted({x for _, x in starts}))
         assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1
-        assert ("mit-short" in r.labels) == ("released under the mit license" in " ".join(w)) or "mit license" in t
+        assert ("mit-short" in r.labels) == ("released under the mit license" in " ".join(w))
 
 
 def test_matching_statistics():
