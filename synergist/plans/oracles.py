@@ -226,6 +226,8 @@ _STATS = {
     "drakes": "drakes", "soul_rate": "soul", "herald_rate": "herald", "first_tower_rate": "tower1", "cc_time_s": "cc",
 }
 
+_DUO_STATS = {**_STATS, "a_cc_time_s": "a_cc", "b_cc_time_s": "b_cc"}
+
 _CI = "rate - bl - sqrt((rate - ci_low) * (rate - ci_low) + (u2 - bl) * (u2 - bl)) as synergy_ci_low, rate - bl + sqrt((ci_high - rate) * (ci_high - rate) + (bl - l2) * (bl - l2)) as synergy_ci_high"
 _LABEL = "(select string_agg(period, '+' order by depth) from win) as label"
 _DUO_SCORES = f"select {_LABEL}, segment, roles, a, b, games, games_eff, rate, ci_low, ci_high, synergy, {_CI}, tier from ds"
@@ -616,6 +618,23 @@ from s left join f on n = s_nationkey
         *_ALL,
         "po as (select *, avg(synergy) over () as ms, stddev_pop(synergy) over () as ss, avg(gold_diff_15) over () as mg, stddev_pop(gold_diff_15) over () as sg, avg(rate) over () as mr, stddev_pop(rate) over () as sr from ds where segment = 'all' and games >= 20)",
     ),
+    "duo_score_stats": _facts(
+        "select segment, roles, a, b, "
+        + ", ".join(f"round(sum(case when {c}_sum is not null and {c}_n > 0 then w * {c}_sum end) / sum(case when {c}_sum is not null and {c}_n > 0 then w * {c}_n end), 4) + 0.0e0 as {name}" for name, c in _DUO_STATS.items())
+        + f""" from (
+          with pairs as (select * from ({_pairs_inside(_INNER)}) union all by name select * from ({_pairs_across(_EXT)}))
+          select * from pairs union all by name
+          select period, 'all' as segment, roles, a, b, {", ".join(f"sum({c}_sum) as {c}_sum, sum({c}_n)::bigint as {c}_n" for c in _DUO_STATS.values())} from pairs group by all)
+        join win using (period) group by all""",
+        _PAIRS, _WINDOW, _FACED.format(roles="p"),
+    ),
+    "behind_sides": _facts(
+        """select segment, count(*)::bigint as n, (count(*) filter (where win))::bigint as wins, sum(diff)::bigint as lead, kind
+        from (select segment, win, diff, unnest([x for x in [case when diff < 0 then 'behind' end, case when abs(diff) >= 1000 then 'far' end] if x is not null]) as kind
+          from (select t.segment, t.win, case t.side when 0 then lead else -lead end as diff from t join ev using (event_id)))
+        group by segment, kind""",
+        _BOTH_SIDES,
+    ),
     "win_factor_coefs": _facts(
         f"select {_LABEL}, population, feature, round(coef, 5) + 0.0e0 as coef, round(exp(coef), 5) as odds_ratio, n from fitted join mm using (population) where n >= 200",
         _WINDOW, _FACTOR, _LOGISTIC,

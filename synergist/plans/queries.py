@@ -225,6 +225,12 @@ def duo_scores(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_scores(spark, d).select("label", "segment", *DUO_KEYS, *SCORE), 9)
 
 
+@query
+def duo_score_stats(spark: SparkSession, d: str) -> DataFrame:
+    """The weighted means of every stat of the pair scores, the members' own too."""
+    return rounded(_scores(spark, d).select("segment", *DUO_KEYS, *A.STAT_PAIRS, *A.DUO_MEMBER_PAIRS), 4)
+
+
 @query
 def trio_scores(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_scores(spark, d, "trio").select("label", "segment", *TRIO_KEYS, *SCORE, "prior"), 9)
