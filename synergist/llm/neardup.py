@@ -256,14 +256,12 @@ def _nodes(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return leaves, big
 
 
-def link(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def link(docs: DataFrame, k: int, num: int, den: int, once: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents with n and class digest, classes with their head and rows, labels
-    of linked class heads)."""
+    of linked class heads). With ``once``, rows of ``docs`` may repeat an id."""
     table = materialise(sketches(docs, k), "sketch")
     reps = table.where("n > 0 and _id is not null").groupBy("d").agg(F.min("_id").alias("doc_id"), F.first("n").alias("n"), F.first("mins").alias("mins"), F.first("sig").alias("sig"), F.count("*").alias("_rows"))
     reps = materialise(reps, "classes")
-    ids = table.where("_id is not null").groupBy("_id").agg(F.count("*").alias("_c"))
-    once = bool(ids.where("_c > 1").take(1))
     leaves, big = _nodes(reps)
     node_rows = leaves.join(reps.select("doc_id", "n", "sig"), "doc_id")
     found = materialise(_candidates(node_rows, num, den).groupBy("cid").agg(F.first("members").alias("members")), "groups")
@@ -311,18 +309,20 @@ def link(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFr
     return table, reps, components(links.unionByName(more))
 
 
-def _identified(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """``docs`` with ``_id``, a number for each different (doc_id, text), and whether
-    it differs from doc_id anywhere. Ids are whole numbers (or text that casts to them).
+def _identified(docs: DataFrame) -> tuple[DataFrame, bool, bool]:
+    """``docs`` with ``_id``, a number for each different (doc_id, text), whether it
+    differs from doc_id anywhere, and whether a doc_id has several rows. Ids are whole numbers (or text that casts to them).
 
     It is the doc_id where that has one text only, null ids included. Ids of several
     texts take numbers that no doc_id has.
     """
     text = F.xxhash64(F.coalesce("text", F.lit("")))
-    per_id = docs.select("doc_id", text.alias("_t")).groupBy("doc_id").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
-    odd = materialise(per_id.where("doc_id is not null and _lo <> _hi").select("doc_id"), "odd")
-    if not odd.take(1):
-        return docs.withColumn("_id", F.col("doc_id").cast("long")), False
+    per_id = docs.select("doc_id", text.alias("_t")).groupBy("doc_id").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"), F.count("*").alias("_c"))
+    many = materialise(per_id.where("doc_id is not null and _c > 1").select("doc_id", F.expr("_lo <> _hi").alias("_odd")), "many")
+    seen = many.agg(F.count("*").alias("n"), F.count_if("_odd").alias("odd")).first()
+    odd = many.where("_odd").select("doc_id")
+    if not seen.odd:
+        return docs.withColumn("_id", F.col("doc_id").cast("long")), False, seen.n > 0
     ends = docs.agg(F.max("doc_id").cast("long").alias("hi"), F.min("doc_id").cast("long").alias("lo")).first()
     hi, lo, room = ends.hi or 0, ends.lo or 0, 1 << 62
     keyed = docs.withColumn("_t", text)
@@ -331,13 +331,13 @@ def _identified(docs: DataFrame) -> tuple[DataFrame, bool]:
     number = serial + (hi + 1) if hi < room else -serial + (lo - 1) if lo > -room else F.xxhash64("doc_id", "_t", F.lit("odd"))
     found = materialise(found.select("doc_id", "_t", number.alias("_own")), "numbers")
     joined = keyed.join(found, ["doc_id", "_t"], "left")
-    return joined.select(*docs.columns, F.coalesce("_own", F.col("doc_id").cast("long")).alias("_id")), True
+    return joined.select(*docs.columns, F.coalesce("_own", F.col("doc_id").cast("long")).alias("_id")), True, True
 
 
-def _labelled(docs: DataFrame, odd: bool, shingle: int, num: int, den: int) -> DataFrame:
+def _labelled(docs: DataFrame, odd: bool, again: bool, shingle: int, num: int, den: int) -> DataFrame:
     """doc_id, _id, n, label (same for all of a component) and best (its first _id) of
     every row of identified ``docs``."""
-    table, classes, labels = link(docs, shingle, num, den)
+    table, classes, labels = link(docs, shingle, num, den, again)
     heads = classes.select("d", F.col("doc_id").alias("_head")).join(labels.select(F.col("doc_id").alias("_head"), "label"), "_head", "left")
     heads = heads.select("d", F.coalesce("label", "_head").alias("label"))
     linked = F.col("_id").isNotNull() & (F.col("n") > 0)
@@ -366,8 +366,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     An empty table gives no rows, a text of any length is read whole, other columns are
     not read; ids that don't cast to whole numbers are an error.
     """
-    named, odd = _identified(docs.select("doc_id", "text"))
-    rows = _labelled(named, odd, shingle, num, den)
+    named, odd, again = _identified(docs.select("doc_id", "text"))
+    rows = _labelled(named, odd, again, shingle, num, den)
     return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("_id") == F.col("best"), F.lit(True)).alias("kept"))
 
 
@@ -375,14 +375,14 @@ def keep_one(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -
     """One row of each component, with its own columns: of the kept document's rows,
     the first in the order of their columns as JSON. Rows without a doc_id all stay."""
     plain = docs.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)), "doc_id", "text")
-    named, odd = _identified(plain)
-    gone = materialise(_labelled(named.select("doc_id", "text", "_id"), odd, shingle, num, den).where("_id <> best").select("_id").distinct(), "gone")
+    named, odd, again = _identified(plain)
+    gone = materialise(_labelled(named.select("doc_id", "text", "_id"), odd, again, shingle, num, den).where("_id <> best").select("_id").distinct(), "gone")
     kept = not_in(named, gone, "_id")
     own = [f"_{i}" for i in range(len(docs.columns))]
-    again = named.groupBy("_id").agg(F.count("*").alias("_c")).where("_id is not null and _c > 1").select("_id")
-    again = materialise(again, "again")
-    if again.take(1):
+    if again:
         row = F.struct(*own)
-        twice = kept.join(again, "_id", "left_semi").groupBy("_id").agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")
-        kept = kept.join(again, "_id", "left_anti").select(*own).unionByName(twice)
+        rows = named.groupBy("_id").agg(F.count("*").alias("_c")).where("_id is not null and _c > 1").select("_id")
+        rows = materialise(rows, "again")
+        twice = kept.join(rows, "_id", "left_semi").groupBy("_id").agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")
+        kept = kept.join(rows, "_id", "left_anti").select(*own).unionByName(twice)
     return kept.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)))
