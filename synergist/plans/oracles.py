@@ -620,7 +620,7 @@ from s left join f on n = s_nationkey
     ),
     "duo_score_stats": _facts(
         "select segment, roles, a, b, "
-        + ", ".join(f"round(sum(case when {c}_sum is not null and {c}_n > 0 then w * {c}_sum end) / sum(case when {c}_sum is not null and {c}_n > 0 then w * {c}_n end), 4) + 0.0e0 as {name}" for name, c in _DUO_STATS.items())
+        + ", ".join(f"round(sum(case when {c}_sum is not null and {c}_n > 0 then w * {c}_sum end) / sum(case when {c}_sum is not null and {c}_n > 0 then w * {c}_n end), 9) + 0.0e0 as {name}" for name, c in _DUO_STATS.items())
         + f""" from (
           with pairs as (select * from ({_pairs_inside(_INNER)}) union all by name select * from ({_pairs_across(_EXT)}))
           select * from pairs union all by name

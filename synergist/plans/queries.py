@@ -228,7 +228,7 @@ def duo_scores(spark: SparkSession, d: str) -> DataFrame:
 @query
 def duo_score_stats(spark: SparkSession, d: str) -> DataFrame:
     """The weighted means of every stat of the pair scores, the members' own too."""
-    return rounded(_scores(spark, d).select("segment", *DUO_KEYS, *A.STAT_PAIRS, *A.DUO_MEMBER_PAIRS), 4)
+    return rounded(_scores(spark, d).select("segment", *DUO_KEYS, *A.STAT_PAIRS, *A.DUO_MEMBER_PAIRS), 9)
 
 
 @query
