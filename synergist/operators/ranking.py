@@ -175,13 +175,6 @@ def rank_gap(df: DataFrame, a: str, b: str, k: int = 5) -> DataFrame:
     return top.unionByName(rows.orderBy("gap", "entity").limit(k).withColumn("end", F.lit("under")))
 
 
-def newest_labels(labels: DataFrame, n: int) -> DataFrame:
-    """The ``n`` newest window labels: by their newest period, then by depth."""
-    first = F.split("label", r"\+")
-    order = [period_key(F.get(first, F.lit(0))).desc(), F.size(first).desc()]
-    return labels.select("label").distinct().withColumn("_r", F.row_number().over(Window.orderBy(*order))).where(F.col("_r") <= n).select("label")
-
-
 def work_list(players: DataFrame, per_segment: int, active_hours: int = 12, idle_days: int = 14) -> DataFrame:
     """Stalest-first list for each segment: players whose recheck is due.
 

@@ -118,6 +118,16 @@ def extract_picks(spark: SparkSession, d: str) -> DataFrame:
     return _facts(spark, d, "picks")
 
 
+def extract_members(spark: SparkSession, d: str) -> DataFrame:
+    """The three core members of each side as columns."""
+    return E.pivot_members(_facts(spark, d, "picks"))
+
+
+def extract_players(spark: SparkSession, d: str) -> DataFrame:
+    """Every player of any document, once."""
+    return E.player_ids(documents(spark, d)[0])
+
+
 def extract_objectives(spark: SparkSession, d: str) -> DataFrame:
     """Attributed objectives in chronological order."""
     return _facts(spark, d, "objectives")
@@ -133,7 +143,7 @@ def extract_roles(spark: SparkSession, d: str) -> DataFrame:
     return _facts(spark, d, "roles")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (extract_events, extract_quarantine, extract_picks, extract_objectives, extract_sides, extract_roles)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (extract_events, extract_quarantine, extract_picks, extract_members, extract_players, extract_objectives, extract_sides, extract_roles)}
 
 _CORE = ("JUNGLE", "MIDDLE", "UTILITY")
 _IN_CORE = f"slot in {_CORE}"
@@ -225,6 +235,9 @@ ORACLE = {
     "extract_events": _BASE + "select event_id, segment, split_part(version, '.', 1) || '.' || split_part(version, '.', 2) as period, version, queue_id::bigint as queue_id, created_ms as created, duration_s, winner from good",
     "extract_quarantine": _BASE + "select event_id, case when excluded is not null then 'excluded' else 'error_retryable' end as status, coalesce(excluded, broken) as reason from verdict where excluded is not null or broken is not null",
     "extract_picks": _BASE + "select event_id, side, slot, entity, won as win, raw_cc as cc_time_s, immobilizations from mm",
+    "extract_members": _BASE
+    + "select event_id, side, max(case when slot = 'JUNGLE' then entity end) as jgl, max(case when slot = 'MIDDLE' then entity end) as mid, max(case when slot = 'UTILITY' then entity end) as sup from mm group by all",
+    "extract_players": f"with d as ({HEAD}) select distinct {PERSON['puuid']} as player from d, (select unnest(range(1, 11)) as pid) n",
     "extract_objectives": _BASE + "select * from obj",
     "extract_sides": _BASE + _SIDES,
     "extract_roles": _BASE + _ROLES,

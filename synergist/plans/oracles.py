@@ -628,6 +628,7 @@ from s left join f on n = s_nationkey
         join win using (period) group by all""",
         _PAIRS, _WINDOW, _FACED.format(roles="p"),
     ),
+    "window_labels": _facts(f"select {_LABEL}", _WINDOW),
     "behind_sides": _facts(
         """select segment, count(*)::bigint as n, (count(*) filter (where win))::bigint as wins, sum(diff)::bigint as lead, kind
         from (select segment, win, diff, unnest([x for x in [case when diff < 0 then 'behind' end, case when abs(diff) >= 1000 then 'far' end] if x is not null]) as kind

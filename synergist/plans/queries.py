@@ -177,6 +177,11 @@ def window_definition(spark: SparkSession, d: str) -> DataFrame:
     return P.make_window(_m(spark, d))
 
 
+@query
+def window_labels(spark: SparkSession, d: str) -> DataFrame:
+    return A.windows(P.make_window(_m(spark, d)))
+
+
 @query
 def window_rates(spark: SparkSession, d: str) -> DataFrame:
     rows = P.with_all_segment(A.individual(_p(spark, d)), ["period", "slot", "entity"], ["games", "wins"])
