@@ -73,10 +73,18 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 2000
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with this package on the workers. A worker gives back the memory
-    that a task has freed, for it waits beside others for its next task."""
+    that a task has freed, for it waits beside others for its next task; batches of long
+    texts have fewer rows than Spark's default, which holds them outside the heap."""
     ship(df.sparkSession)
+    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(most)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(most, BATCH_ROWS)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
