@@ -208,51 +208,52 @@ def _confirm(groups: DataFrame, docs: DataFrame, k: int, num: int, den: int, onc
 
 def components(edges: DataFrame) -> DataFrame:
     """(doc_id, label): smallest member of each connected component, for every
-    endpoint. Alternates large-star and small-star steps, each written out,
-    until the edges stay as they are."""
+    endpoint. Alternates large-star and small-star steps, each written out, until
+    the edges are stars: every document has one edge or is a centre, never both."""
     e = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "cc")
-    mark = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    seen = mark(e)
-    while seen[0]:
+    while not _stars(e):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # large star: larger neighbours, and whoever has a smaller one, point at the smallest
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        large = both.join(least, "a").select(F.greatest("a", "b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: a's smaller neighbours and a itself point at the smallest
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        small = large.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         e = materialise(small, "cc")
-        now = mark(e)
-        if now == seen:
-            break
-        seen = now
-    return e.select(F.col("a").alias("doc_id"), F.col("b").alias("label")).unionByName(e.select(F.col("b").alias("doc_id"), F.col("b").alias("label"))).distinct()
+    centres = e.select("b").distinct()
+    return e.select(F.col("a").alias("doc_id"), F.col("b").alias("label")).unionByName(centres.select(F.col("b").alias("doc_id"), F.col("b").alias("label")))
+
+
+def _stars(e: DataFrame) -> bool:
+    """Whether the different edges (a, b), b the smaller, are stars around smallest members."""
+    ends = e.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("b").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.agg(F.count_if(F.expr("up > 1 or (up = 1 and down = 1)"))).first()[0] == 0
 
 
 def _nodes(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(leaf rows, rows of nodes that stay large at the last level), each (key,
     doc_id). Nodes of one document are dropped."""
-    rows = reps.select("doc_id", F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.lit(0).cast("long").alias("key")) for i in range(TREES)])).alias("p"))
-    rows = rows.select("doc_id", "p.at", "p.key")
+    roots = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(0).cast("long").alias("key")) for i in range(TREES)])
+    # the roots hold all documents, so the first level needs no join
+    rows = reps.select("doc_id", "mins", F.explode(roots).alias("p")).select("doc_id", "mins", "p.at", "p.key")
     leaves, big = None, None
-    mins = reps.select("doc_id", "mins")
     for level in range(LEVELS):
         first = FIRST[level]
         children = F.transform(
             F.sequence(F.lit(0), F.lit(BRANCH - 1)),
             lambda j: F.struct((F.col("at") * BRANCH + j).alias("at"), F.xxhash64("key", F.col("at") * BRANCH + j, F.substring("mins", ((F.col("at") * BRANCH + j) + first) * 4 + 1, F.lit(4))).alias("key")),
         )
-        grown = rows.join(mins, "doc_id").select("doc_id", F.explode(children).alias("p")).select("doc_id", "p.at", "p.key")
-        grown = materialise(grown, "nodes")
+        grown = rows.select("doc_id", F.explode(children).alias("p")).select("doc_id", "p.at", "p.key")
         counts = grown.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1")
-        sized = grown.join(counts, "key")
+        sized = materialise(grown.join(counts, "key"), "nodes")
         leaf = sized.where(F.col("_n") <= LEAF).select("key", "doc_id")
         leaves = leaf if leaves is None else leaves.unionByName(leaf)
-        rows = materialise(sized.where(F.col("_n") > LEAF).select("doc_id", "at", "key"), "large")
-        if not rows.take(1):
+        large = sized.where(F.col("_n") > LEAF)
+        if not large.take(1):
             return leaves, None
-        big = rows.select("key", "doc_id")
+        big = large.select("key", "doc_id")
+        rows = large.select("doc_id", "at", "key").join(reps.select("doc_id", "mins"), "doc_id")
     return leaves, big
 
 
@@ -264,17 +265,16 @@ def link(docs: DataFrame, k: int, num: int, den: int, once: bool = False) -> tup
     reps = materialise(reps, "classes")
     leaves, big = _nodes(reps)
     node_rows = leaves.join(reps.select("doc_id", "n", "sig"), "doc_id")
-    found = materialise(_candidates(node_rows, num, den).groupBy("cid").agg(F.first("members").alias("members")), "groups")
+    found = _candidates(node_rows, num, den)
     pairs = found.select(F.explode("members").alias("a"), F.col("members")[0].alias("b"))
     if big is not None:
         # a large node counts as one coarse component until exact checks split it
         head = big.groupBy("key").agg(F.min("doc_id").alias("b"))
         pairs = pairs.unionByName(big.join(head, "key").select(F.col("doc_id").alias("a"), "b"))
     coarse = components(pairs)
-    coarse = materialise(coarse, "coarse")
     sizes = coarse.groupBy("label").agg(F.count("*").alias("_n"))
     none = F.lit(None).cast("long").alias("label")
-    sized = coarse.join(sizes, "label")
+    sized = materialise(coarse.join(sizes, "label"), "coarse")
     whole = sized.where(F.col("_n") <= GROUP).select(F.col("label").alias("cid"), "doc_id", none)
     large = sized.where(F.col("_n") > GROUP).select("doc_id", F.col("label").alias("home"), "_n")
     # large components, first pass: blocks of documents, each with the component's leaders
@@ -304,9 +304,11 @@ def link(docs: DataFrame, k: int, num: int, den: int, once: bool = False) -> tup
     right = at.select("home", "doc_id", "label", each("_rows").alias("r"), F.pmod(F.xxhash64("doc_id", F.lit(19)), F.col("_cols")).alias("s"))
     second = left.unionByName(right).select(F.xxhash64("home", "r", "s", F.lit("cross")).alias("key"), "doc_id", "label").distinct()
     alike = _candidates(second.join(reps.select("doc_id", "n", "sig"), "doc_id"), num, den).groupBy("cid").agg(F.first("members").alias("members"))
-    alike = materialise(alike, "alike").select("cid", F.explode("members").alias("doc_id")).join(at.select("doc_id", "label"), "doc_id")
-    more = materialise(_confirm(alike.select("cid", "doc_id", "label"), docs, k, num, den, once), "links")
-    return table, reps, components(links.unionByName(more))
+    alike = alike.select("cid", F.explode("members").alias("doc_id")).join(at.select("doc_id", "label"), "doc_id").select("cid", "doc_id", "label")
+    more = _confirm(materialise(alike, "alike"), docs, k, num, den, once)
+    # the first pass is in its labels: their stars stand for its links
+    known = labels.where("doc_id <> label").select(F.col("doc_id").alias("a"), F.col("label").alias("b"))
+    return table, reps, components(known.unionByName(more))
 
 
 def _identified(docs: DataFrame) -> tuple[DataFrame, bool, bool]:
