@@ -245,6 +245,8 @@ def _nodes(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
             lambda j: F.struct((F.col("at") * BRANCH + j).alias("at"), F.xxhash64("key", F.col("at") * BRANCH + j, F.substring("mins", ((F.col("at") * BRANCH + j) + first) * 4 + 1, F.lit(4))).alias("key")),
         )
         grown = rows.select("doc_id", F.explode(children).alias("p")).select("doc_id", "p.at", "p.key")
+        if level:  # counted and joined below: the join that made it runs once
+            grown = materialise(grown, "grown")
         counts = grown.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1")
         sized = materialise(grown.join(counts, "key"), "nodes")
         leaf = sized.where(F.col("_n") <= LEAF).select("key", "doc_id")
