@@ -76,7 +76,11 @@ def opponents(picks: DataFrame, columns: list[str]) -> DataFrame:
 
 def matchup_counts(picks: DataFrame) -> DataFrame:
     """Games and wins of a against b, from both perspectives."""
-    faced = opponents(picks, ["entity", "win", "period", "segment"])
+    return faced_counts(opponents(picks, ["entity", "win", "period", "segment"]))
+
+
+def faced_counts(faced: DataFrame) -> DataFrame:
+    """The same from picks beside the one they face (``enemy_entity``)."""
     keys = ["period", "segment", "slot", F.col("entity").alias("a"), F.col("enemy_entity").alias("b")]
     return faced.groupBy(*keys).agg(F.count("*").alias("games"), count_true("win").alias("wins"))
 
@@ -96,6 +100,14 @@ def wide_sides(roles: DataFrame, stats: tuple[str, ...] = ROLE_STATS) -> DataFra
     return each
 
 
+def seats(wide: DataFrame, columns: list[str], stats: tuple[str, ...] = ("entity", "win"), faced: tuple[str, ...] = ("entity",)) -> DataFrame:
+    """The own role rows of wide sides again: ``columns``, slot, ``stats``, whether the
+    other side fields the slot, and what it has there (enemy_*)."""
+    rows = wide.select(*columns, F.explode("own").alias("slot", "_v"), "enemy")
+    foe = F.element_at("enemy", F.col("slot"))
+    return rows.select(*columns, "slot", *(F.col(f"_v.{c}").alias(c) for c in stats), foe.isNotNull().alias("faced"), *(foe[c].alias(f"enemy_{c}") for c in faced))
+
+
 def _slot(m: str, slot: str | Column) -> Column:
     return F.element_at(m, F.lit(slot) if isinstance(slot, str) else slot)
 

@@ -30,6 +30,17 @@ def build_aggregates(events: DataFrame, picks: DataFrame, sides: DataFrame, role
         events = events.where(F.col("period").isin(*periods))
     placed = A.with_event(picks.drop("period", "segment", "duration_s"), events)
     rows = side_rows(sides, roles.drop("period", "segment", "duration_s"), events)
+    return {"individual": A.individual(placed), "matchup": A.matchup_counts(placed), **_combinations(rows)}
+
+
+def aggregates_of_sides(rows: DataFrame) -> dict[str, DataFrame]:
+    """The same six tables from whole side rows (those of ``side_rows``, with their event):
+    each is one grouping of them, without a shuffle by event."""
+    picks = A.seats(rows, ["period", "segment"])
+    return {"individual": A.individual(picks), "matchup": A.faced_counts(picks.where("faced")), **_combinations(rows)}
+
+
+def _combinations(rows: DataFrame) -> dict[str, DataFrame]:
     inner = A.pair_vs_pair(rows, A.INNER, "left")
     ext = A.pair_vs_pair(rows, A.EXTENDED, "inner")
     duo = A.duo_aggregate_inner(inner).unionByName(A.duo_aggregate_ext(ext))
@@ -42,8 +53,6 @@ def build_aggregates(events: DataFrame, picks: DataFrame, sides: DataFrame, role
     at = lambda slot: F.element_at("own", F.col(slot))["entity"]
     ext_ids = ext_ids.select("period", "segment", "duration_s", "win", "roles", at("slot_a").alias("a"), at("slot_b").alias("b")).where("a is not null and b is not null")
     return {
-        "individual": A.individual(placed),
-        "matchup": A.matchup_counts(placed),
         "duo": duo,
         "trio": A.trio_aggregate(rows),
         "duo_duration": A.duration_counts(inner_ids.unionByName(ext_ids), DUO_KEYS),
@@ -59,3 +68,10 @@ def refresh(events: DataFrame, picks: DataFrame, sides: DataFrame, roles: DataFr
     got = build_aggregates(events, picks, checkpointed(sides), roles, periods)
     for name in names:
         refresh_partitions(got[name], f"{root}/{name}", "period", periods)
+
+
+def refresh_from_sides(rows: DataFrame, periods: list[str], root: str, names: tuple[str, ...] = ("individual", "matchup", "duo", "trio", "duo_duration", "trio_duration")) -> None:
+    """``refresh`` from whole side rows, which need no shuffle by event and no copy."""
+    got = aggregates_of_sides(rows.where(F.col("period").isin(*periods)))
+    for name in names:
+        refresh_partitions(got[name], f"{root}/{name}", "period", periods)

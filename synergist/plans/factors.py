@@ -77,9 +77,32 @@ def win_factors(spark: SparkSession, rows: DataFrame, label: str, min_rows: int
 def gold_rows(roles: DataFrame, sides: DataFrame, events: DataFrame, window: DataFrame, individual: DataFrame, matchups: DataFrame, trios: DataFrame) -> DataFrame:
     """One row for each side with team gold at 15, the draft's strength (mean
     baseline, matchups, trio synergy) and early play."""
+    picks = A.with_event(A.require(roles, ["gold_15"]).select("event_id", "side", "slot", "entity", "gold_15"), events)
+    picks = picks.join(F.broadcast(window.select("period")), "period", "left_semi")  # at most three rows
+    faced = A.opponents(picks, ["entity", "gold_15", "period"])
+    known = sides.where(PLAYED).drop("period", "segment", "duration_s").join(A.first_blood(roles), ["event_id", "side"])
+    team = _drafts(faced, window, individual, matchups, []).join(known, ["event_id", "side"])
+    return _with_synergy(team, trios)
+
+
+PLAYED = "jgl_cs_diff_15 is not null and herald_taken_pre15 is not null"
+
+
+def gold_rows_of_sides(rows: DataFrame, window: DataFrame, individual: DataFrame, matchups: DataFrame, trios: DataFrame) -> DataFrame:
+    """The same from whole side rows: their role rows spread out, meet the small tables of
+    rates, and fold again, so one grouping of the sides is all that is shuffled."""
+    blood = F.exists(F.map_values("own"), lambda v: F.coalesce(v["first_blood"], F.lit(False)))
+    own = [*A.TRIO, *(c for c in PLAY_FEATURES if c != "first_blood_team"), "first_blood_team"]
+    rows = rows.where(PLAYED).withColumn("first_blood_team", blood)
+    picks = A.require(A.seats(rows, ["event_id", "side", "period", *own], ("entity", "gold_15"), ("entity", "gold_15")), ["gold_15", "enemy_gold_15"])
+    return _with_synergy(_drafts(picks, window, individual, matchups, own), trios)
+
+
+def _drafts(faced: DataFrame, window: DataFrame, individual: DataFrame, matchups: DataFrame, own: list[str]) -> DataFrame:
+    """Sides with all five slots: gold lead y, mean baseline and matchups, and their columns
+    ``own``, from role rows beside the ones they face."""
     base = individual.groupBy("period", "slot", "entity").agg((F.sum("wins") / F.sum("games")).alias("baseline"))
-    picks = A.with_event(A.require(roles, ["gold_15"]).select("event_id", "side", "slot", "entity", "gold_15"), events).join(F.broadcast(window.select("period", "weight")), "period")
-    faced = A.opponents(picks, ["entity", "gold_15", "period", "weight"])
+    faced = faced.join(F.broadcast(window.select("period", "weight")), "period")  # at most three rows
     faced = enrich(faced, base, ["period", "slot", "entity"], ["baseline"])
     deltas = matchups.where(F.col("segment") == "all").select("slot", F.col("a").alias("entity"), F.col("b").alias("enemy_entity"), "delta")
     faced = enrich(faced, deltas, ["slot", "entity", "enemy_entity"], ["delta"])
@@ -88,9 +111,12 @@ def gold_rows(roles: DataFrame, sides: DataFrame, events: DataFrame, window: Dat
         F.avg("baseline").alias("team_baseline_rate"),
         F.coalesce(F.avg("delta"), F.lit(0.0)).alias("team_matchup_delta"),
         F.count("*").alias("n_slots"),
+        *(F.first(c).alias(c) for c in own),
     )
-    team = team.where("n_slots = 5 and team_baseline_rate is not null")
-    rows = team.join(sides.where("jgl_cs_diff_15 is not null and herald_taken_pre15 is not null").drop("period", "segment", "duration_s"), ["event_id", "side"]).join(A.first_blood(roles), ["event_id", "side"])
+    return team.where("n_slots = 5 and team_baseline_rate is not null")
+
+
+def _with_synergy(rows: DataFrame, trios: DataFrame) -> DataFrame:
     synergy = trios.where(F.col("segment") == "all").select(*A.TRIO, F.col("synergy").alias("team_trio_synergy"))
     rows = enrich(rows, synergy, list(A.TRIO), ["team_trio_synergy"]).na.fill(0.0, ["team_trio_synergy"])
     return rows.select("event_id", "side", F.col("weight").cast("double").alias("weight"), "y", *(F.col(c).cast("double").alias(c) for c in [*DRAFT_FEATURES, *PLAY_FEATURES]))

@@ -18,8 +18,8 @@ from ..operators import reference as ref
 from ..sources import sinks
 from ..sources.scratch import checkpointed
 from . import compose, factors, reports, scores
-from .aggregates import DUO_KEYS, TRIO_KEYS, build_aggregates, side_rows
-from .views import facts, table
+from .aggregates import DUO_KEYS, TRIO_KEYS, aggregates_of_sides, side_rows
+from .views import facts, table, whole_sides
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,7 +52,7 @@ def _window(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _side_rows(spark: SparkSession, d: str) -> DataFrame:
-    return side_rows(_t(spark, d), _p(spark, d).drop("period", "segment", "duration_s"), _m(spark, d))
+    return whole_sides(spark, d)
 
 
 def _within(df: DataFrame, window: DataFrame) -> DataFrame:
@@ -63,9 +63,8 @@ def _within(df: DataFrame, window: DataFrame) -> DataFrame:
 def _aggregates(spark: SparkSession, d: str, names: tuple[str, ...] = ("individual", "duo", "trio", "duo_duration", "trio_duration"), window: DataFrame | None = None) -> dict[str, DataFrame]:
     """Aggregate tables, of all periods or of a window's, each computed once and stored as
     the scores expect them."""
-    m, p, t = (f(spark, d) if window is None else _within(f(spark, d), window) for f in (_m, _p, _t))
-    roles = checkpointed(p)
-    got = build_aggregates(m, roles, checkpointed(t), roles)
+    rows = _side_rows(spark, d)
+    got = aggregates_of_sides(rows if window is None else _within(rows, window))
     return {k: checkpointed(got[k]) for k in names}
 
 
@@ -218,8 +217,8 @@ def _scores(spark: SparkSession, d: str, what: str = "duo") -> DataFrame:
 
 def _matchup_scores(spark: SparkSession, d: str) -> DataFrame:
     window = _window(spark, d)
-    picks = _within(_p(spark, d), window)
-    return scores.score_matchup(A.matchup_counts(picks), A.individual(picks), window)
+    got = _aggregates(spark, d, ("individual", "matchup"), window)
+    return scores.score_matchup(got["matchup"], got["individual"], window)
 
 
 SCORE = ["games", "games_eff", "rate", "ci_low", "ci_high", "synergy", "synergy_ci_low", "synergy_ci_high", "tier"]
@@ -438,8 +437,12 @@ def win_factor_coefs(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def gold_factors(spark: SparkSession, d: str) -> DataFrame:
-    rows = factors.gold_rows(_p(spark, d), _t(spark, d), _m(spark, d), _window(spark, d), A.individual(_p(spark, d)), _matchup_scores(spark, d), _scores(spark, d, "trio"))
-    return rounded(factors.gold_factors(spark, checkpointed(rows), _label(_window(spark, d))), 4)
+    window, sides = _window(spark, d), _side_rows(spark, d)
+    # tables of known size, which Spark broadcasts where they are small
+    got = _aggregates(spark, d, ("individual", "matchup"), window)
+    matchups = checkpointed(scores.score_matchup(got["matchup"], got["individual"], window))
+    rows = factors.gold_rows_of_sides(_within(sides, window), window, got["individual"], matchups, checkpointed(_scores(spark, d, "trio")))
+    return rounded(factors.gold_factors(spark, checkpointed(rows), _label(window)), 4)
 
 
 @query

@@ -63,11 +63,15 @@ def score_window(spark: SparkSession, root: str, roles: DataFrame, sides: DataFr
 
 def refresh(root: str, touched: list[str], events_of: Callable[[list[str]], dict[str, DataFrame]], names: tuple[str, ...] = tuple(SCORES)) -> str | None:
     """Rebuild what depends on the ``touched`` periods. ``events_of`` gives the facts m, p
-    and t of some periods. Returns the label whose scores were replaced, None if no
+    and t of some periods, and the whole side rows ``sides`` where the source has them in one
+    place. Returns the label whose scores were replaced, None if no
     touched period is in the current window."""
     f = events_of(touched)
     spark = f["m"].sparkSession
-    aggregates.refresh(f["m"], f["p"], f["t"], f["p"], touched, root, AGGREGATES)
+    if "sides" in f:
+        aggregates.refresh_from_sides(f["sides"], touched, root, AGGREGATES)
+    else:
+        aggregates.refresh(f["m"], f["p"], f["t"], f["p"], touched, root, AGGREGATES)
     window = stored_window(spark, root)
     periods = [r.period for r in window.select("period").collect()]  # at most three
     if not set(periods) & set(touched):
