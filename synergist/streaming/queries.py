@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..plans import aggregates, oracles, refresh
 from ..plans.aggregates import DUO_KEYS
 from ..plans.queries import SCORE, rounded
-from ..plans.views import FACTS, facts, facts_of
+from ..plans.views import FACTS, facts_of, whole_sides, whole_sides_of
 from ..sources import tables
 from ..sources.readers import scan_facts
 from ..sources.scratch import checkpointed, fresh_path
@@ -97,8 +97,7 @@ def stream_refresh(spark: SparkSession, d: str) -> DataFrame:
     arrived = orders.select(F.concat(F.lit("16."), (F.year("o_orderdate") - 1989).cast("string")).alias("period"))
 
     def rebuild(periods: list[str]) -> None:
-        m, p, t = (facts(spark, d, x).where(F.col("period").isin(*periods)) for x in "mpt")
-        aggregates.refresh(m, p, t, p, periods, root, ("individual", "trio"))
+        aggregates.refresh_from_sides(whole_sides(spark, d), periods, root, ("individual", "trio"))
 
     ingest.run_available(arrived, ingest.refreshing(rebuild), f"{root}/state")
     return tables.read(spark, f"{root}/trio").select("period", "segment", "jgl", "mid", "sup", "games", "wins")
@@ -116,7 +115,7 @@ def stream_scores(spark: SparkSession, d: str) -> DataFrame:
 
     def events_of(periods: list[str]) -> dict[str, DataFrame]:
         arrived = scan_facts(spark, f"{root}/orders", periods)
-        return {x: facts_of(arrived, x) for x in "mpt"}
+        return {"sides": whole_sides_of(arrived), **{x: facts_of(arrived, x) for x in "mpt"}}
 
     def write(batch: DataFrame, batch_id: int) -> None:
         fresh = append_new(batch, f"{root}/orders", ["o_orderkey"], "period", scoped=True)
