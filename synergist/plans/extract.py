@@ -32,3 +32,23 @@ def extract(detail: DataFrame, timeline: DataFrame, period: str | None = None, r
         "objectives": E.objective_rows(E.log_rows(own)),
         "quarantine": quarantine,
     }
+
+
+def extract_whole(docs: DataFrame, period: str | None = None, reliability: DataFrame | None = None) -> dict[str, DataFrame]:
+    """events, picks, members and log (for ``sides_of``), roles, objectives and quarantine as in ``extract``, of details with
+    their event's timeline in the same row (``timeline``, null without one): no join by event."""
+    excluded = E.exclusion_reason(period)
+    broken = F.coalesce(E.structure_reason(), F.when(F.col("timeline").isNull(), "timeline"))
+    seen = docs.withColumn("_excluded", excluded).withColumn("_broken", F.when(F.col("_excluded").isNull(), broken))
+    good = seen.where("_excluded is null and _broken is null").drop("_excluded", "_broken")
+    status = F.when(F.col("_excluded").isNotNull(), "excluded").otherwise("error_retryable")
+    quarantine = seen.where("_excluded is not null or _broken is not null").select(F.col("metadata.matchId").alias("event_id"), status.alias("status"), F.coalesce("_excluded", "_broken").alias("reason"))
+    return {
+        "events": E.event_rows(good),
+        "picks": E.pick_rows(good),
+        "members": E.whole_members(good, reliability),
+        "log": E.log_rows(good.select("timeline.*")),
+        "roles": E.whole_roles(good, reliability),
+        "objectives": E.whole_objectives(good),
+        "quarantine": quarantine,
+    }
