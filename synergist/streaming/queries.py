@@ -3,7 +3,7 @@ available input and returns the stored result."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,8 +110,7 @@ def stream_scores(spark: SparkSession, d: str) -> DataFrame:
     root = _work(spark, "scores")
     period = F.concat(F.lit("16."), (F.year("o_orderdate") - 1989).cast("string"))
     orders = spark.read.parquet(f"{d}/orders.parquet").withColumn("period", period)
-    _deliver(orders, f"{root}/in", F.year("o_orderdate") > 1999, [False, True])
-    stream = ingest.ingest_stream(spark, f"{root}/in/*", orders.schema, "parquet")
+    stream = ingest.ingest_stream(spark, f"{root}/in/*", orders.schema, "parquet", WHOLE)
 
     def events_of(periods: list[str]) -> dict[str, DataFrame]:
         arrived = scan_facts(spark, f"{root}/orders", periods)
@@ -123,21 +122,25 @@ def stream_scores(spark: SparkSession, d: str) -> DataFrame:
         if touched:
             refresh.refresh(root, touched, events_of, ("score_duo", "score_matchup"))
 
-    ingest.run_available(stream, write, f"{root}/state")
+    for _ in _deliver(orders, f"{root}/in", F.year("o_orderdate") > 1999, [False, True]):
+        ingest.run_available(stream, write, f"{root}/state")  # a delivery is one batch
     got = refresh.current(spark, root, "score_duo")
     return rounded(got.select("label", "segment", *DUO_KEYS, *SCORE), 9)
 
 
-def _deliver(rows: DataFrame, path: str, part: Column, values: list) -> None:
-    """Write ``rows`` in parts, one after the other: files of a part are older than those
-    of the next."""
+def _deliver(rows: DataFrame, path: str, part: Column, values: list) -> Iterator[int]:
+    """Write ``rows`` in parts, one after the other; the number of each is given once it is
+    written, so that a run of the stream takes this part and no later one."""
     for k, v in enumerate(values):
         rows.where(part.eqNullSafe(F.lit(v))).write.parquet(f"{path}/{k:03d}")
+        yield k
 
 
 #: Days of a part of the event log as ``stream_dedup`` gets it, and parts after which an
 #: event is delivered once more, in time and too late.
 PART_DAYS, SOON, LATE = 5, 1, 5
+#: Files of a batch where a delivery is to be one batch.
+WHOLE = 1_000_000
 
 
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
@@ -150,17 +153,20 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     events = events.join(F.broadcast(first)).withColumn("part", F.floor(F.date_diff("ts", "_first") / PART_DAYS)).drop("_first")  # one row
     events = checkpointed(events)
     last = events.agg(F.max("part")).first()[0]
-    for k in range(0 if last is None else last + 1):
-        again = F.col("part").isin(k, k - SOON, k - LATE)
-        events.where(again).drop("part").orderBy(F.xxhash64("event_id", F.lit(k))).write.parquet(f"{work}/in/{k:03d}")
     schema = events.drop("part").schema
-    stream = ingest.ingest_stream(spark, f"{work}/in/*", schema, "parquet", 1)
+    stream = ingest.ingest_stream(spark, f"{work}/in/*", schema, "parquet", WHOLE)
     once = ingest.dedup_stream(stream, ["event_id"], "ts", f"{2 * PART_DAYS} days")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{work}/table/batch={batch_id}")
 
-    left_out = ingest.dropped(ingest.run_available(once, write, f"{work}/state"))
+    left_out = {"repeated": 0, "late": 0}
+    for k in range(0 if last is None else last + 1):
+        again = F.col("part").isin(k, k - SOON, k - LATE)
+        events.where(again).drop("part").orderBy(F.xxhash64("event_id", F.lit(k))).write.parquet(f"{work}/in/{k:03d}")
+        # a part is one batch, however many files it has
+        counts = ingest.dropped(ingest.run_available(once, write, f"{work}/state"))
+        left_out = {c: n + counts[c] for c, n in left_out.items()}
     got = spark.read.schema(schema).parquet(f"{work}/table").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("n_ids"))
     return got.select("*", F.lit(left_out["repeated"]).cast("long").alias("repeated"), F.lit(left_out["late"]).cast("long").alias("late"))
 
@@ -170,9 +176,11 @@ def stream_retention(spark: SparkSession, d: str) -> DataFrame:
     hours leave. Kept and gone rows by type."""
     work = _work(spark, "retention")
     events = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    _deliver(events, f"{work}/in", F.pmod(F.dayofmonth("ts") * 7, F.lit(6)), list(range(6)))
-    stream = ingest.ingest_stream(spark, f"{work}/in/*", events.schema, "parquet", 1)
-    ingest.run_available(stream, ingest.expiring(f"{work}/table", "ts", ["event_id"], 24, ["event_type"]), f"{work}/state")
+    stream = ingest.ingest_stream(spark, f"{work}/in/*", events.schema, "parquet", WHOLE)
+    expire = ingest.expiring(f"{work}/table", "ts", ["event_id"], 24, ["event_type"])
+    part = F.pmod(F.dayofmonth("ts") * 7, F.lit(6))
+    for _ in _deliver(events, f"{work}/in", part, list(range(6))):
+        ingest.run_available(stream, expire, f"{work}/state")  # a part is one batch, however many files it has
     gone = spark.read.schema("event_type string, n long").parquet(f"{work}/table-gone").groupBy("event_type").agg(F.sum("n").alias("gone"))
     kept = tables.read(spark, f"{work}/table").groupBy("event_type").agg(F.count("*").alias("kept"), F.max("event_id").alias("last_id"))
     both = gone.join(kept, "event_type", "full_outer")
