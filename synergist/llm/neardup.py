@@ -255,10 +255,17 @@ def _nodes(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         if not large.take(1):
             return leaves, None
         big = large.select("key", "doc_id")
-        rows = large.select("doc_id", "at", "key").join(reps.select("doc_id", "mins"), "doc_id")
+        rows = _with_columns(large, ["at", "key"], reps.select("doc_id", "mins"))
     return leaves, big
 
 
+def _with_columns(rows: DataFrame, columns: list[str], reps: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, ``columns``; at most a few dozen of a document) with the columns of
+    ``reps``. A document meets its row once, not once for each node that it is in."""
+    nodes = rows.groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias("_p"))
+    return nodes.join(reps, "doc_id").withColumn("_p", F.explode("_p")).select("doc_id", "_p.*", *(c for c in reps.columns if c != "doc_id"))
+
+
 def link(docs: DataFrame, k: int, num: int, den: int, once: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents with n and class digest, classes with their head and rows, labels
     of linked class heads). With ``once``, rows of ``docs`` may repeat an id."""
@@ -266,7 +273,7 @@ def link(docs: DataFrame, k: int, num: int, den: int, once: bool = False) -> tup
     reps = table.where("n > 0 and _id is not null").groupBy("d").agg(F.min("_id").alias("doc_id"), F.first("n").alias("n"), F.first("mins").alias("mins"), F.first("sig").alias("sig"), F.count("*").alias("_rows"))
     reps = materialise(reps, "classes")
     leaves, big = _nodes(reps)
-    node_rows = leaves.join(reps.select("doc_id", "n", "sig"), "doc_id")
+    node_rows = _with_columns(leaves, ["key"], reps.select("doc_id", "n", "sig"))
     found = _candidates(node_rows, num, den)
     pairs = found.select(F.explode("members").alias("a"), F.col("members")[0].alias("b"))
     if big is not None:
