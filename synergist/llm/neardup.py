@@ -309,10 +309,12 @@ def link(docs: DataFrame, k: int, num: int, den: int, once: bool = False) -> tup
     blocks_of = lambda n: F.ceil(n / half)
     at = at.join(main, "home").withColumns({"_rows": blocks_of(F.col("_n") - F.col("_m")), "_cols": blocks_of(F.col("_n"))})
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = at.where("label <> main").select("home", "doc_id", "label", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.col("_rows")).alias("r"), each("_cols").alias("s"))
-    right = at.select("home", "doc_id", "label", each("_rows").alias("r"), F.pmod(F.xxhash64("doc_id", F.lit(19)), F.col("_cols")).alias("s"))
-    second = left.unionByName(right).select(F.xxhash64("home", "r", "s", F.lit("cross")).alias("key"), "doc_id", "label").distinct()
-    alike = _candidates(second.join(reps.select("doc_id", "n", "sig"), "doc_id"), num, den).groupBy("cid").agg(F.first("members").alias("members"))
+    # a document meets its sketch before its blocks spread out
+    sketched = at.join(reps.select("doc_id", "n", "sig"), "doc_id")
+    left = sketched.where("label <> main").select("home", "doc_id", "label", "n", "sig", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.col("_rows")).alias("r"), each("_cols").alias("s"))
+    right = sketched.select("home", "doc_id", "label", "n", "sig", each("_rows").alias("r"), F.pmod(F.xxhash64("doc_id", F.lit(19)), F.col("_cols")).alias("s"))
+    second = left.unionByName(right).select(F.xxhash64("home", "r", "s", F.lit("cross")).alias("key"), "doc_id", "label", "n", "sig").distinct()
+    alike = _candidates(second, num, den).groupBy("cid").agg(F.first("members").alias("members"))
     alike = alike.select("cid", F.explode("members").alias("doc_id")).join(at.select("doc_id", "label"), "doc_id").select("cid", "doc_id", "label")
     more = _confirm(materialise(alike, "alike"), docs, k, num, den, once)
     # the first pass is in its labels: their stars stand for its links
