@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from synergist.operators import aggregates as A
-from synergist.plans import aggregates, factors, queries
+from synergist.plans import aggregates, factors, queries, scores
 from synergist.plans.views import facts, whole_sides
+from synergist.sources import scratch
 
 D = "/root/testdata/sf0.001"
 
@@ -53,3 +54,19 @@ def test_gold_rows_of_sides_are_those_of_facts(spark):
     old = factors.gold_rows(p, t, m, window, one, match, trios)
     new = factors.gold_rows_of_sides(whole_sides(spark, D), window, one, match, trios)
     assert old.count() and same(queries.rounded(old), queries.rounded(new))
+
+
+def test_pair_scores_write_and_shuffle_no_events(spark, monkeypatch):
+    wrote = []
+
+    def kept(df):
+        wrote.append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return scratch.checkpointed(df)
+
+    for module in (queries, scores):
+        monkeypatch.setattr(module, "checkpointed", kept)
+    got = queries._scores(spark, D)
+    assert len(wrote) == 5  # window, three aggregates, rates of the combinations
+    for columns, plan in [*wrote, (got.columns, got._jdf.queryExecution().executedPlan().toString())]:
+        assert "event_id" not in columns and "hashpartitioning(event_id" not in plan
+        assert "SortMergeJoin" not in plan or "orders.parquet" not in plan
