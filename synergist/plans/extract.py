@@ -35,7 +35,7 @@ def extract(detail: DataFrame, timeline: DataFrame, period: str | None = None, r
 
 
 def extract_whole(docs: DataFrame, period: str | None = None, reliability: DataFrame | None = None) -> dict[str, DataFrame]:
-    """events, picks, core, members and log (for ``sides_of``), roles, objectives and quarantine as in ``extract``, of details with
+    """events, picks, core, sides, roles, objectives and quarantine as in ``extract``, of details with
     their event's timeline in the same row (``timeline``, null without one): no join by event."""
     excluded = E.exclusion_reason(period)
     broken = F.coalesce(E.structure_reason(), F.when(F.col("timeline").isNull(), "timeline"))
@@ -47,8 +47,7 @@ def extract_whole(docs: DataFrame, period: str | None = None, reliability: DataF
         "events": E.event_rows(good),
         "picks": E.pick_rows(good),
         "core": E.whole_core(good),
-        "members": E.whole_members(good, reliability),
-        "log": E.log_rows(good.select("timeline.*")),
+        "sides": E.whole_sides(good, reliability),
         "roles": E.whole_roles(good, reliability),
         "objectives": E.whole_objectives(good),
         "quarantine": quarantine,

@@ -1,9 +1,12 @@
 """Facts of documents that come in one row equal those of joined documents, and no document is written."""
 
+from pyspark.sql import functions as F
+
 from synergist.operators import extract as E
 from synergist.operators.aggregates import SLOTS
 from synergist.plans import documents as G
 from synergist.plans.extract import extract
+from synergist.sources import scratch
 
 D = "/root/testdata/sf0.001"
 
@@ -41,6 +44,31 @@ def test_picks_make_only_the_fields_they_read(spark):
         assert "9001" not in plan, name  # damage of a participant, which none of them reads
 
 
+def test_roles_join_an_orders_lines_once(spark):
+    plan = G._facts(spark, D, "roles")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 2 and "Join Inner" not in plan  # the lines, the reliability
+
+
+def test_sides_come_from_their_own_document(spark, monkeypatch):
+    wrote = []
+    monkeypatch.setattr(G, "checkpointed", lambda df: wrote.append(df.columns) or scratch.checkpointed(df))
+    plan = G.extract_sides(spark, D)._jdf.queryExecution().optimizedPlan().toString()
+    assert not wrote and plan.count("Join LeftOuter") == 4 and "Join Inner" not in plan  # the lines, the reliability of three members
+    assert plan.count("Aggregate [") == 1  # the lines of an order
+
+
+def test_frames_hold_what_is_read(spark):
+    all_, some = G.whole_documents(spark, D), G.whole_documents(spark, D, ("people", "log"), ("totalGold", "type", "timestamp"), E.MINUTES)
+    assert all_.dtypes == some.dtypes
+    frames = lambda x, pick: x.select("metadata.matchId", F.posexplode("timeline.info.frames").alias("m", "f")).select("matchId", "m", "f.timestamp", *pick)
+    gold = F.transform_values(F.when(F.col("m").isin(*E.MINUTES), F.col("f.participantFrames")), lambda k, v: v["totalGold"])
+    events = F.transform("f.events", lambda e: F.struct(e["type"], e["timestamp"]))
+    shown = [F.to_json(gold).alias("gold"), F.to_json(events).alias("events")]
+    want, got = frames(all_, shown), frames(some, shown)
+    assert want.count() == got.count() and not want.exceptAll(got).take(1)
+    assert not frames(some, ["f.participantFrames"]).where(~F.col("m").isin(*E.MINUTES) & F.col("participantFrames").isNotNull()).take(1)
+
+
 def test_players_read_no_log_and_make_no_timeline(spark):
     got = G.extract_players(spark, D)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
