@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
@@ -11,6 +14,7 @@ from ..sources.sinks import refresh_partitions
 
 DUO_KEYS = ["roles", "a", "b"]
 TRIO_KEYS = list(A.TRIO)
+HUGE_METHOD = "spark.sql.codegen.hugeMethodLimit"
 
 
 def side_rows(sides: DataFrame, roles: DataFrame, events: DataFrame) -> DataFrame:
@@ -73,5 +77,21 @@ def refresh(events: DataFrame, picks: DataFrame, sides: DataFrame, roles: DataFr
 def refresh_from_sides(rows: DataFrame, periods: list[str], root: str, names: tuple[str, ...] = ("individual", "matchup", "duo", "trio", "duo_duration", "trio_duration")) -> None:
     """``refresh`` from whole side rows, which need no shuffle by event and no copy."""
     got = aggregates_of_sides(rows.where(F.col("period").isin(*periods)))
-    for name in names:
-        refresh_partitions(got[name], f"{root}/{name}", "period", periods)
+    with compiled(rows.sparkSession):
+        for name in names:
+            refresh_partitions(got[name], f"{root}/{name}", "period", periods)
+
+
+@contextmanager
+def compiled(spark: SparkSession) -> Iterator[None]:
+    """Within it, what would be one generated method too large for HotSpot to compile (8000
+    bytes, the side rows' is) runs operator by operator, in methods that it compiles."""
+    before = spark.conf.get(HUGE_METHOD, None)
+    spark.conf.set(HUGE_METHOD, "8000")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(HUGE_METHOD)
+        else:
+            spark.conf.set(HUGE_METHOD, before)
